@@ -31,7 +31,24 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-_SQL: dict[str, str] = {}
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locuspark.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locuspark.llm.minhash_dedup import minhash_dedup
+
+    return minhash_dedup(table(spark, sf_dir, "documents"), words=2)
+
+
+_SQL: dict[str, str] = {
+    "op7_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+}
 
 
 def queries() -> dict[str, Query]:
