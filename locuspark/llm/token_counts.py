@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,22 +20,23 @@ from pyspark.sql import functions as F
 
 from locuspark.llm.common import as_bytes
 
-#: Entries of the broadcast table, documents looked at to choose them (it decides speed only, never a count),
-#: and entries that a worker's cache may hold before it starts anew.
-TABLE, TABLE_DOCS, CACHE = 1 << 16, 4000, 400_000
+#: Entries of the broadcast table, documents and their bytes looked at to choose them (they decide speed only, never a
+#: count), and entries of a worker's cache before its older half is let go.
+TABLE, TABLE_DOCS, SAMPLE_BYTES, CACHE = 1 << 16, 4000, 16_000, 250_000
 #: Longer chunks are encoded each time, so the cache's bytes are bounded too.
 LONGEST_KEPT = 64
 #: Bytes of text that are split into chunks at a time.
 SLICE = 1 << 20
 
-#: Letters whose normal form and lower case are the same by any library, then ASCII punctuation: one pre-token each.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+#: Letters beyond ASCII whose normal form and lower case are the same by any library.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_PUNCTUATION = string.punctuation.encode()
 
 
 class ChunkEncoder:
     """What a chunk comes to, cached: its ids, packed as little-endian unsigned 32-bit integers, or how many there are.
 
-    first: chunks with known values, kept when the cache begins anew.
+    first: chunks with known values, never let go.
     """
 
     def __init__(self, path: str, lengths: bool = False, first: dict | None = None, limit: int = CACHE):
@@ -45,51 +47,69 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.lengths, self.first, self.limit = lengths, first or {}, limit
-        self.chunks, self.parts = dict(self.first), {}
+        self.chunks, self.parts, self.old, self.old_parts = dict(self.first), {}, {}, {}
+        self.none = 0 if lengths else b""
 
     def encode(self, text: str) -> bytes | int:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return len(ids) if self.lengths else np.asarray(ids, "<u4").tobytes()
 
-    def _encode_parts(self, parts: list[str]) -> None:
+    def _encode_parts(self, parts: list[bytes]) -> None:
         """Each part is one pre-token, so joined by spaces they are encoded in one call."""
         for i in range(0, len(parts), 2048):
             block = parts[i : i + 2048]
-            found = self.tokenizer.encode(" ".join(block), add_special_tokens=False)
+            found = self.tokenizer.encode(b" ".join(block).decode(), add_special_tokens=False)
             cut = np.searchsorted(np.asarray(found.word_ids, np.int64), np.arange(len(block) + 1)).tolist()
             if self.lengths:
-                self.parts.update((p, b - a) for p, a, b in zip(block, cut, cut[1:]))
+                self.parts.update(zip(block, [b - a for a, b in zip(cut, cut[1:])]))
             else:
                 raw = np.asarray(found.ids, "<u4").tobytes()
-                self.parts.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(block, cut, cut[1:]))
+                self.parts.update(zip(block, [raw[4 * a : 4 * b] for a, b in zip(cut, cut[1:])]))
 
     def _learn(self, new: set[bytes]) -> None:
+        """Chunks that are letters, then punctuation, are one or two pre-tokens; the rest is encoded as it stands."""
+        chunks, old, split = self.chunks, self.old_parts, []
         if len(self.parts) > self.limit:
-            self.parts = {}
-        split, plain, parts = [], set(), self.parts
+            self.old_parts, self.parts = self.parts, {}
+            old = self.old_parts
+        parts, wanted = self.parts, set()
         for c in new:
-            if m := _PLAIN.fullmatch(c):
-                core, tail = m[1].decode().lower(), m[2].decode()
-                split.append((c, core, tail))
-                plain.update((core, tail) if tail else (core,))
+            core = c.rstrip(_PUNCTUATION)
+            if core.isalpha() or not core:
+                key = core.lower()
+            elif _LATIN.fullmatch(core):
+                key = core.decode().lower().encode()
             else:
-                self.chunks[c] = self.encode(c.decode())
-        self._encode_parts([p for p in plain if p not in parts])
-        self.chunks.update((c, parts[core] + parts[tail] if tail else parts[core]) for c, core, tail in split)
+                chunks[c] = self.encode(c.decode())
+                continue
+            tail = c[len(core) :]
+            split.append((c, key, tail))
+            for part in (key, tail):
+                if part and part not in parts:
+                    if part in old:
+                        parts[part] = old[part]
+                    else:
+                        wanted.add(part)
+        self._encode_parts(list(wanted))
+        parts[b""] = self.none
+        for c, key, tail in split:
+            chunks[c] = parts[key] + parts[tail]
 
     def values(self, texts: list[bytes]) -> Iterator[bytes | int]:
         """The value of each text: its chunks' values together."""
         total = sum if self.lengths else b"".join
         for block in slices(texts):
             words = [t.split() for t in block]
-            known = self.chunks
+            if len(self.chunks) > self.limit + len(self.first):  # chunks that are still in use come over from the old ones
+                self.old, self.chunks = self.chunks, dict(self.first)
+            known, old = self.chunks, self.old
             new = {w for ws in words for w in ws if w not in known}
+            if old:
+                known.update({w: old[w] for w in new if w in old})
+                new = {w for w in new if w not in known}
             large = {w: self.encode(w.decode()) for w in new if len(w) > LONGEST_KEPT}
             new.difference_update(large)
             if new:
-                if len(known) + len(new) > self.limit + len(self.first):
-                    known = self.chunks = dict(self.first)
-                    new = {w for ws in words for w in ws if w not in known and w not in large}
                 self._learn(new)
             for ws in words:
                 yield total(map(known.__getitem__, ws)) if not large else total([large[w] if w in large else known[w] for w in ws])
@@ -120,17 +140,15 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def frequent_chunks(docs: DataFrame, size: int = TABLE, sample_docs: int = TABLE_DOCS) -> list[bytes]:
-    """The chunks most frequent in up to sample_docs documents: what is worth a place in the broadcast table."""
+    """The chunks most frequent in up to sample_docs documents of at most SAMPLE_BYTES: what is worth a place in the table.
 
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                counts.update(w for w in text.split() if len(w) <= LONGEST_KEPT)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts.most_common(size)], pa.binary())], ["chunk"])
-
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).limit(sample_docs)
-    return [bytes(r[0]) for r in some.mapInArrow(top, "chunk binary").collect()]
+    Spark takes these rows from as few partitions as hold them; no other task runs.
+    """
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).where(F.octet_length("text") <= SAMPLE_BYTES)
+    counts: Counter[bytes] = Counter()
+    for (text,) in some.limit(sample_docs).collect():
+        counts.update(w for w in text.encode().split() if len(w) <= LONGEST_KEPT)
+    return [w for w, _ in counts.most_common(size)]
 
 
 def length_table(path: str, chunks: list[bytes]) -> tuple[bytes, bytes]:
