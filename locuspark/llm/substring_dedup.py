@@ -128,12 +128,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
 
     # a copy of a document with a smaller id loses every word; only first copies go further
     whole = base.where("doc_id is not null").where(F.col("n_words") >= window)
-    first = whole.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    copies = whole.select("doc_id", "sha").join(first.where("copies > 1"), "sha").where("doc_id > first").select("doc_id").distinct()
+    first = scratch.write(whole.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "first")
+    copies = whole.select("doc_id", "sha").join(first, "sha").where("doc_id > first").select("doc_id").distinct()
     copies = scratch.write(copies, "copies")
 
     seeds = whole.select("doc_id", F.explode(F.arrays_zip("codes", "at")).alias("s")).select("doc_id", F.col("s.codes").alias("code"), F.col("s.at").alias("at"))
     shared = seeds.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("code")
+    shared = scratch.write(shared, "shared")  # apart from its aggregation, so that Spark can split the join's other side
     hits = seeds.join(shared.hint("shuffle_hash"), "code").select("doc_id", "at")
     hits = scratch.write(hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at")), "hits")
     scratch.release()
@@ -143,6 +144,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
 
     found = scratch.write(_windows(texts, window, seed), "windows")
     lowest = found.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low")
+    lowest = scratch.write(lowest, "lowest")
+    scratch.release()
     repeated = found.join(lowest.hint("shuffle_hash"), ["a", "b"]).where("doc_id > low")
     starts = scratch.write(repeated.groupBy("doc_id").agg(F.collect_list("start").alias("starts")), "starts")
     scratch.drop(found)
