@@ -1,8 +1,68 @@
-"""Placeholder until the stages exist."""
+"""A corpus pipeline: quality filter, exact and near duplicates, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return the
+columns of documents. Rows with null ids or texts go through like others; an empty table gives an empty result. Where rows
+repeat a doc_id they share the stage's decision.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from locuspark.llm.common import Scratch
+from locuspark.llm.exact_dedup import exact_dedup
+from locuspark.llm.minhash_dedup import minhash_dedup
+from locuspark.llm.mixing import mix
+from locuspark.llm.packing import pack
+from locuspark.llm.quality import quality_scores
+from locuspark.llm.registry import table, tokenizer_path
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs whose doc_id is not in gone; a null id stays."""
+    return docs.join(gone.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from all labelled rows of its bounded sample."""
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"), fold=None)
+    return _without(docs, scored.where("predicted = 0"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts; of repeated rows one stays."""
+    kept = _without(docs, exact_dedup(docs).where("not kept"))
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return _without(docs, minhash_dedup(docs, words=5, percent=80).where("not kept"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose rate in the mixture rounds to at least one, each once: a copy would be a duplicate again."""
+    return _without(docs, mix(docs, table(spark, sf_dir, "labels")).where("copies = 0"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training windows with their ids."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("minhash near-dedup", near), ("mixing", mixing), ("packing", packing)]
+
+#: Trained models, components and packing are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again, so that a lost executor costs one stage at most."""
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        docs = scratch.write(out, name.replace(" ", "-"))
+        scratch.release()
