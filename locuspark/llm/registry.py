@@ -71,6 +71,12 @@ def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locuspark.llm.nn_descent import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locuspark.llm.minhash_dedup import minhash_dedup
 
