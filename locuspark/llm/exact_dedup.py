@@ -35,6 +35,7 @@ def exact_dedup(docs: DataFrame, first: int = FIRST, widen: int = WIDEN) -> Data
     while True:
         cut = active.select("doc_id", "_group", "_path", "_sha", F.substring("_rest", 1, width).alias("_digit"), (F.octet_length("_rest") <= width).alias("_ended"), F.expr(f"substring(_rest, {width + 1})").alias("_rest"))
         nodes = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("doc_id").alias("_top"))
+        nodes = scratch.write(nodes, "nodes")  # apart from its aggregation, so that Spark can split the join's other side
         goes_on = ~F.col("_ended") & (F.col("_n") > 1)
         split = cut.join(nodes.hint("shuffle_hash"), key).select("doc_id", "_sha", "_n", F.col("_top").alias("_group"), F.xxhash64("_path", "_digit").alias("_path"), F.when(goes_on, F.col("_rest")).alias("_rest"))
         split = scratch.write(split, "round")
