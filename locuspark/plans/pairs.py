@@ -1 +1 @@
-"""Queries."""
+"""Kept for the registry: pair queries live with the genotype queries."""

@@ -1 +1,219 @@
-"""Queries."""
+"""Sorting, top-k, sampling, set and graph queries (SURVEY F, G, I)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from locuspark.operators import genotypes as G
+from locuspark.operators import graphs, ordered, selection
+from locuspark.operators.intervals import first_by
+from locuspark.plans.base import EDGE, GT, edge, gt, table
+from locuspark.plans.registry import query
+
+
+@query("F1_sorted", """SELECT l_returnflag AS chr, l_orderkey AS pos, l_linenumber AS n, l_partkey AS p FROM lineitem ORDER BY ALL""")
+def f1(s, d):
+    return table(s, d, "lineitem").select(F.col("l_returnflag").alias("chr"), F.col("l_orderkey").alias("pos"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p")).orderBy("chr", "pos", "n", "p")
+
+
+_SC = """sc AS (SELECT l_suppkey AS win, l_linenumber AS grp, sum(l_quantity)::BIGINT AS hic, CASE l_suppkey % 5 WHEN 0 THEN 'hap' WHEN 1 THEN 'dip' WHEN 2 THEN 'trip' WHEN 3 THEN 'tetrap' ELSE 'rep' END AS cls FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY ALL)"""
+
+
+def _scores(s, d):
+    names = F.array(*map(F.lit, ("hap", "dip", "trip", "tetrap", "rep")))
+    x = table(s, d, "lineitem").where("l_partkey % 3 = 0").groupBy(F.col("l_suppkey").alias("win"), F.col("l_linenumber").alias("grp")).agg(F.sum("l_quantity").cast("long").alias("hic"))
+    return x.withColumn("cls", F.element_at(names, (F.col("win") % 5 + 1).cast("int")))
+
+
+@query("F2_ranked_groups", f"""WITH {_SC} SELECT win, grp, hic, row_number() OVER (PARTITION BY win ORDER BY hic DESC, grp DESC)::INT AS rank FROM sc""")
+def f2(s, d):
+    from pyspark.sql import Window
+
+    return _scores(s, d).select("win", "grp", "hic", F.row_number().over(Window.partitionBy("win").orderBy(F.desc("hic"), F.desc("grp"))).alias("rank"))
+
+
+_SIZES = {"hap": 1, "dip": 2, "trip": 3, "tetrap": 4}
+_SLOTS = f"""WITH {_SC}, r AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY hic DESC, grp DESC) AS slot FROM sc), n AS (SELECT win, CASE any_value(cls) WHEN 'hap' THEN 1 WHEN 'dip' THEN 2 WHEN 'trip' THEN 3 WHEN 'tetrap' THEN 4 ELSE 0 END AS n, count(*) AS have FROM sc GROUP BY win), sl AS (SELECT win, have, n, unnest(generate_series(1, n)) AS slot FROM n)"""
+
+
+@query("F3_top_by_class", _SLOTS + """ SELECT sl.win, sl.slot::INT AS slot, coalesce(grp, -1) AS grp FROM sl LEFT JOIN r ON r.win = sl.win AND r.slot = sl.slot""")
+def f3(s, d):
+    return selection.keep_by_class(_scores(s, d), ["win"], "cls", _SIZES, [F.desc("hic"), F.desc("grp")], "grp")
+
+
+@query("I4_refined_groups", _SLOTS + """ SELECT sl.win, sl.slot::INT AS slot, CASE WHEN have >= n THEN coalesce(grp, -1) ELSE -1 END AS grp FROM sl LEFT JOIN r ON r.win = sl.win AND r.slot = sl.slot""")
+def i4(s, d):
+    return selection.keep_by_class(_scores(s, d), ["win"], "cls", _SIZES, [F.desc("hic"), F.desc("grp")], "grp", partial=False)
+
+
+@query("F4_top_three", """SELECT l_suppkey AS q, l_orderkey AS id, l_linenumber AS ln, l_partkey AS p, l_extendedprice AS len FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) <= 3""")
+def f4(s, d):
+    x = table(s, d, "lineitem").select(F.col("l_suppkey").alias("q"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("p"), F.col("l_extendedprice").alias("len"))
+    return first_by(x, ["q"], [F.desc("len"), F.col("id"), F.col("ln"), F.col("p")], 3)
+
+
+@query("F5_lowest_with_ties", """WITH x AS (SELECT DISTINCT l_suppkey AS q, l_partkey AS s, l_discount AS dist FROM lineitem WHERE l_orderkey % 4 = 0), r AS (SELECT *, rank() OVER (PARTITION BY q ORDER BY dist) AS k FROM x) SELECT q, s, dist FROM r WHERE k <= 3 QUALIFY count(*) OVER (PARTITION BY q) < 10""")
+def f5(s, d):
+    x = table(s, d, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_suppkey").alias("q"), F.col("l_partkey").alias("s"), F.col("l_discount").alias("dist")).distinct()
+    return selection.lowest_with_ties(x, ["q"], "dist", 3)
+
+
+@query("F6_cascade", """WITH a AS (SELECT p_brand AS chr, p_partkey AS id, p_size, p_retailprice FROM part WHERE p_size < 45 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) <= 15), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY chr ORDER BY p_retailprice DESC, id) <= 7)
+  SELECT chr, id FROM b QUALIFY row_number() OVER (PARTITION BY chr ORDER BY p_size DESC, id) <= 1""")
+def f6(s, d):
+    x = table(s, d, "part").where("p_size < 45").select(F.col("p_brand").alias("chr"), F.col("p_partkey").alias("id"), "p_size", "p_retailprice")
+    steps = [([F.col("p_size"), F.col("id")], 15), ([F.desc("p_retailprice"), F.col("id")], 7), ([F.desc("p_size"), F.col("id")], 1)]
+    return selection.cascade(x, ["chr"], steps).select("chr", "id")
+
+
+@query("F7_longest_in_range", """SELECT l_suppkey AS q, max(l_extendedprice) AS len FROM lineitem WHERE l_quantity BETWEEN 10 AND 40 GROUP BY 1""")
+def f7(s, d):
+    return table(s, d, "lineitem").where("l_quantity between 10 and 40").groupBy(F.col("l_suppkey").alias("q")).agg(F.max("l_extendedprice").alias("len"))
+
+
+@query("F8_with_replacement")
+def f8(s, d):
+    return selection.with_replacement(table(s, d, "orders").select("o_orderkey"), ["o_orderkey"], 0.3)
+
+
+@query("F9_hash_sample")
+def f9(s, d):
+    return selection.hash_sample(table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 20)
+
+
+@query("F9_arithmetic_sample", """SELECT o_orderkey FROM orders WHERE (o_orderkey * 7919) % 1000 < 100""")
+def f9_arithmetic(s, d):
+    return table(s, d, "orders").where((F.col("o_orderkey") * 7919) % 1000 < 100).select("o_orderkey")
+
+
+@query("F10_random_group")
+def f10(s, d):
+    x = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("lgs"))
+    return x.select("l_orderkey", selection.choose(F.col("lgs"), F.col("l_orderkey")).alias("lg"))
+
+
+@query("F11_random_allele")
+def f11(s, d):
+    x = gt(s, d).where("gt is not null")
+    return x.select("pos", "sample", selection.choose(F.array(F.lit(0), F.col("gt")), F.col("pos"), F.col("sample")).alias("allele"))
+
+
+@query("F11_artificial_pairs")
+def f11_pairs(s, d):
+    return selection.pair_up(table(s, d, "supplier"), "s_name")
+
+
+@query("G1s_union_all", """SELECT 'a' AS cls, l_orderkey AS id FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT 'b', l_orderkey FROM lineitem WHERE l_linestatus = 'F' UNION ALL SELECT 'c', o_orderkey FROM orders""")
+def g1(s, d):
+    li = table(s, d, "lineitem")
+    part = lambda df, c, k: df.select(F.lit(c).alias("cls"), F.col(k).alias("id"))
+    return part(li.where("l_returnflag = 'A'"), "a", "l_orderkey").unionByName(part(li.where("l_linestatus = 'F'"), "b", "l_orderkey")).unionByName(part(table(s, d, "orders"), "c", "o_orderkey"))
+
+
+@query("G2s_distinct", """SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem""")
+def g2(s, d):
+    return table(s, d, "lineitem").select("l_suppkey", "l_returnflag").distinct()
+
+
+@query("G3s_map_union", """SELECT k, coalesce(x.v, y.v) AS v FROM (SELECT l_suppkey AS k, max(l_quantity) AS v FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1) x FULL JOIN (SELECT l_suppkey AS k, min(l_quantity) AS v FROM lineitem GROUP BY 1) y USING (k)""")
+def g3(s, d):
+    li = table(s, d, "lineitem")
+    x = li.where("l_suppkey % 2 = 0").groupBy(F.col("l_suppkey").alias("k")).agg(F.max("l_quantity").alias("v")).withColumn("p", F.lit(0))
+    y = li.groupBy(F.col("l_suppkey").alias("k")).agg(F.min("l_quantity").alias("v")).withColumn("p", F.lit(1))
+    return x.unionByName(y).groupBy("k").agg(F.min_by("v", "p").alias("v"))
+
+
+@query("G4s_common_samples", f"""WITH {GT}, k AS (SELECT pos, list(DISTINCT sample) AS l FROM gt WHERE gt IS NOT NULL GROUP BY pos) SELECT x.pos, len(list_intersect(x.l, y.l)) AS common, len(list_distinct(list_concat(x.l, y.l))) AS either FROM k x JOIN k y ON y.pos = x.pos + 1""")
+def g4(s, d):
+    k = gt(s, d).where("gt is not null").groupBy("pos").agg(F.collect_set("sample").alias("l"))
+    y = k.select((F.col("pos") - 1).alias("pos"), F.col("l").alias("m"))
+    return k.join(y, "pos").select("pos", F.size(F.array_intersect("l", "m")).cast("long").alias("common"), F.size(F.array_union("l", "m")).cast("long").alias("either"))
+
+
+@query("G5s_move", """WITH a AS (SELECT s_suppkey AS ctg FROM supplier WHERE s_nationkey < 10), b AS (SELECT s_suppkey AS ctg FROM supplier WHERE s_nationkey >= 10), mv AS (SELECT s_suppkey AS ctg FROM supplier WHERE s_acctbal < 0)
+  SELECT 'a' AS asm, ctg, row_number() OVER (ORDER BY ctg)::INT AS ord FROM a WHERE ctg NOT IN (SELECT ctg FROM mv) UNION ALL SELECT 'b', ctg, row_number() OVER (ORDER BY src, ctg)::INT FROM (SELECT 0 AS src, ctg FROM b UNION ALL SELECT 1, ctg FROM a WHERE ctg IN (SELECT ctg FROM mv))""")
+def g5(s, d):
+    from pyspark.sql import Window
+
+    x = table(s, d, "supplier").select(F.col("s_suppkey").alias("ctg"), (F.col("s_nationkey") < 10).alias("in_a"), (F.col("s_acctbal") < 0).alias("moves"))
+    asm = F.when(F.col("in_a") & ~F.col("moves"), "a").otherwise("b")
+    return x.select(asm.alias("asm"), "ctg", F.row_number().over(Window.partitionBy(asm).orderBy(F.when(F.col("in_a") & F.col("moves"), 1).otherwise(0), "ctg")).alias("ord"))
+
+
+@query("G6s_pure_only", """SELECT l_partkey, l_suppkey FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 2 AND l_partkey % 2 = 0)""")
+def g6(s, d):
+    li = table(s, d, "lineitem")
+    impure = li.groupBy("l_partkey").agg(F.count_distinct("l_returnflag").alias("n")).where("n > 2 and l_partkey % 2 = 0")
+    return li.select("l_partkey", "l_suppkey").join(impure, "l_partkey", "left_anti")
+
+
+_CC = """e AS (SELECT DISTINCT o_custkey AS a, o_custkey + 1 + o_orderkey % 3 AS b FROM orders WHERE o_orderkey % 3 = 0)"""
+
+
+@query("I1_components", f"""WITH RECURSIVE {_CC}, v AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM v UNION SELECT v.b, r.c FROM r JOIN v ON v.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node""")
+def i1(s, d):
+    e = table(s, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).alias("b"))
+    return graphs.components(e, "a", "b")
+
+
+def _keyed_edges(s, d):
+    return edge(s, d).select((F.col("a") % 3).alias("chr"), "a", "b", F.col("w").cast("double").alias("w"))
+
+
+@query("I2_merge_clusters")
+def i2(s, d):
+    return graphs.cluster_groups(_keyed_edges(s, d).where("w > 2"), "chr", "a", "b", "w", 3.0, 4)
+
+
+@query("I3_attach")
+def i3(s, d):
+    return graphs.cluster_groups(_keyed_edges(s, d), "chr", "a", "b", "w", 4.0, 4)
+
+
+@query("I5_second_refinement", """WITH t AS (SELECT l_suppkey AS win, l_linenumber AS grp, sum(l_quantity)::BIGINT AS hic FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL) SELECT win, grp, hic FROM t QUALIFY row_number() OVER (PARTITION BY win ORDER BY hic DESC, grp) = 1""")
+def i5(s, d):
+    t = table(s, d, "lineitem").where("l_returnflag = 'A'").groupBy(F.col("l_suppkey").alias("win"), F.col("l_linenumber").alias("grp")).agg(F.sum("l_quantity").cast("long").alias("hic"))
+    return first_by(t, ["win"], [F.desc("hic"), F.col("grp")])
+
+
+def _window_clusters(s, d, width=1500, cut=40.0):
+    from locuspark.functions.kernels import window_id
+
+    g = gt(s, d).withColumn("win", window_id(F.col("pos"), width))
+    return graphs.cluster_windows(G.pair_mismatches(g, ["win"], site=["pos"]), ["win"], "s1", "s2", "mismatches", cut)
+
+
+@query("I6_complete_linkage")
+def i6(s, d):
+    return _window_clusters(s, d)
+
+
+@query("I7_label_propagation")
+def i7(s, d):
+    return ordered.propagate_labels(_window_clusters(s, d).withColumn("chr", F.lit(1)), "chr", "win", "member", "cluster")
+
+
+@query("I8_purge_overlaps", """WITH sz AS (SELECT s_suppkey AS node, (s_acctbal + 2000)::BIGINT AS size FROM supplier), o AS (SELECT DISTINCT l_suppkey AS a, CASE WHEN l_quantity < 25 THEN 'l' ELSE 'r' END AS a_end, l_partkey AS b, CASE WHEN l_tax < 0.04 THEN 'l' ELSE 'r' END AS b_end, l_quantity::BIGINT AS ovl FROM lineitem WHERE l_suppkey <> l_partkey),
+  z AS (SELECT * FROM o UNION ALL SELECT b, b_end, a, a_end, ovl FROM o), c AS (SELECT z.a AS node, max(ovl) FILTER (a_end = 'l') AS l, max(ovl) FILTER (a_end = 'r') AS r FROM z JOIN sz x ON x.node = z.a JOIN sz y ON y.node = z.b WHERE x.size < y.size OR (x.size = y.size AND z.a > z.b) GROUP BY z.a)
+  SELECT node, coalesce(l, 0) + 1 AS keep_sta, size - coalesce(r, 0) AS keep_end FROM sz LEFT JOIN c USING (node) WHERE size - coalesce(r, 0) - coalesce(l, 0) >= 1000""")
+def i8(s, d):
+    sz = table(s, d, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_acctbal") + 2000).cast("decimal(18,0)").cast("long").alias("size"))
+    end = lambda c, t: F.when(F.col(c) < t, "l").otherwise("r")
+    o = table(s, d, "lineitem").where("l_suppkey <> l_partkey").select(F.col("l_suppkey").alias("a"), end("l_quantity", 25).alias("a_end"), F.col("l_partkey").alias("b"), end("l_tax", 0.04).alias("b_end"), F.col("l_quantity").cast("long").alias("ovl")).distinct()
+    return graphs.purge_overlaps(o, sz, 1000)
+
+
+@query("I9_parameter_sweep", f"""WITH {EDGE}, p AS (SELECT unnest([1, 2, 3]) AS least) SELECT least, count(*) AS edges, count(DISTINCT a) AS nodes FROM edge JOIN p ON w > least GROUP BY least""")
+def i9(s, d):
+    """One pass over the edges for a whole grid: an edge is laid out over the parameters that it meets."""
+    e = edge(s, d).withColumn("least", F.explode(F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda p: F.col("w") > p)))
+    return e.groupBy("least").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("a").alias("nodes"))
+
+
+@query("I10_two_levels")
+def i10(s, d):
+    """Windows of sites, then windows of these windows' clusters."""
+    from locuspark.functions.kernels import window_id
+
+    first = _window_clusters(s, d, 500, 10.0).select(F.col("win").alias("pos"), F.col("member").alias("sample"), F.col("cluster").cast("int").alias("gt")).withColumn("win", window_id(F.col("pos"), 4))
+    return graphs.cluster_windows(G.pair_mismatches(first, ["win"], site=["pos"]), ["win"], "s1", "s2", "mismatches", 2.0)
