@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from locuspark.plans import genotype, interval, pairs, scalar, topk  # noqa: F401
+    from locuspark.plans import genotype, interval, scalar, topk  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
