@@ -199,10 +199,10 @@ def c3(s, d):
     return I.point_in_interval(iv(s, d).select("seq", "id", "sta"), windows(s, d), ["seq"], "sta", "w_sta", "w_end", 90).select("id", "seq", "sta", "w_sta", "cls")
 
 
-@query("C4_best_overlap", f"""WITH {WINDOWS} SELECT id, seq, w_sta, overlap FROM (SELECT id, iv.seq, w_sta, least("end", w_end) - greatest(sta, w_sta) + 1 AS overlap, row_number() OVER (PARTITION BY id ORDER BY least("end", w_end) - greatest(sta, w_sta) DESC, w_sta, w_end) AS rn
+@query("C4_best_overlap", f"""WITH {WINDOWS} SELECT id, seq, w_sta, overlap FROM (SELECT id, iv.seq, w_sta, least("end", w_end) - greatest(sta, w_sta) + 1 AS overlap, row_number() OVER (PARTITION BY id, iv.seq, sta, "end" ORDER BY least("end", w_end) - greatest(sta, w_sta) DESC, w_sta, w_end) AS rn
   FROM iv JOIN win ON iv.seq = win.seq AND sta <= w_end AND w_sta <= "end") WHERE rn = 1""")
 def c4(s, d):
-    return I.best_overlap(iv(s, d), windows(s, d), ["seq"], ["id"], "sta", "end", "w_sta", "w_end", 90).select("id", "seq", "w_sta", "overlap")
+    return I.best_overlap(iv(s, d), windows(s, d), ["seq"], ["id", "seq", "sta", "end"], "sta", "end", "w_sta", "w_end", 90).select("id", "seq", "w_sta", "overlap")
 
 
 _MERGED = _ISLANDS.replace("SELECT seq,", "SELECT seq, pt,").replace("PARTITION BY seq", "PARTITION BY seq, pt").replace("GROUP BY seq, island", "GROUP BY seq, pt, island")

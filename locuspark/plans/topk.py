@@ -193,11 +193,11 @@ def i7(s, d):
     return ordered.propagate_labels(_window_clusters(s, d).withColumn("chr", F.lit(1)), "chr", "win", "member", "cluster")
 
 
-@query("I8_purge_overlaps", """WITH sz AS (SELECT s_suppkey AS node, (s_acctbal + 2000)::BIGINT AS size FROM supplier), o AS (SELECT DISTINCT l_suppkey AS a, CASE WHEN l_quantity < 25 THEN 'l' ELSE 'r' END AS a_end, l_partkey AS b, CASE WHEN l_tax < 0.04 THEN 'l' ELSE 'r' END AS b_end, l_quantity::BIGINT AS ovl FROM lineitem WHERE l_suppkey <> l_partkey),
+@query("I8_purge_overlaps", """WITH sz AS (SELECT s_suppkey AS node, floor(s_acctbal + 2000)::BIGINT AS size FROM supplier), o AS (SELECT DISTINCT l_suppkey AS a, CASE WHEN l_quantity < 25 THEN 'l' ELSE 'r' END AS a_end, l_partkey AS b, CASE WHEN l_tax < 0.04 THEN 'l' ELSE 'r' END AS b_end, l_quantity::BIGINT AS ovl FROM lineitem WHERE l_suppkey <> l_partkey),
   z AS (SELECT * FROM o UNION ALL SELECT b, b_end, a, a_end, ovl FROM o), c AS (SELECT z.a AS node, max(ovl) FILTER (a_end = 'l') AS l, max(ovl) FILTER (a_end = 'r') AS r FROM z JOIN sz x ON x.node = z.a JOIN sz y ON y.node = z.b WHERE x.size < y.size OR (x.size = y.size AND z.a > z.b) GROUP BY z.a)
   SELECT node, coalesce(l, 0) + 1 AS keep_sta, size - coalesce(r, 0) AS keep_end FROM sz LEFT JOIN c USING (node) WHERE size - coalesce(r, 0) - coalesce(l, 0) >= 1000""")
 def i8(s, d):
-    sz = table(s, d, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_acctbal") + 2000).cast("decimal(18,0)").cast("long").alias("size"))
+    sz = table(s, d, "supplier").select(F.col("s_suppkey").alias("node"), F.floor(F.col("s_acctbal") + 2000).alias("size"))
     end = lambda c, t: F.when(F.col(c) < t, "l").otherwise("r")
     o = table(s, d, "lineitem").where("l_suppkey <> l_partkey").select(F.col("l_suppkey").alias("a"), end("l_quantity", 25).alias("a_end"), F.col("l_partkey").alias("b"), end("l_tax", 0.04).alias("b_end"), F.col("l_quantity").cast("long").alias("ovl")).distinct()
     return graphs.purge_overlaps(o, sz, 1000)
