@@ -12,6 +12,7 @@ range of next bytes.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -90,20 +91,25 @@ class ContextTree:
     def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH, more: tuple[np.ndarray, np.ndarray] | None = None):
         """more: grams with two bytes of context that are not in codes, and counts; they inform depths 0 to 2."""
         self.depth = depth
-        self.grams, self.sums, self.nodes, self.weights = [None] * (depth + 1), [None] * (depth + 1), [None] * depth, [None] * depth
-        level = [None] * (depth + 1)
-        level[depth] = (codes, counts.astype(np.float64))
-        for d in range(depth - 1, -1, -1):
-            c, n = level[d + 1]
-            c = ((c >> np.int64(16)) << np.int64(8)) | (c & np.int64(255))  # drop the oldest byte of context
-            if more is not None and d == min(2, depth - 1):
-                c, n = np.concatenate([c, more[0]]), np.concatenate([n, more[1]])
-            u, i = np.unique(c, return_inverse=True)
-            level[d] = (u, np.bincount(i, n, len(u)))
-        for d, (c, n) in enumerate(level):
-            self.grams[d], self.sums[d] = c, np.concatenate([[0.0], np.cumsum(n)])
+        self.grams, self.sums = [None] * (depth + 1), [None] * (depth + 1)
+        level = (codes, counts.astype(np.float64))
+        for d in range(depth, -1, -1):
+            if d < depth:
+                c, n = level
+                c = ((c >> np.int64(16)) << np.int64(8)) | (c & np.int64(255))  # drop the oldest byte of context
+                if more is not None and d == min(2, depth - 1):
+                    c, n = np.concatenate([c, more[0]]), np.concatenate([n, more[1]])
+                u, i = np.unique(c, return_inverse=True)
+                level = (u, np.bincount(i, n, len(u)))
+            self.grams[d], self.sums[d] = level[0], np.concatenate([[0.0], np.cumsum(level[1])])
         self._weigh()
-        self._index(codes)
+        self.value = np.empty(len(codes), np.float32)
+        for i in range(0, len(codes), 100_000):
+            self.value[i : i + 100_000] = self.log10(codes[i : i + 100_000])
+        self.keys = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"keys": None, "values": None}  # workers make the table anew
 
     def _counts(self, d: int, context: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
         """How often one of the bytes low..low+width-1 followed the context of d bytes."""
@@ -112,33 +118,23 @@ class ContextTree:
         return self.sums[d][np.searchsorted(self.grams[d], first + width)] - self.sums[d][a]
 
     def _weigh(self) -> None:
-        """Weights of nodes above the deepest, bottom up; a node's key is its context, then its bits behind a leading 1."""
-        below = None
-        for d in range(self.depth, -1, -1):
-            codes = self.grams[d]
-            context, byte = codes >> 8, codes & 255
-            keys, logs, own = [], [], []
-            for k in range(8):
-                node = (1 << k) | (byte >> (8 - k))
-                new = np.flatnonzero(np.concatenate([[True], ((context << 8) | node)[1:] != ((context << 8) | node)[:-1]])) if len(codes) else np.empty(0, np.int64)
-                c, v = context[new], node[new]
-                low = (v << (8 - k)) & 255
-                half = 128 >> k
-                a, b = self._counts(d, c, low, half), self._counts(d, c, low + half, half)
-                keys.append((c << 8) | v)
-                own.append(_log_kt(a, b))
-            keys, own = np.concatenate(keys), np.concatenate(own)
-            order = np.argsort(keys)
-            keys, own = keys[order], own[order]
-            if below is None:
-                logs = own
-            else:
-                child, value = below
-                parent = ((child >> 16) << 8) | (child & 255)
-                deep = np.bincount(np.searchsorted(keys, parent), value, len(keys))
-                logs = np.logaddexp(own, deep) - np.log(2)
-                self.nodes[d], self.weights[d] = keys, (1 / (1 + np.exp(np.clip(deep - own, -700, 700)))).astype(np.float32)
-            below = keys, logs
+        """Weights of nodes above the deepest, bottom up; a node's key is its context, then its bits behind a leading 1.
+
+        Nodes of different bits never meet in a tree, so the eight places of a bit are weighed one after the other.
+        """
+        self.nodes, self.weights = [[None] * 8 for _ in range(self.depth)], [[None] * 8 for _ in range(self.depth)]
+        for k in range(8):
+            child = value = None
+            for d in range(self.depth, -1, -1):
+                codes = self.grams[d]
+                keys = np.unique(((codes >> 8) << 8) | (1 << k) | ((codes & 255) >> (8 - k)))
+                low, half = ((keys & 255) << (8 - k)) & 255, 128 >> k
+                own = _log_kt(self._counts(d, keys >> 8, low, half), self._counts(d, keys >> 8, low + half, half))
+                if child is not None:
+                    deep = np.bincount(np.searchsorted(keys, ((child >> 16) << 8) | (child & 255)), value, len(keys))
+                    self.nodes[d][k], self.weights[d][k] = keys, (1 / (1 + np.exp(np.clip(deep - own, -700, 700)))).astype(np.float32)
+                    own = np.logaddexp(own, deep) - np.log(2)
+                child, value = keys, own
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each code's byte in its context: all depths mixed, from the definition."""
@@ -155,9 +151,9 @@ class ContextTree:
                 zero, one = self._counts(d, c, low, half), self._counts(d, c, low + half, half)
                 kt = (np.where(bit, one, zero) + 0.5) / (zero + one + 1)
                 deeper = ~np.isnan(p)
-                if d < self.depth and len(self.nodes[d]):
-                    at = np.minimum(np.searchsorted(self.nodes[d], (c << 8) | node), len(self.nodes[d]) - 1)
-                    w = self.weights[d][at]
+                if d < self.depth and len(self.nodes[d][k]):
+                    at = np.minimum(np.searchsorted(self.nodes[d][k], (c << 8) | node), len(self.nodes[d][k]) - 1)
+                    w = self.weights[d][k][at]
                     mixed = w * kt + (1 - w) * p
                 else:
                     mixed = kt
@@ -166,25 +162,28 @@ class ContextTree:
             total += np.log10(p)
         return total
 
-    def _index(self, codes: np.ndarray) -> None:
+    def _index(self) -> None:
         """An open-addressed table from grams seen in training to their values."""
-        bits = max(4, int(len(codes) * 2.5).bit_length())
+        codes = self.grams[self.depth]
+        bits = max(4, int(len(codes) * 2).bit_length())
         self.shift, mask = _U(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
-        value = np.concatenate([self.log10(codes[i : i + 200_000]) for i in range(0, len(codes), 200_000)]) if len(codes) else np.empty(0)
+        keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
         left, slot = np.arange(len(codes)), self._slot(codes)
         while len(left):
-            free = self.keys[slot] == -1
-            self.keys[slot[free]] = codes[left[free]]  # of several, one stays
-            placed = self.keys[slot] == codes[left]
-            self.values[slot[placed]] = value[left[placed]]
+            free = keys[slot] == -1
+            keys[slot[free]] = codes[left[free]]  # of several, one stays
+            placed = keys[slot] == codes[left]
+            self.values[slot[placed]] = self.value[left[placed]]
             left, slot = left[~placed], (slot[~placed] + 1) & mask
+        self.keys = keys
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes.view(np.uint64) * _U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def score(self, codes: np.ndarray) -> np.ndarray:
         """As log10; grams seen in training come from the table."""
+        if self.keys is None:
+            self._index()
         mask = len(self.keys) - 1
         slot = self._slot(codes)
         found = self.keys[slot]
@@ -247,21 +246,54 @@ def _count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, most: int = GRAMS) -> ContextTree:
-    """Count grams over all of docs and weigh the tree; the driver sees at most ``most`` grams and 2^24 short ones."""
+def _floor(words: DataFrame, most: int) -> float:
+    """A count that at most ``most`` words reach, from a histogram with sixteen steps to a doubling."""
+    step = F.floor(F.log2("n") * 16).cast("long")
+    left, floor = most, None
+    for step, n in sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        floor = step
+    return float("inf") if floor is None else 2 ** (floor / 16) - 1e-6
+
+
+def train(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, most: int = GRAMS) -> bytes:
+    """Count grams over all of docs and weigh the tree; returns the pickled ContextTree.
+
+    One task builds it from at most ``most`` grams and 2^24 short ones, so its memory is bounded whatever the corpus.
+    """
     grams = scratch.write(_count_grams(docs, depth), "grams")
-    more = None
+    parts = grams.withColumn("short", F.lit(False))
     if depth > 2 and (total := grams.count()) > most:
         floor = grams.approxQuantile("n", [1 - most / total], 0.001)[0]
         rare = grams.where(F.col("n") <= floor)
         nearest = F.shiftright("code", 8 * (depth - 1)).bitwiseAND((1 << 16) - 1)
-        short = rare.groupBy((F.shiftleft(nearest, 8) + F.col("code").bitwiseAND(255)).alias("code")).agg(F.sum("n").alias("n")).toPandas()
-        more = short["code"].to_numpy(np.int64), short["n"].to_numpy(np.float64)
-        grams = grams.where(F.col("n") > floor)
-    got = grams.toPandas()
-    codes, counts = got["code"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-    order = np.argsort(codes)
-    return ContextTree(codes[order], counts[order], depth, more)
+        short = rare.groupBy((F.shiftleft(nearest, 8) + F.col("code").bitwiseAND(255)).alias("code")).agg(F.sum("n").alias("n"))
+        parts = parts.where(F.col("n") > floor).unionByName(short.withColumn("short", F.lit(True)))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)) for batch in batches]
+        code, n, short = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+        order = np.argsort(code[~short])
+        tree = ContextTree(code[~short][order], n[~short][order], depth, (code[short], n[short].astype(np.float64)) if short.any() else None)
+        raw = pickle.dumps(tree, 5)
+        for i in range(0, len(raw), 1 << 21):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([raw[i : i + (1 << 21)]], pa.binary())], ["at", "part"])
+
+    built = scratch.write(parts.coalesce(1).mapInArrow(build, "at long, part binary"), "tree")
+    return b"".join(bytes(r["part"]) for r in sorted(built.toLocalIterator(), key=lambda r: r["at"]))
+
+
+_TREES: dict[str, ContextTree] = {}
+
+
+def _tree(token: str, raw: bytes) -> ContextTree:
+    """This worker's copy of a pickled tree; one at a time."""
+    if token not in _TREES:
+        _TREES.clear()
+        _TREES[token] = pickle.loads(raw)
+    return _TREES[token]
 
 
 def lm_scores(docs: DataFrame, fold: int = 1, depth: int = DEPTH, frequent: int = FREQUENT) -> DataFrame:
@@ -282,16 +314,16 @@ def lm_scores(docs: DataFrame, fold: int = 1, depth: int = DEPTH, frequent: int
     ends = learn.count()
     total, different = total + ends, different + (ends > 0)
     scale = total + 0.5 * (different + 1)
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
+    top = words.where(F.col("n") >= _floor(words, frequent)).toPandas()
     known = dict(zip(map(bytes, top["word"]), np.log10((top["n"].to_numpy(np.float64) + 0.5) / scale).tolist()))
     end = float(np.log10((ends + 0.5) / scale))
     scratch.release()
-    model = train(learn, scratch, depth)
+    shared = spark.sparkContext.broadcast((train(learn, scratch, depth), known))
     scratch.release()
-    shared = spark.sparkContext.broadcast((model, known))
+    token = scratch.root
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
+        model, known = _tree(token, shared.value[0]), shared.value[1]
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             n_tokens, n_known, base, score, size, rare, tf, cuts = [], [], [], [], [], [], [], [0]
