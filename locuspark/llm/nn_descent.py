@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from locuspark.llm.common import Scratch
 
-NEIGHBOURS, SAMPLE, ROUNDS, STARTS, RUN = 48, 24, 8, 3, 256
-BEAM, EXPAND, HOPS = 128, 32, 8
+NEIGHBOURS, SAMPLE, ROUNDS, STARTS, RUN = 56, 24, 8, 3, 256
+BEAM, EXPAND, HOPS = 160, 32, 8
 
 
 def _top(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
@@ -229,7 +229,7 @@ def nearest(table: DataFrame, query: str, k: int = 20, id: str = "vec_id", vecto
     scratch = Scratch(table.sparkSession)
     rows = valid_vectors(table, id, vector)
     nodes, members, dim = nodes_of(rows, k + 1, scratch)
-    graph = build_graph(nodes, dim, scratch, neighbours, max(4, neighbours // 2))
+    graph = build_graph(nodes, dim, scratch, neighbours)
     asked = scratch.write(members.where(query.replace(id, "vec_id")).select(F.col("vec_id").alias("query_id"), "node"), "asked")
     zero = np.zeros(1, np.float64 if dim < 0 else np.float32).tobytes()
     starts = asked.select("node").distinct().join(nodes, "node")
