@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from locuspark.llm.common import Scratch
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Tells edge tables apart: their number and sums of two hashes."""
+    one, two = F.xxhash64("u", "v"), F.xxhash64("v", "u", F.lit(1))
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(one.cast("decimal(38,0)")), F.bit_xor(two)).first())
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node that it reaches.
 
     Self loops, repeated edges and rows with a null end change nothing. Every step aggregates by node with map-side
-    combine and joins back; nothing but the number of changed edges reaches the driver.
+    combine and joins back; nothing but a fingerprint of the edges reaches the driver.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch.write(edges, "edges")
+    state = _state(edges)
     while True:
         # large star: the larger neighbours of a node, and the node, meet its smallest neighbour
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,10 +33,10 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
         after = scratch.write(small, "edges")
-        changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(after, ["u", "v"], "left_anti").limit(1).count()
         scratch.drop(edges)
-        edges = after
-        if not changed:
+        edges, now = after, _state(after)
+        if now == state:
             break
+        state = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
