@@ -2,7 +2,7 @@
 
 Seeds are winnowed anchors: of every 9 consecutive runs of 5 words, the one with the smallest code. Any 13-word window
 holds 9 such runs, so two documents that share a window share its anchor: joining documents on anchors loses no match.
-A shared anchor is extended both ways, word by word, to every window that holds it; a window is repeated if its whole word
+A shared anchor is extended both ways, word by word, to every window whose anchor it is; a window is repeated if its whole word
 sequence also starts in a document with a smaller doc_id. Overlapping repeated windows chain into maximal repeats.
 
 Each join is an aggregation by code (with map-side combine, so a passage that a third of all documents share arrives as
@@ -27,12 +27,17 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 
 def anchors(words: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes and positions of the winnowed anchors of a text (none if it is shorter than a window)."""
-    runs, span = run_codes(words, seed), window - seed + 1
+    runs = run_codes(words, seed)
+    at = np.unique(_lowest(runs, window - seed + 1))
+    return runs[at].view(np.int64), at.astype(np.int32)
+
+
+def _lowest(runs: np.ndarray, span: int) -> np.ndarray:
+    """Where each window's anchor lies: the first of its runs with the smallest code."""
     if len(runs) < span:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
+        return np.empty(0, np.int64)
     low = np.lib.stride_tricks.sliding_window_view(runs, span).argmin(axis=1)
-    at = np.unique(low + np.arange(len(low)))
-    return runs[at].view(np.int64), at.astype(np.int32)
+    return low + np.arange(len(low))
 
 
 def _lists(parts: list[np.ndarray], kind) -> pa.Array:
@@ -60,28 +65,24 @@ def _describe(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def _windows(texts: DataFrame, window: int, seed: int) -> DataFrame:
-    """Every window that holds one of a text's shared anchors: two independent codes, doc_id and first word."""
+    """Every window whose anchor is shared: its 64-bit code, doc_id and first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two, ids, starts = [], [], [], []
+            codes, ids, starts = [], [], []
             for k, (text, at) in enumerate(zip(as_bytes(batch.column(1)), batch.column(2))):
                 words, at = word_codes(text), np.asarray(at.values)
-                first = np.zeros(len(words) - window + 2 + seed + window, np.int32)  # how many shared anchors start a stretch of windows here
-                np.add.at(first, np.maximum(at - (window - seed), 0), 1)
-                np.add.at(first, at + 1, -1)
-                s = np.flatnonzero(np.cumsum(first)[: len(words) - window + 1] > 0)
-                one.append(run_codes(words, window)[s])
-                two.append(run_codes(words, window, salt=0x5851F42D4C957F2D)[s])
+                s = np.flatnonzero(np.isin(_lowest(run_codes(words, seed), window - seed + 1), at))
+                codes.append(run_codes(words, window)[s])
                 ids.append(np.full(len(s), k))
                 starts.append(s)
                 if sum(map(len, starts[-64:])) > 200_000 or k == batch.num_rows - 1:
-                    a, b = (np.concatenate(x).view(np.int64) for x in (one, two))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(starts).astype(np.int32))], ["a", "b", "doc_id", "start"])
-                    one, two, ids, starts = [], [], [], []
+                    code = np.concatenate(codes).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(starts).astype(np.int32))], ["code", "doc_id", "start"])
+                    codes, ids, starts = [], [], []
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text", "at").mapInArrow(run, f"a long, b long, doc_id {kind}, start int")
+    return texts.select("doc_id", "text", "at").mapInArrow(run, f"code long, doc_id {kind}, start int")
 
 
 def spans(starts: np.ndarray, window: int) -> np.ndarray:
@@ -126,6 +127,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     docs = docs.select("doc_id", "text")
     base = scratch.write(_describe(docs, window, seed), "base")
 
+    summary = scratch.write(base.select("doc_id", "n_words", "sha"), "summary")
+
     # a copy of a document with a smaller id loses every word; only first copies go further
     whole = base.where("doc_id is not null").where(F.col("n_words") >= window)
     first = scratch.write(whole.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "first")
@@ -135,25 +138,27 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     seeds = whole.select("doc_id", F.explode(F.arrays_zip("codes", "at")).alias("s")).select("doc_id", F.col("s.codes").alias("code"), F.col("s.at").alias("at"))
     shared = seeds.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("code")
     shared = scratch.write(shared, "shared")  # apart from its aggregation, so that Spark can split the join's other side
+    scratch.release()
     hits = seeds.join(shared.hint("shuffle_hash"), "code").select("doc_id", "at")
     hits = scratch.write(hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at")), "hits")
+    scratch.drop(base, shared)
     scratch.release()
     hits = hits.join(copies, "doc_id", "left_anti")
     texts = scratch.write(docs.join(hits.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]), "texts")
     scratch.release()
 
     found = scratch.write(_windows(texts, window, seed), "windows")
-    lowest = found.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low")
+    lowest = found.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("code", "low")
     lowest = scratch.write(lowest, "lowest")
     scratch.release()
-    repeated = found.join(lowest.hint("shuffle_hash"), ["a", "b"]).where("doc_id > low")
+    repeated = found.join(lowest.hint("shuffle_hash"), "code").where("doc_id > low")
     starts = scratch.write(repeated.groupBy("doc_id").agg(F.collect_list("start").alias("starts")), "starts")
     scratch.drop(found)
     scratch.release()
     cut = scratch.write(_remove(texts.select("doc_id", "text").join(starts, "doc_id"), window), "cut")
     scratch.drop(texts, starts)
 
-    out = base.select("doc_id", "n_words", F.lower(F.hex("sha")).alias("sha")).join(cut, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    out = summary.select("doc_id", "n_words", F.lower(F.hex("sha")).alias("sha")).join(cut, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     n = F.col("n_words")
     return out.select(
         "doc_id",
