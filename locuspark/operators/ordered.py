@@ -47,11 +47,12 @@ def nonredundant_targets(df: DataFrame, key: str, order: str, sta: str, end: str
     """df with ``kept``: false where an interval, in order, is redundant to one kept before.
 
     Kept intervals of a key are trimmed against the next one, or replaced by one that holds them; the shared part, as a
-    share of the kept interval, tells how redundant the next one is, and beyond ``most`` it does not count.
+    share of the kept interval, tells how redundant the next one is, and beyond ``most`` it does not count. Of equal
+    places in the order the smaller interval goes first.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
+        g = g.sort_values([order, sta, end], kind="stable")
         kept: list[list[int]] = []
         verdict = []
         for s, e in zip(g[sta].tolist(), g[end].tolist()):

@@ -27,3 +27,35 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_nonredundant_over_the_whole_table(spark):
+    """E7 has no SQL twin: every interval has a verdict, and it is that of the rule, one interval after the other."""
+    from locuspark.plans.base import iv
+
+    want = []
+    for key in {r.seq for r in iv(spark, SF).select("seq").distinct().collect()}:
+        kept = []
+        for i, s, e in sorted((r.id, r.sta, r.end) for r in iv(spark, SF).where(f"seq = {key}").collect()):
+            ratio, record, gone = 0, True, []
+            for a, b in sorted(kept):
+                if s > b or e < a or s > e:
+                    continue
+                inside, holds = a <= s and e <= b, s <= a and b <= e
+                low, high = (s, e) if inside or holds else (max(a, s), min(b, e))
+                ratio = (high - low + 1) / (b - a + 1)
+                if holds:
+                    gone.append((a, b))
+                elif inside:
+                    record = False
+                elif a <= s:
+                    s = b + 1
+                else:
+                    e = a - 1
+                if ratio > 0.8:
+                    break
+            kept = [k for k in kept if k not in gone] + ([(s, e)] if record and s <= e else [])
+            want.append((key, i, ratio <= 0.8))
+    got = registry.queries()["E7_nonredundant"](spark, SF).collect()
+    assert len(got) == len(want) == iv(spark, SF).count()
+    assert sorted(map(tuple, got)) == sorted(want)
