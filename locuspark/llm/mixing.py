@@ -3,8 +3,9 @@
 Domains come from the labelled table: low (quality 0), toxic (quality 1, toxic 1) and clean. A classifier fitted on a
 bounded sample of labelled rows predicts each document's posteriors over domains: boosted trees on its statistics say how
 likely it is low, a logistic model on words, and beginnings of words, that set toxic rows apart says how likely it is toxic. Document rates r >= 0
-then minimise the squared distance of expected domain token totals, sum_i r_i t_i p_ik, from the targets, with a small pull
-towards 1, by projected gradient steps. A step needs only one residual for each domain, so each is one small aggregation
+then minimise the squared distance of expected domain token totals, sum_i r_i t_i p_ik, from the targets, each as a share of
+what its domain holds, so that a small domain counts like a large one, with a small pull towards 1, by projected gradient
+steps with momentum, until rates settle. A step needs only one residual for each domain, so each is one small aggregation
 over the table of posteriors, and a document's rate follows from the residuals so far: no rates are kept or moved.
 """
 
@@ -25,7 +26,10 @@ from locuspark.llm.quality import SAMPLE, fit, labelled_statistics, matrix
 DOMAINS = ["clean", "toxic", "low"]
 #: All weight on clean documents; the budget is what they hold.
 TARGETS = {"clean": 1.0, "toxic": 0.0, "low": 0.0}
-WORDS, STEPS, PULL = 3000, 40, 0.01
+WORDS, PULL = 3000, 0.01
+#: Steps go on until none moves a rate by more than TOLERANCE, which leaves rates within TOLERANCE / PULL of the solution, as
+#: the objective's curvature is at least PULL and at most 1 + PULL. That takes some tens of steps; STEPS without it is an error.
+TOLERANCE, STEPS = 1e-5, 1000
 _PUNCTUATION = string.punctuation.encode()
 
 
@@ -109,19 +113,28 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     return docs.mapInArrow(run, f"doc_id {kind}, tokens long, p_clean double, p_toxic double, p_low double")
 
 
+def _settle(p: np.ndarray, residuals: list[np.ndarray], pull: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """After a projected step for each residual so far: rates, where the next residual is taken, and the last step's moves."""
+    rate, step = np.ones(len(p)), 1 / (1 + pull)
+    root = np.sqrt(pull * step)
+    at, moved = rate, np.full(len(p), np.inf)
+    for e in residuals:
+        after = np.maximum(0, at - step * (p @ e + pull * (at - 1)))
+        moved = np.abs(after - at)
+        at, rate = after + (1 - root) / (1 + root) * (after - rate), after
+    return rate, at, moved
+
+
 def _rates(p: np.ndarray, residuals: list[np.ndarray], pull: float) -> np.ndarray:
     """Rates after a projected step for each residual so far."""
-    r, step = np.ones(len(p)), 1 / (1 + pull)
-    for e in residuals:
-        r = np.maximum(0, r - step * (p @ e + pull * (r - 1)))
-    return r
+    return _settle(p, residuals, pull)[0]
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = STEPS, pull: float = PULL, tolerance: float = 1e-5) -> list[np.ndarray]:
-    """Residuals of each step, as a share of all tokens: with them any document's rate follows from its posteriors.
+def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = STEPS, pull: float = PULL, tolerance: float = TOLERANCE, own: bool = False) -> list[np.ndarray]:
+    """Residuals of each step: with them any document's rate follows from its posteriors.
 
     table: tokens, p_<domain>. The budget (expected tokens after mixing) is, unless given, what the domain of the largest
-    target holds divided by its weight.
+    target holds divided by its weight. Residuals are shares of all tokens or, with ``own``, of what the domain itself holds.
     """
     names = list(targets)
     columns = [F.coalesce(F.sum(F.col("tokens") * F.col(f"p_{k}")), F.lit(0.0)) for k in names]
@@ -129,24 +142,28 @@ def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None
     weights = np.asarray([targets[k] for k in names]) / max(sum(targets.values()), 1e-300)
     everything = max(held.sum(), 1.0)
     most = int(weights.argmax())
-    goal = weights * (held[most] / weights[most] if budget is None else budget) / everything
+    goal = weights * (held[most] / weights[most] if budget is None else budget)
+    # a domain that holds nothing has no documents to move
+    unit = np.where(held > 0, held, np.inf) if own else np.full(len(names), everything)
     residuals: list[np.ndarray] = []
-    for _ in range(steps):
+    for _ in range(steps + 1):
 
         def sums(batches: Iterator[pa.RecordBatch], past=tuple(residuals)) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(names))
+            total, most = np.zeros(len(names)), 0.0
             for batch in batches:
                 p = np.column_stack([batch.column(k + 1).to_numpy() for k in range(len(names))])
-                total += (_rates(p, list(past), pull) * batch.column(0).to_numpy()) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names)
+                _, at, moved = _settle(p, list(past), pull)
+                total += (at * batch.column(0).to_numpy()) @ p
+                most = max(most, moved.max(initial=0.0))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in [*total, most]], [*names, "moved"])
 
-        schema = ", ".join(f"{k} double" for k in names)
-        rows = table.select("tokens", *[f"p_{k}" for k in names]).mapInArrow(sums, schema).agg(*[F.coalesce(F.sum(k), F.lit(0.0)) for k in names]).first()
-        e = np.asarray(rows, np.float64) / everything - goal
-        if residuals and np.abs(e - residuals[-1]).max() < tolerance:
-            break
-        residuals.append(e)
-    return residuals
+        schema = ", ".join(f"{k} double" for k in [*names, "moved"])
+        got = table.select("tokens", *[f"p_{k}" for k in names]).mapInArrow(sums, schema)
+        *rows, moved = got.agg(*[F.coalesce(F.sum(k), F.lit(0.0)) for k in names], F.coalesce(F.max("moved"), F.lit(0.0))).first()
+        if moved <= tolerance:
+            return residuals
+        residuals.append((np.asarray(rows, np.float64) - goal) / unit)
+    raise RuntimeError(f"rates still move by {moved} after {steps} steps")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, sample: int = SAMPLE, steps: int = STEPS, pull: float = PULL) -> DataFrame:
@@ -160,7 +177,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     scratch = Scratch(docs.sparkSession)
     table = scratch.write(posteriors(docs, labels, sample), "posteriors")
     names = list(targets)
-    residuals = fit_rates(table, targets, budget, steps, pull)
+    residuals = fit_rates(table, targets, budget, steps, pull, own=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

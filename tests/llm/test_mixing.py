@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from locuspark.llm import mixing
 from locuspark.llm.mixing import TARGETS, _rates, fit_rates, mix
 
 
@@ -42,3 +44,24 @@ def test_edge_cases(spark):
     assert len(got) == 5 and all(r.rate >= 0 and abs(r.p_clean + r.p_toxic + r.p_low - 1) < 1e-9 for r in got)
     assert mix(docs.limit(0), labels.limit(0)).collect() == []
     assert sum(TARGETS.values()) == 1
+
+
+@pytest.mark.parametrize("toxic", [1, 10, 100, 300])
+def test_a_small_domain_goes_by_its_posteriors(spark, monkeypatch, toxic):
+    """With the query's own settings, whatever share of the tokens is toxic: 0.01, 0.1, 1 and 3 %."""
+    p = [(0.005, 0.99, 0.005)] * toxic + [(0.998, 0.001, 0.001)] * (10000 - toxic)
+    table = spark.createDataFrame([(i, 100, *x) for i, x in enumerate(p)], "doc_id long, tokens long, p_clean double, p_toxic double, p_low double").repartition(3)
+    monkeypatch.setattr(mixing, "posteriors", lambda docs, labels, sample: table)
+    got = sorted(mix(table, table).collect())
+    assert all(r.copies == 0 for r in got[:toxic]) and all(r.copies == 1 for r in got[toxic:])
+    # where the projected gradient is zero, to the tolerance: the rates solve it, so no further step would change them
+    p, r, share = np.asarray(p), np.array([x.rate for x in got]), 1 / len(p)
+    held = share * p.sum(0)
+    e = (share * (r @ p) - held * [1, 0, 0]) / held
+    assert np.abs(np.maximum(0, r - (p @ e + 0.01 * (r - 1))) - r).max() < 1e-4
+
+
+def test_a_stop_short_of_the_solution_is_an_error(spark):
+    table = spark.createDataFrame([(100, 0.9, 0.1), (10, 0.2, 0.8)], "tokens long, p_a double, p_b double")
+    with pytest.raises(RuntimeError):
+        fit_rates(table, {"a": 1.0, "b": 0.0}, steps=2)
