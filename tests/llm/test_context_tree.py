@@ -119,6 +119,24 @@ def test_scores(spark):
     assert lm_scores(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 5])
+def test_every_gram_counts_however_few_are_broadcast(spark, depth):
+    """Scores are those of the whole tree when most grams are joined, and when the tree is built in many parts."""
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(c) for c in rng.integers(97, 123, rng.integers(1, 9))) for _ in range(150)] + ["éé", "ß"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(120)] + [(None, "zz top"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    texts = [normal((t or "").encode()) for _, t in rows]
+    u, n = np.unique(text_codes([t for t, h in zip(texts, held) if not h], depth)[0], return_counts=True)
+    tree = ContextTree(u, n, depth)
+    want = sorted(tree.log10(text_codes([t], depth)[0]).sum() for t in texts)
+    for most, size in ((0, 50), (60, 50), (10**6, 10**6)):
+        got = lm_scores(docs, depth=depth, most=most, size=size).collect()
+        assert sorted(r.score for r in got) == pytest.approx(want, rel=1e-5)
+        assert all(r.bits_per_byte > 0 for r in got)
+
+
 def test_held_out_texts_code_shorter_than_by_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = lm_scores(docs).where("held_out").toPandas()
