@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from locuspark.llm.common import Scratch, run_codes, word_codes
 from locuspark.llm.components import connected_components
@@ -59,6 +60,61 @@ def test_against_all_pairs(spark):
         assert sorted(map(tuple, minhash_dedup(docs, words=k).collect()), key=str) == brute(rows, k)
 
 
+def crowd(seed=5, copies=300, changed=80):
+    """One text in many near copies, many that are changed more, and pairs of near copies among those."""
+    rng = random.Random(seed)
+    vocab = [f"v{i}" for i in range(400)]
+    base = [rng.choice(vocab) for _ in range(90)]
+
+    def edit(words, n):
+        words = list(words)
+        for k in rng.sample(range(len(words)), n):
+            words[k] = rng.choice(vocab)
+        return words
+
+    rows = [" ".join(edit(base, rng.randrange(0, 5))) for _ in range(copies)]
+    for _ in range(changed):
+        far = edit(base, rng.randrange(5, 16))
+        rows += [" ".join(far)] + [" ".join(edit(far, rng.randrange(0, 4))) for _ in range(rng.randrange(3))]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_crowd_of_near_copies(spark):
+    """Links between the components of a hot bucket are all found, in far fewer comparisons than there are pairs."""
+    rows = crowd()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (2, 3):
+        want = brute(rows, k)
+        assert 30 < len({r[2] for r in want}) < 150
+        assert sorted(map(tuple, minhash_dedup(docs, words=k).collect()), key=str) == want
+
+
+def test_across_compares_few_pairs(spark, monkeypatch):
+    from locuspark.llm import minhash_dedup as m
+
+    seen, plain = [], m.across
+    monkeypatch.setattr(m, "across", lambda *a: seen.append(plain(*a)) or seen[-1])
+    rows = crowd(copies=400, changed=100)
+    m.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert seen[0].count() < 0.05 * 400 * 100
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Every row is judged by its own text."""
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"{x}{rng.randrange(1000)}" for _ in range(40)) for x in "abc")
+    rows = [(1, a), (5, b), (5, a), (7, b + " x"), (9, c), (9, a + " y"), (9, c), (8, c + " z")]
+    got = minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=2, tagged=True)
+    tag = {r.tag: r.text for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("tag")).collect()}
+    assert sorted((r.doc_id, tag[r.tag], r.component_id, r.kept) for r in got.collect()) == sorted(
+        [(1, a, 1, True), (5, b, 5, True), (5, a, 1, False), (7, b + " x", 5, False), (9, c, 8, False), (9, a + " y", 1, False), (9, c, 8, False), (8, c + " z", 8, True)]
+    )
+    rows = [(5, a), (5, b), (3, b + " x"), (6, a + " y")]  # one id stands for two sets
+    got = minhash_dedup(spark.createDataFrame([(str(i), t) for i, t in rows], "doc_id string, text string"), words=2)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [("3", "3"), ("5", "3"), ("5", "5"), ("6", "5")]
+
+
 def test_empty(spark):
     assert minhash_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
