@@ -3,8 +3,9 @@
 A window's level is the number of its places that are filled. A piece goes to the level (an empty window is level 0) that
 makes the sum of squared counts of partially filled windows smallest; the counts are kept in an array by level. Each
 task packs the documents of its own partition, so nothing is shuffled and memory holds one partition's open windows,
-at most a few for each level. What is still open when a partition ends is cut anew, without gaps: full windows first,
-then one window for each power of two in the rest, which needs no padding.
+at most a few for each level. When a partition ends, windows that are still open keep what they hold, the fullest first, and
+are filled up with pieces cut from the emptiest ones; what is left of the last becomes one window for each power of two in its
+size, which needs no padding.
 """
 
 from __future__ import annotations
@@ -62,23 +63,43 @@ class Packer:
         return None
 
     def rest(self) -> Iterator[list]:
-        """The open windows' pieces, joined and cut without gaps."""
-        pieces = [p for level in sorted(self.open) for window in self.open[level] for p in window]
+        """The open windows, filled up by pieces cut from the emptiest of them; last, windows of powers of two."""
+        windows = [(level, pieces) for level in sorted(self.open, reverse=True) for pieces in self.open[level]]
         self.open, self.count[:] = {}, 0
-        left = sum(p[2] for p in pieces)
-        i, used = 0, 0
-        while left:
-            size = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-            window, room = [], size
-            while room:
-                doc, start, length = pieces[i][:3]
-                take = min(room, length - used)
-                window.append((doc, start + used, take))
-                used, room = used + take, room - take
-                if used == length:
-                    i, used = i + 1, 0
-            yield window
-            left -= size
+        while windows:
+            level, pieces = windows.pop(0) if len(windows) > 1 else (0, [])
+            sizes = [self.window - level]
+            if not pieces:  # the last window: its binary digits, the largest first
+                level = windows[0][0]
+                sizes = [1 << k for k in range(level.bit_length() - 1, -1, -1) if level >> k & 1]
+            for size in sizes:
+                pieces = [*pieces, *self._take(windows, size)]
+                size = sum(p[2] for p in pieces)
+                if size & (size - 1):  # nothing is left to fill it with
+                    windows.append((size, pieces))
+                else:
+                    yield pieces
+                pieces = []
+
+    @staticmethod
+    def _take(windows: list[tuple[int, list]], size: int) -> list[tuple]:
+        """Up to ``size`` places' worth of pieces from the ends of the last windows, which lose them."""
+        out = []
+        while size and windows:
+            level, pieces = windows[-1]
+            doc, start, length = pieces[-1]
+            take = min(size, length)
+            out.append((doc, start + length - take, take))
+            size, level = size - take, level - take
+            if take == length:
+                pieces.pop()
+            else:
+                pieces[-1] = (doc, start, length - take)
+            if pieces:
+                windows[-1] = (level, pieces)
+            else:
+                windows.pop()
+        return out
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
@@ -87,7 +108,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, with
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, unless with_ids is false,
     the ids. A null or empty text is the end id alone. Repeated rows and null ids are documents of their own. An empty
     table gives no piece. A document longer than a window fills windows of its own first; what remains is one piece,
-    cut again only at the end of a partition. sequence_id holds the partition in its upper bits.
+    placed by the sum of squares and cut again only if it lies in one of the emptiest windows at a partition's end. sequence_id holds the partition in its upper bits.
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
@@ -116,7 +137,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, with
 
         def flush() -> pa.RecordBatch:
             doc, start, length, crc, total, seq, at, parts = zip(*rows)
-            columns = [pa.array([d.as_py() for d in doc], kind_arrow), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, seq, at))]
+            columns = [pa.array(doc, kind_arrow), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, seq, at))]
             if with_ids:
                 cuts = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(parts), "<i4"))))
@@ -127,7 +148,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, with
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids]
         for batch in batches:
             kind_arrow = batch.schema.field(0).type
-            for doc_id, ids in zip(batch.column(0), e.values(as_bytes(batch.column(1)))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), e.values(as_bytes(batch.column(1)))):
                 doc, ids = len(doc_ids), ids + end
                 n = len(ids) // 4
                 doc_ids.append(doc_id)
