@@ -2,8 +2,10 @@
 
 Seeds are winnowed anchors: of every 9 consecutive runs of 5 words, the one with the smallest code. Any 13-word window
 holds 9 such runs, so two documents that share a window share its anchor: joining documents on anchors loses no match.
-A shared anchor is extended both ways, word by word, to every window whose anchor it is; a window is repeated if its whole word
-sequence also starts in a document with a smaller doc_id. Overlapping repeated windows chain into maximal repeats.
+Where an anchor is shared, each document extends it both ways to every window whose anchor it is, and these windows are matched
+by a 128-bit code of their whole word sequence (two 64-bit polynomials over different word codes), not pair by pair; a window
+is repeated if its sequence also starts in a document with a smaller doc_id. Among 10^13 windows the chance of one false
+match is about 10^-13. Overlapping repeated windows chain into maximal repeats, which are kept.
 
 Each join is an aggregation by code (with map-side combine, so a passage that a third of all documents share arrives as
 one row from each task) followed by an equi-join back, whose large side Spark may split; no pairs of documents are made.
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locuspark.llm.common import Scratch, as_bytes, run_codes, word_codes
@@ -45,44 +47,56 @@ def _lists(parts: list[np.ndarray], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(parts) if parts else np.empty(0), kind))
 
 
+#: Runs and windows are coded twice, over word codes that differ by this salt.
+SALT = 0x5851F42D4C957F2D
+
+
 def _describe(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """doc_id, n_words, sha (of the words joined by spaces), anchor codes and positions."""
+    """doc_id, tag, n_words, sha (of the words joined by spaces), anchor codes and positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sha, codes, at = [], [], [], []
-            for text in as_bytes(batch.column(1)):
+            for text in as_bytes(batch.column(2)):
                 words = text.split()
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).digest())
                 c, p = anchors(word_codes(text), window, seed) if len(words) >= window else (np.empty(0, np.int64), np.empty(0, np.int32))
                 codes.append(c)
                 at.append(p)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), _lists(codes, pa.int64()), _lists(at, pa.int32())], ["doc_id", "n_words", "sha", "codes", "at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sha, pa.binary()), _lists(codes, pa.int64()), _lists(at, pa.int32())], ["doc_id", "tag", "n_words", "sha", "codes", "at"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, sha binary, codes array<long>, at array<int>")
+    return docs.mapInArrow(run, f"doc_id {kind}, tag long, n_words long, sha binary, codes array<long>, at array<int>")
+
+
+def window_codes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the 128-bit codes of a text's windows, from its word codes."""
+    return run_codes(words, window).view(np.int64), run_codes(words, window, SALT).view(np.int64)
 
 
 def _windows(texts: DataFrame, window: int, seed: int) -> DataFrame:
-    """Every window whose anchor is shared: its 64-bit code, doc_id and first word."""
+    """Every window whose anchor is shared: its 128-bit code, doc_id, twin and first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, ids, starts = [], [], []
-            for k, (text, at) in enumerate(zip(as_bytes(batch.column(1)), batch.column(2))):
+            one, two, ids, starts, held = [], [], [], [], 0
+            for k, (text, at) in enumerate(zip(as_bytes(batch.column(2)), batch.column(3))):
                 words, at = word_codes(text), np.asarray(at.values)
                 s = np.flatnonzero(np.isin(_lowest(run_codes(words, seed), window - seed + 1), at))
-                codes.append(run_codes(words, window)[s])
+                for out, codes in zip((one, two), window_codes(words, window)):
+                    out.append(codes[s])
                 ids.append(np.full(len(s), k))
                 starts.append(s)
-                if sum(map(len, starts[-64:])) > 200_000 or k == batch.num_rows - 1:
-                    code = np.concatenate(codes).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(starts).astype(np.int32))], ["code", "doc_id", "start"])
-                    codes, ids, starts = [], [], []
+                held += len(s)
+                if held > 200_000 or k == batch.num_rows - 1:
+                    rows = pa.array(np.concatenate(ids))
+                    columns = [pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), *(batch.column(j).take(rows) for j in (0, 1)), pa.array(np.concatenate(starts).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["code", "code2", "doc_id", "twin", "start"])
+                    one, two, ids, starts, held = [], [], [], [], 0
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text", "at").mapInArrow(run, f"code long, doc_id {kind}, start int")
+    return texts.select("doc_id", "twin", "text", "at").mapInArrow(run, f"code long, code2 long, doc_id {kind}, twin int, start int")
 
 
 def spans(starts: np.ndarray, window: int) -> np.ndarray:
@@ -93,12 +107,12 @@ def spans(starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def _remove(texts: DataFrame, window: int) -> DataFrame:
-    """Cut maximal repeats out of texts (doc_id, text, starts)."""
+    """Cut maximal repeats out of texts (doc_id, tag, text, starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, sha, where = [], [], []
-            for text, starts in zip(as_bytes(batch.column(1)), batch.column(2)):
+            for text, starts in zip(as_bytes(batch.column(2)), batch.column(3)):
                 words, kept, last = text.split(), [], 0
                 cut = spans(np.asarray(starts.values), window)
                 for a, b in cut.tolist():
@@ -108,10 +122,10 @@ def _remove(texts: DataFrame, window: int) -> DataFrame:
                 removed.append(len(words) - len(kept))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 where.append(cut.ravel().astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(sha), _lists(where, pa.int32())], ["doc_id", "n_removed", "kept_sha256", "repeats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(removed, pa.int64()), pa.array(sha), _lists(where, pa.int32())], ["doc_id", "tag", "n_removed", "kept_sha256", "repeats"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text", "starts").mapInArrow(run, f"doc_id {kind}, n_removed long, kept_sha256 string, repeats array<int>")
+    return texts.select("doc_id", "tag", "text", "starts").mapInArrow(run, f"doc_id {kind}, tag long, n_removed long, kept_sha256 string, repeats array<int>")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -119,46 +133,47 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller doc_id; windows are
     judged on the input. repeats holds the maximal removed stretches as first, past-last, first, past-last ... word
-    numbers. Null and empty texts have no words; texts shorter than a window keep all. doc_id tells documents apart:
-    repeated rows have the same answer each, and a row with null doc_id neither loses words nor takes any. An empty table
-    gives none.
+    numbers. Null and empty texts have no words; texts shorter than a window keep all. Every row is judged by its own text:
+    repeated rows have the same answer each, rows that share a doc_id take nothing from each other whatever their texts, and
+    a row with null doc_id neither loses words nor takes any. An empty table gives none.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")  # the tag tells texts of one id apart
+    row = ["doc_id", "tag"]
     base = scratch.write(_describe(docs, window, seed), "base")
 
-    summary = scratch.write(base.select("doc_id", "n_words", "sha"), "summary")
+    summary = scratch.write(base.select(*row, "n_words", "sha"), "summary")
 
     # a copy of a document with a smaller id loses every word; only first copies go further
     whole = base.where("doc_id is not null").where(F.col("n_words") >= window)
     first = scratch.write(whole.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "first")
-    copies = whole.select("doc_id", "sha").join(first, "sha").where("doc_id > first").select("doc_id").distinct()
+    copies = whole.select(*row, "sha").join(first, "sha").where("doc_id > first").select(*row).distinct()
     copies = scratch.write(copies, "copies")
 
-    seeds = whole.select("doc_id", F.explode(F.arrays_zip("codes", "at")).alias("s")).select("doc_id", F.col("s.codes").alias("code"), F.col("s.at").alias("at"))
+    seeds = whole.select(*row, F.explode(F.arrays_zip("codes", "at")).alias("s")).select(*row, F.col("s.codes").alias("code"), F.col("s.at").alias("at"))
     shared = seeds.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("code")
     shared = scratch.write(shared, "shared")  # apart from its aggregation, so that Spark can split the join's other side
     scratch.release()
-    hits = seeds.join(shared.hint("shuffle_hash"), "code").select("doc_id", "at")
-    hits = scratch.write(hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at")), "hits")
+    hits = seeds.join(shared.hint("shuffle_hash"), "code").select(*row, "at")
+    hits = scratch.write(hits.groupBy(*row).agg(F.sort_array(F.collect_set("at")).alias("at")), "hits")
     scratch.drop(base, shared)
     scratch.release()
-    hits = hits.join(copies, "doc_id", "left_anti")
-    texts = scratch.write(docs.join(hits.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    hits = hits.join(copies, row, "left_anti").withColumn("twin", F.row_number().over(Window.partitionBy("doc_id").orderBy("tag")))
+    texts = scratch.write(docs.join(hits.hint("shuffle_hash"), row).dropDuplicates(row), "texts")
     scratch.release()
 
     found = scratch.write(_windows(texts, window, seed), "windows")
-    lowest = found.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("code", "low")
+    lowest = found.groupBy("code", "code2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("code", "code2", "low")
     lowest = scratch.write(lowest, "lowest")
     scratch.release()
-    repeated = found.join(lowest.hint("shuffle_hash"), "code").where("doc_id > low")
-    starts = scratch.write(repeated.groupBy("doc_id").agg(F.collect_list("start").alias("starts")), "starts")
+    repeated = found.join(lowest.hint("shuffle_hash"), ["code", "code2"]).where("doc_id > low")
+    starts = scratch.write(repeated.groupBy("doc_id", "twin").agg(F.collect_list("start").alias("starts")), "starts")
     scratch.drop(found)
     scratch.release()
-    cut = scratch.write(_remove(texts.select("doc_id", "text").join(starts, "doc_id"), window), "cut")
+    cut = scratch.write(_remove(texts.select(*row, "twin", "text").join(starts, ["doc_id", "twin"]), window), "cut")
     scratch.drop(texts, starts)
 
-    out = summary.select("doc_id", "n_words", F.lower(F.hex("sha")).alias("sha")).join(cut, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    out = summary.select(*row, "n_words", F.lower(F.hex("sha")).alias("sha")).join(cut, row, "left").join(copies.withColumn("copy", F.lit(True)), row, "left")
     n = F.col("n_words")
     return out.select(
         "doc_id",

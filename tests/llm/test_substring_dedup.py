@@ -47,6 +47,31 @@ def test_against_brute_force(spark):
         assert sum(b - a for a, b in zip(r.repeats[::2], r.repeats[1::2])) == r.n_removed
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """Each row loses words by its own text; rows of one id take nothing from each other."""
+    rng = random.Random(8)
+    a, b = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(30)) for x in "ab")
+    rows = [(1, a), (5, b), (5, a + " tail"), (5, b + " more"), (6, b), (6, a), (7, "x " + b + " y")]
+    got = substring_dedup(spark.createDataFrame([(str(i), t) for i, t in rows], "doc_id string, text string")).collect()
+    assert sorted([(int(r.doc_id), *r[1:4]) for r in got]) == brute(rows)
+
+
+def test_half_a_code_does_not_match(spark, monkeypatch):
+    """Where all windows agree in the first half of their codes, the second keeps them apart."""
+    from locuspark.llm import substring_dedup as m
+
+    plain = m.window_codes
+    monkeypatch.setattr(m, "window_codes", lambda words, window: (plain(words, window)[0] * 0, plain(words, window)[1]))
+    rng = random.Random(9)
+    same = [rng.choice("abcdefgh") for _ in range(40)]
+    rows = [(i, " ".join([rng.choice("abcdefgh") for _ in range(60)] + same[i:])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.selectExpr("doc_id", "1 twin", "text", "sequence(0, 80) at")
+    codes = m._windows(texts, 13, 5).toPandas()
+    assert len(codes) > 100
+    assert sorted([tuple(r)[:4] for r in substring_dedup(docs).collect()], key=str) == brute(rows)
+
+
 def test_empty(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
