@@ -17,30 +17,32 @@ from locuspark.llm.common import Scratch
 FIRST, WIDEN = 48, 8
 
 
-def exact_dedup(docs: DataFrame, first: int = FIRST, widen: int = WIDEN) -> DataFrame:
+def exact_dedup(docs: DataFrame, first: int = FIRST, widen: int = WIDEN, tagged: bool = False) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs (doc_id, text; other columns take no part).
 
     Null text counts as empty. Of equal texts the row with the largest doc_id stays; repeated rows are counted each, share
     keep_id and are kept alike, since doc_id cannot tell them apart. A row with null doc_id takes no part: keep_id null,
-    group_size 1, kept. An empty table gives none. The digest is reported, never compared.
+    group_size 1, kept. An empty table gives none. The digest is reported, never compared. With ``tagged`` the column tag
+    follows, the 64-bit hash of the text, which with doc_id tells rows apart.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", text.alias("_rest"), F.unhex(F.sha2(text, 256)).alias("_sha"))
+    also = ["tag"] if tagged else []
+    rows = docs.select("doc_id", *[F.xxhash64("text").alias(x) for x in also], text.alias("_rest"), F.unhex(F.sha2(text, 256)).alias("_sha"))
     id_type = docs.schema["doc_id"].dataType
     # a group is known by its largest doc_id; _path only tells groups apart whose rows share that id
     active = rows.where(F.col("doc_id").isNotNull()).select("*", F.lit(0).cast(id_type).alias("_group"), F.lit(0).cast("long").alias("_path"))
-    done = [rows.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "_sha")]
+    done = [rows.where(F.col("doc_id").isNull()).select("doc_id", *also, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "_sha")]
     key, width = ["_group", "_path", "_digit", "_ended"], first
     while True:
-        cut = active.select("doc_id", "_group", "_path", "_sha", F.substring("_rest", 1, width).alias("_digit"), (F.octet_length("_rest") <= width).alias("_ended"), F.expr(f"substring(_rest, {width + 1})").alias("_rest"))
+        cut = active.select("doc_id", *also, "_group", "_path", "_sha", F.substring("_rest", 1, width).alias("_digit"), (F.octet_length("_rest") <= width).alias("_ended"), F.expr(f"substring(_rest, {width + 1})").alias("_rest"))
         nodes = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("doc_id").alias("_top"))
         nodes = scratch.write(nodes, "nodes")  # apart from its aggregation, so that Spark can split the join's other side
         goes_on = ~F.col("_ended") & (F.col("_n") > 1)
-        split = cut.join(nodes.hint("shuffle_hash"), key).select("doc_id", "_sha", "_n", F.col("_top").alias("_group"), F.xxhash64("_path", "_digit").alias("_path"), F.when(goes_on, F.col("_rest")).alias("_rest"))
+        split = cut.join(nodes.hint("shuffle_hash"), key).select("doc_id", *also, "_sha", "_n", F.col("_top").alias("_group"), F.xxhash64("_path", "_digit").alias("_path"), F.when(goes_on, F.col("_rest")).alias("_rest"))
         split = scratch.write(split, "round")
         scratch.release()
-        done.append(split.where("_rest is null").select("doc_id", F.col("_group").alias("keep_id"), F.col("_n").alias("group_size"), "_sha"))
+        done.append(split.where("_rest is null").select("doc_id", *also, F.col("_group").alias("keep_id"), F.col("_n").alias("group_size"), "_sha"))
         active = split.where("_rest is not null")
         if active.isEmpty():
             break
@@ -48,4 +50,4 @@ def exact_dedup(docs: DataFrame, first: int = FIRST, widen: int = WIDEN) -> Data
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"), *also)
