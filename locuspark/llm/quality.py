@@ -7,6 +7,7 @@ for all documents of a batch at once, level by level.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,27 +45,18 @@ def statistics(text: bytes) -> list[float]:
     out = [np.log1p(n), *kinds[1:10].tolist(), float(kinds[0])]
     if w:
         sizes = np.fromiter(map(len, words), np.int64, w)
-        seen: dict[bytes, int] = {}
-        for x in words:
-            seen[x] = seen.get(x, 0) + 1
+        seen = Counter(words)
         out += [np.log1p(w), sizes.mean(), sizes.std(), np.log1p(sizes.max()), len(seen) / w, max(seen.values()) / w, (sizes <= 2).mean(), (sizes > 12).mean(), sum(map(bytes.isupper, words)) / w]
     else:
         out += [0.0] * 9
     lines = [x for x in text.split(b"\n") if x]
     different = set(lines)
-    most = n and max((lines.count(x) for x in different), default=0) if len(different) * len(lines) < 4000 else _most(lines)
+    most = max(Counter(lines).values(), default=0)
     out += [np.log1p(len(lines)), len(different) / max(1, len(lines)), w / max(1, len(lines)), sum(x.endswith((b".", b"!", b"?")) for x in lines) / max(1, len(lines)), most / max(1, len(lines))]
     out += [len(set(zip(words, words[1:]))) / max(1, w - 1), counts.max() / n, float(-(used * np.log2(used)).sum())]
     return out
 
 
-def _most(lines: list[bytes]) -> int:
-    seen: dict[bytes, int] = {}
-    for x in lines:
-        seen[x] = seen.get(x, 0) + 1
-    return max(seen.values(), default=0)
-
-
 def matrix(texts: list[bytes]) -> np.ndarray:
     return np.asarray([statistics(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
 
@@ -146,9 +138,15 @@ def _pack(nodes: list[list], roots: list[int], depth: int, base: float) -> Trees
     return Trees(a[:, 0].astype(np.int64), a[:, 1], a[:, 2].astype(np.int64), a[:, 3].astype(np.int64), a[:, 4], np.asarray(roots, np.int64), depth, base)
 
 
+def usable_labels(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
+    """doc_id (of the type it has in docs), _y: one known label for each id; of several the largest."""
+    id = F.col("doc_id").cast(docs.schema["doc_id"].dataType)
+    return labels.select(id.alias("doc_id"), F.col(target).cast("double").alias("_y")).where("_y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("_y").alias("_y"))
+
+
 def labelled_statistics(docs: DataFrame, labels: DataFrame, target: str, sample: int, fold: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of at most ``sample`` labelled rows outside the fold: the only rows that reach the driver."""
-    known = labels.select("doc_id", F.col(target).cast("double").alias("_y")).where(F.col("_y").isNotNull() & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    known = usable_labels(docs, labels, target)
     if fold is not None:
         known = known.where(~held_out(F.col("doc_id"), fold))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so small that broadcasting it is safe
@@ -158,29 +156,33 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, target: str, sample:
             x = matrix(as_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64())), batch.column(2)], ["y", "x", "doc_id"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "_y", "doc_id").mapInArrow(run, "y double, x array<double>, doc_id long").toPandas()
-    got = got.sort_values("doc_id")  # the same trees whatever the order of partitions
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "_y", "doc_id").mapInArrow(run, f"y double, x array<double>, doc_id {kind}").toPandas()
+    got["key"] = [tuple(v) for v in got["x"]]
+    got = got.sort_values(["doc_id", "key"])  # the same trees whatever the order of partitions
     x = np.stack(got["x"].to_numpy()) if len(got) else np.empty((0, len(FEATURES)))
     return x, got["y"].to_numpy(np.float64)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, target: str = "quality", fold: int | None = 0, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, target: str = "quality", fold: int | None = 0, threshold: float = 0.3, sample: int = SAMPLE, tagged: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text; other columns take no part).
 
     The model learns from labels (doc_id, target) of rows whose crc32(doc_id as text) mod 5 is not ``fold``; a label that
     is null or whose document is missing is not used. Null and empty texts have statistics 0 and a score like any other.
-    A null doc_id is scored and in no fold; repeated rows score alike. Without usable labels of both kinds every score is the
-    smoothed share of label 1. An empty table gives none.
+    A null doc_id is scored and in no fold; ids may be of any type; repeated rows score alike, each row by its own text; of
+    repeated labels the largest counts. A score equal to the threshold is predicted 1. Without usable labels of both kinds
+    every score is the smoothed share of label 1. An empty table gives none. With ``tagged`` the column tag follows, the 64-bit
+    hash of the text, which with doc_id tells rows apart.
     """
     model = fit(*labelled_statistics(docs, labels, target, sample, fold))
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.predict(matrix(as_bytes(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+            score = shared.value.predict(matrix(as_bytes(batch.column(2))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score)], ["doc_id", "tag", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id"), -1 if fold is None else fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = docs.mapInArrow(run, f"doc_id {kind}, tag long, score double")
+    return scored.select(*(["tag"] if tagged else []), "doc_id", held_out(F.col("doc_id"), -1 if fold is None else fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
