@@ -11,6 +11,7 @@ over the table of posteriors, and a document's rate follows from the residuals s
 
 from __future__ import annotations
 
+import math
 import string
 from collections import Counter
 from collections.abc import Iterator
@@ -21,12 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.llm.common import Scratch, as_bytes
-from locuspark.llm.quality import SAMPLE, fit, labelled_statistics, matrix
+from locuspark.llm.quality import SAMPLE, fit, labelled_statistics, matrix, usable_labels
 
 DOMAINS = ["clean", "toxic", "low"]
-#: All weight on clean documents; the budget is what they hold.
+#: All weight on clean documents; the budget is what they hold: a filter, for the pipeline.
 TARGETS = {"clean": 1.0, "toxic": 0.0, "low": 0.0}
+#: A mixture of as many tokens as there are: clean documents more than once, low ones less often, toxic ones not at all.
+MIXTURE = {"clean": 0.9, "toxic": 0.0, "low": 0.1}
 WORDS, PULL = 3000, 0.01
+#: A feature counts this often in a text at most; that is part of what a feature is, not a limit on texts.
+MOST = 3
 #: Steps go on until none moves a rate by more than TOLERANCE, which leaves rates within TOLERANCE / PULL of the solution, as
 #: the objective's curvature is at least PULL and at most 1 + PULL. That takes some tens of steps; STEPS without it is an error.
 TOLERANCE, STEPS = 1e-5, 1000
@@ -34,13 +39,50 @@ _PUNCTUATION = string.punctuation.encode()
 
 
 def _features(text: bytes) -> dict[bytes, int]:
-    """How often a text has each word, without the punctuation around it, and each beginning of 5 and of 8 bytes; at most 3."""
-    words = [w.strip(_PUNCTUATION) for w in text.lower().split()]
-    counts = Counter(words)
-    for k in (5, 8):
-        counts.update(b"^" + w[:k] for w in words if len(w) > k)
+    """How often a text has each word, without the punctuation around it, and each beginning of 5 and of 8 bytes; at most MOST."""
+    counts: Counter[bytes] = Counter()
+    for word, n in Counter(text.lower().split()).items():
+        for x in _parts(word):
+            counts[x] += n
     counts.pop(b"", None)
-    return {w: min(n, 3) for w, n in counts.items()}
+    return {w: min(n, MOST) for w, n in counts.items()}
+
+
+def _parts(word: bytes) -> list[bytes]:
+    """The features of one word."""
+    w = word.strip(_PUNCTUATION)
+    return [w, *[b"^" + w[:k] for k in (5, 8) if len(w) > k]]
+
+
+#: Words whose features a worker remembers, at most.
+SEEN = 300_000
+
+
+class WordScorer:
+    """Log-odds of texts from the weights of their features; words that have been seen are not taken apart again."""
+
+    def __init__(self, weights: dict[bytes, float], limit: int = SEEN):
+        self.weights, self.limit = weights, limit
+        self.seen: set[bytes] = set()
+        self.known: dict[bytes, list[bytes]] = {}  # of the words seen, those with weighted features, and which
+
+    def score(self, text: bytes) -> float:
+        weights, known = self.weights, self.known
+        counts = Counter(text.lower().split())
+        new = counts.keys() - self.seen
+        if len(self.seen) > self.limit:
+            self.seen, new = set(), set(counts)
+            known.clear()
+        for word in new:
+            if found := [x for x in _parts(word) if x in weights and x]:
+                known[word] = found
+        self.seen |= new
+        total: dict[bytes, int] = {}
+        for word in counts.keys() & known.keys():
+            for x in known[word]:
+                total[x] = total.get(x, 0) + counts[word]
+        # exactly rounded, so that the order of a set's members does not matter
+        return math.fsum([weights[b""], *[weights[x] * min(n, MOST) for x, n in total.items()]])
 
 
 def fit_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = WORDS) -> dict[bytes, float]:
@@ -48,7 +90,7 @@ def fit_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: in
 
     Learns from at most ``sample`` labelled rows. Without rows of both kinds there are no words, and no toxic documents.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("double").alias("_y")).where(F.col("_y").isNotNull() & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    known = usable_labels(docs, labels, "toxic")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     taught = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "_y")  # at most ``sample`` small rows
 
@@ -82,35 +124,41 @@ def fit_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: in
     i = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     j = np.asarray([x for r in rows for x in r[0]], np.int64)
     j, n = j // 4, j % 4
-    w, b = np.zeros(len(vocabulary)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    step_w, step_b = np.full(len(w), 1e-8), 1e-8
-    for _ in range(300):  # Adagrad on the penalised loss
-        p = 1 / (1 + np.exp(-(b + np.bincount(i, w[j] * n, len(rows)))))
-        gw = np.bincount(j, (p - y)[i] * n, len(w)) + 0.3 * w
+    w, b = descend(i, j, n, y, len(vocabulary))
+    return {b"": b} | {x: float(w[k]) for x, k in vocabulary.items()}
+
+
+def descend(i: np.ndarray, j: np.ndarray, n: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic model of y, by rows i, features j and their counts n: Adagrad on the penalised loss."""
+    w, b = np.zeros(size), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    step_w, step_b = np.full(size, 1e-8), 1e-8
+    for _ in range(300):
+        p = 1 / (1 + np.exp(-(b + np.bincount(i, w[j] * n, len(y)))))
+        gw = np.bincount(j, (p - y)[i] * n, size) + 0.3 * w
         gb = float((p - y).sum())
         step_w, step_b = step_w + gw**2, step_b + gb**2
         w, b = w - 0.3 * gw / np.sqrt(step_w), b - 0.3 * gb / np.sqrt(step_b)
-    return {b"": b} | {x: float(w[k]) for x, k in vocabulary.items()}
+    return w, b
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, tokens (words), p_clean, p_toxic, p_low, summing to 1, for each row of docs."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, tag (the text's hash), tokens (words), p_clean, p_toxic, p_low, summing to 1, for each row of docs."""
+    docs = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
     trees = fit(*labelled_statistics(docs, labels, "quality", sample, None))
     shared = docs.sparkSession.sparkContext.broadcast((trees, fit_words(docs, labels, sample)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, weights = shared.value
-        named = weights.keys() - {b""}
+        words = WordScorer(weights)
         for batch in batches:
-            texts = as_bytes(batch.column(1))
+            texts = as_bytes(batch.column(2))
             low = 1 - trees.predict(matrix(texts))
-            raw = np.asarray([weights[b""] + sum(weights[w] * f[w] for w in named & f.keys()) for f in map(_features, texts)], np.float64)
+            raw = np.asarray([words.score(t) for t in texts], np.float64)
             toxic = (1 - low) / (1 + np.exp(-np.clip(raw, -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(1 - low - toxic), pa.array(toxic), pa.array(low)], ["doc_id", "tokens", "p_clean", "p_toxic", "p_low"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(1 - low - toxic), pa.array(toxic), pa.array(low)], ["doc_id", "tag", "tokens", "p_clean", "p_toxic", "p_low"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, tokens long, p_clean double, p_toxic double, p_low double")
+    return docs.mapInArrow(run, f"doc_id {kind}, tag long, tokens long, p_clean double, p_toxic double, p_low double")
 
 
 def _settle(p: np.ndarray, residuals: list[np.ndarray], pull: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,11 +178,11 @@ def _rates(p: np.ndarray, residuals: list[np.ndarray], pull: float) -> np.ndarra
     return _settle(p, residuals, pull)[0]
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = STEPS, pull: float = PULL, tolerance: float = TOLERANCE, own: bool = False) -> list[np.ndarray]:
+def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = STEPS, pull: float = PULL, tolerance: float = TOLERANCE, own: bool = False, share: float | None = None) -> list[np.ndarray]:
     """Residuals of each step: with them any document's rate follows from its posteriors.
 
     table: tokens, p_<domain>. The budget (expected tokens after mixing) is, unless given, what the domain of the largest
-    target holds divided by its weight. Residuals are shares of all tokens or, with ``own``, of what the domain itself holds.
+    target holds divided by its weight, or the given share of all expected tokens. Residuals are shares of all tokens or, with ``own``, of what the domain itself holds.
     """
     names = list(targets)
     columns = [F.coalesce(F.sum(F.col("tokens") * F.col(f"p_{k}")), F.lit(0.0)) for k in names]
@@ -142,7 +190,9 @@ def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None
     weights = np.asarray([targets[k] for k in names]) / max(sum(targets.values()), 1e-300)
     everything = max(held.sum(), 1.0)
     most = int(weights.argmax())
-    goal = weights * (held[most] / weights[most] if budget is None else budget)
+    if budget is None:
+        budget = held[most] / weights[most] if share is None else share * held.sum()
+    goal = weights * budget
     # a domain that holds nothing has no documents to move
     unit = np.where(held > 0, held, np.inf) if own else np.full(len(names), everything)
     residuals: list[np.ndarray] = []
@@ -166,24 +216,36 @@ def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None
     raise RuntimeError(f"rates still move by {moved} after {steps} steps")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, sample: int = SAMPLE, steps: int = STEPS, pull: float = PULL) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, sample: int = SAMPLE, steps: int = STEPS, pull: float = PULL, share: float | None = None, tagged: bool = False) -> DataFrame:
     """doc_id, tokens, p_clean, p_toxic, p_low, rate, copies for each row of docs (doc_id, text; other columns take no part).
 
-    rate is how often the mixture should hold the document, copies the nearest whole number. Null and empty texts have no
-    tokens and a rate like any other. Null ids stay null; repeated rows count each and have equal rates; labels whose
-    document is missing, and null labels, teach nothing. An empty table gives none. Posteriors are written once to the shared
-    folder; all steps and the result read them there.
+    rate is how often the mixture should hold the document, copies the whole number below or above it that the document's
+    hash chooses, so that the copies of many documents add up to their rates. Budget and share as for fit_rates. Null and empty texts have no
+    tokens and a rate like any other. Null ids stay null, and ids may be of any type; repeated rows count each and have equal
+    rates, each row by its own text; labels whose document is missing, and null labels, teach nothing. An empty table gives none. Posteriors are written once to the shared folder; all steps
+    and the result read them there. With ``tagged`` the text's hash, tag, follows doc_id.
     """
     scratch = Scratch(docs.sparkSession)
     table = scratch.write(posteriors(docs, labels, sample), "posteriors")
     names = list(targets)
-    residuals = fit_rates(table, targets, budget, steps, pull, own=True)
+    residuals = fit_rates(table, targets, budget, steps, pull, own=True, share=share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.column_stack([batch.column(f"p_{k}").to_numpy() for k in names]) if batch.num_rows else np.empty((0, len(names)))
             r = _rates(p, residuals, pull)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r), pa.array(np.floor(r + 0.5).astype(np.int64))], [*batch.schema.names, "rate", "copies"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], [*batch.schema.names, "rate"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
-    return table.mapInArrow(run, schema + ", rate double, copies long")
+    out = table.mapInArrow(run, schema + ", rate double")
+    lot = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(1 << 20)) / float(1 << 20)
+    out = out.withColumn("copies", F.floor(F.col("rate") + lot).cast("long"))
+    return out if tagged else out.drop("tag")
+
+
+def totals(mixed: DataFrame, names: list[str] = DOMAINS) -> DataFrame:
+    """domain, held, expected, drawn: the domains' expected tokens before mixing, by rates, and in the copies."""
+    p = F.explode(F.array(*[F.struct(F.lit(k).alias("domain"), F.col(f"p_{k}").alias("p")) for k in names])).alias("x")
+    each = mixed.select("tokens", "rate", "copies", p)
+    amount = F.col("tokens") * F.col("x.p")
+    return each.groupBy("x.domain").agg(F.sum(amount).alias("held"), F.sum(amount * F.col("rate")).alias("expected"), F.sum(amount * F.col("copies")).alias("drawn"))

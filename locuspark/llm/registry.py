@@ -26,9 +26,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from locuspark.llm.mixing import mix
+    from locuspark.llm.mixing import MIXTURE, mix
 
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIXTURE, share=1.0)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
