@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -71,5 +72,36 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
         assert docs.count() == 0
 
 
+def test_stages_on_odd_rows(spark, tmp_path, monkeypatch):
+    """Null ids and texts, repeated rows, ids that repeat with other texts, a very long text, clashing columns."""
+    rng = random.Random(3)
+    d = "/root/testdata/sf0.001"
+    plain = [r for r in table(spark, d, "documents").collect() if r.lang == "en" and len(r.text or "") > 300][:30]
+    a, b = plain[0].text, plain[1].text
+    long = " ".join(rng.choice(b.split()) for _ in range(300_000))
+    rows = [(r.doc_id, r.text) for r in plain] + [(9001, a), (9001, b + " and more"), (9002, "A " + a), (9003, long), (9003, long), (None, None), (None, a), (9004, None), (9005, ""), (9006, " ")]
+    docs = spark.createDataFrame([(i, t, "x", "y", 1, 2, 3) for i, t in rows], "doc_id long, text string, lang string, source string, tag long, kept int, copies int")
+    texts = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, d).write.parquet(str(tmp_path / f"{k}"))
+        out = spark.read.parquet(str(tmp_path / f"{k}"))
+        if k < 4:
+            assert out.columns == docs.columns
+            texts.append(sorted(((r.doc_id, r.text) for r in out.collect()), key=str))
+            docs = out
+    quality, exact, near, _ = texts
+    assert set(quality) <= set(rows)
+    best = {}
+    for i, t in quality:
+        if i is not None:
+            best[t or ""] = max(i, best.get(t or "", i))
+    assert [x for x in exact if x[0] is not None] == sorted({(i, t) for i, t in quality if i is not None and best[t or ""] == i}, key=str)
+    assert [x for x in exact if x[0] is None] == [x for x in quality if x[0] is None]
+    assert (9001, b + " and more") in exact and (9001, a) in exact
+    # near copies of a and b: the smallest id of each group stays
+    assert not {(9002, "A " + a)} & set(near)
+    assert (9001, a) in near and (9001, b + " and more") not in near and (plain[1].doc_id, b) in near
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
