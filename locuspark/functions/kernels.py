@@ -133,6 +133,18 @@ def insert_after(t: Column, target: Column, new: Column) -> Column:
     return F.flatten(F.transform(t, lambda x: F.when(F.abs(x) == target, F.array(x, new)).otherwise(F.array(x))))
 
 
+def concat_tours(tours: Column) -> Column:
+    """One tour of several (an array of them), in their order."""
+    return F.flatten(F.filter(tours, lambda t: t.isNotNull()))
+
+
+def strands(t: Column) -> Column:
+    """A tour's contigs and strands: an array of structs ctg, strand; of a contig that comes twice, the first."""
+    pairs = F.transform(t, lambda x, i: F.struct(F.abs(x).alias("ctg"), F.when(x < 0, "-").otherwise("+").alias("strand"), i.alias("i")))
+    first = F.filter(pairs, lambda p: F.array_position(F.transform(t, lambda x: F.abs(x)), p["ctg"]) == p["i"] + 1)
+    return F.transform(first, lambda p: F.struct(p["ctg"].alias("ctg"), p["strand"].alias("strand")))
+
+
 def label_of_path(path: Column, *drop: str) -> Column:
     """A label from a path: each pattern is deleted in turn."""
     for p in drop:

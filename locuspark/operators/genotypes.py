@@ -94,11 +94,42 @@ def code_alleles(alleles: DataFrame, site: list[str], order: list[str]) -> DataF
     return alleles.withColumn("code", F.dense_rank().over(Window.partitionBy(*site).orderBy(*order)))
 
 
+#: Samples of a genotype table, at most: their names go into the plan.
+SAMPLES = 100_000
+
+
 def genotype_rows(alleles: DataFrame, samples: DataFrame, site: list[str]) -> DataFrame:
-    """Long genotypes of coded alleles (site, samples, code): every sample of the small table ``samples`` at every site, 0 if it has no allele."""
+    """Long genotypes of coded alleles (site, samples, code): every one of ``samples`` at every site, 0 if it has no allele.
+
+    A file's samples are its header's; their names, without null, may be SAMPLES at most, or it is an error.
+    """
+    names = [r[0] for r in samples.select("sample").where("sample is not null").distinct().limit(SAMPLES + 1).collect()]
+    if len(names) > SAMPLES:
+        raise ValueError(f"more than {SAMPLES} samples")
     has = alleles.select(*site, F.explode(F.split("samples", ",")).alias("sample"), "code").groupBy(*site, "sample").agg(F.max("code").alias("code"))
-    every = alleles.select(*site).distinct().withColumn("_all", F.lit(1)).join(samples.agg(F.sort_array(F.collect_set("sample")).alias("_names")).withColumn("_all", F.lit(1)), "_all")
-    return every.select(*site, F.explode("_names").alias("sample")).join(has, [*site, "sample"], "left").select(*site, "sample", F.coalesce("code", F.lit(0)).alias("gt"))
+    all_names = F.split(F.lit("\x1f".join(sorted(names))), "\x1f") if names else F.array().cast("array<string>")
+    every = alleles.select(*site).distinct().select(*site, F.explode(all_names).alias("sample"))
+    return every.join(has, [*site, "sample"], "left").select(*site, "sample", F.coalesce("code", F.lit(0)).alias("gt"))
+
+
+def gap_masked(g: DataFrame, missing: DataFrame, on: list[str], most: float = 0.5) -> DataFrame:
+    """g with gt null where missing (on, missing) says that more than ``most`` of the place is a gap."""
+    gaps = missing.where(F.col("missing") > most).select(*on).distinct()
+    return set_missing(g, gaps, on)
+
+
+def wild_support(haplotypes: DataFrame, wild: DataFrame, site: list[str], by: list[Column]) -> DataFrame:
+    """by, hap, wild, sites, support, dosage: how far wild samples carry a haplotype sample's two alleles, averaged over sites.
+
+    haplotypes: site, hap, a1, a2; wild: site, wild, b1, b2. At a site support is the share of the two alleles that the wild
+    sample has in at least one copy, dosage the share of its copies that equal them. Sites where both alleles are null are
+    left out; a null equals nothing.
+    """
+    x = haplotypes.where("a1 is not null or a2 is not null").join(wild, site)
+    same = lambda a, b: F.coalesce((F.col(a) == F.col(b)).cast("int"), F.lit(0))
+    one, two = same("a1", "b1") + same("a1", "b2"), same("a2", "b1") + same("a2", "b2")
+    share = ((one > 0).cast("int") + (two > 0).cast("int")) / 2
+    return x.groupBy(*by, "hap", "wild").agg(F.count(F.lit(1)).alias("sites"), F.avg(share).alias("support"), F.avg((one + two) / 4).alias("dosage"))
 
 
 def pair_mismatches(g: DataFrame, by: list[str], missing_is_allele: bool = False, site: list[str] = SITE) -> DataFrame:

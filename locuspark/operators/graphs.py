@@ -6,91 +6,99 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locuspark.operators.components import connected_components
+from locuspark.scratch import Scratch
+
 
 def canonical(edges: DataFrame, a: str, b: str, weight: str) -> DataFrame:
     """a <= b, weights of both orientations summed."""
     return edges.groupBy(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).agg(F.sum(weight).alias(weight))
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 100) -> DataFrame:
-    """node, component (its smallest node) of every node that an edge names: minimum labels and their labels' labels, to a fixed point.
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """node, component (its smallest node) of every node that an edge names, also where both ends of it are the same.
 
-    Each round is checkpointed in the shared folder the session names, so lineage stays short.
+    Nulls name no node. Steps go on until nothing changes; each is a table in the folder of spark.checkpoint.dir.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).where("x is not null and y is not null").distinct().checkpoint()
-    labels = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("c")).checkpoint()
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("x").alias("y"), F.col("c").alias("c2")), "y").groupBy("x").agg(F.min("c2").alias("m"))
-        nxt = labels.join(near, "x").select("x", F.least("c", "m").alias("d"), F.col("c").alias("was"))
-        jump = nxt.select(F.col("x").alias("d"), F.col("d").alias("e")).distinct()
-        nxt = nxt.join(jump, "d", "left").select("x", F.least("d", F.coalesce("e", "d")).alias("c"), "was").checkpoint()
-        labels = nxt.select("x", "c")
-        if nxt.where("c <> was").isEmpty():
-            break
-    return labels.select(F.col("x").alias("node"), F.col("c").alias("component"))
+    scratch = Scratch(edges.sparkSession)
+    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    roots = connected_components(edges, scratch)
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def merge_clusters(contacts: dict, overlaps: dict, sizes: dict, clusters: dict[int, set], most: int = 4, ratio: float = 0.01) -> dict[int, set]:
     """Merge clusters until ``most`` are left: always the pair of largest mean contact whose shared sequence is rare enough.
 
     contacts, overlaps: {(a, b), a < b: value}; sizes by member. A pair may merge if twice its overlaps, as a share of the
-    sizes involved, is below ``ratio``; ties go to the lowest ids; the lower id stays.
+    sizes of the members that overlap (both of each overlapping pair), is below ``ratio``; without overlaps it may. Ties go to
+    the lowest ids; the lower id stays. Sums are kept for each pair of clusters, so a merge adds them up.
     """
     clusters = {k: set(v) for k, v in clusters.items()}
-    of = lambda table, x, y: [table[p] for m in x for n in y if (p := (min(m, n), max(m, n))) in table]
+    of = {m: k for k, ms in clusters.items() for m in ms}
+    sums: dict[int, dict[int, list[float]]] = {k: {} for k in clusters}  # contact, contacts, overlap, sizes
+
+    def add(x: int, y: int, values: list[float]) -> None:
+        for p, q in ((x, y), (y, x)):
+            old = sums[p].get(q, [0.0, 0, 0.0, 0.0])
+            sums[p][q] = [u + v for u, v in zip(old, values)]
+
+    for (m, n), v in contacts.items():
+        if m in of and n in of and of[m] != of[n]:
+            add(of[m], of[n], [v, 1, 0, 0])
+    for (m, n), v in overlaps.items():
+        if m in of and n in of and of[m] != of[n]:
+            add(of[m], of[n], [0, 0, v, sizes[m] + sizes[n]])
     while len(clusters) > most:
         best = None
-        ids = sorted(clusters)
-        for i, a in enumerate(ids):
-            for b in ids[i + 1 :]:
-                found = of(contacts, clusters[a], clusters[b])
-                whole = sum(sizes[m] for c in (a, b) for m in clusters[c])
-                if found and 2 * sum(of(overlaps, clusters[a], clusters[b])) / max(whole, 1) < ratio and (best is None or np.mean(found) > best[0]):
-                    best = (float(np.mean(found)), a, b)
+        for x in sorted(sums):
+            for y in sorted(sums[x]):
+                contact, n, shared, whole = sums[x][y]
+                if x < y and n and (not shared or 2 * shared < ratio * whole) and (best is None or contact / n > best[0]):
+                    best = (contact / n, x, y)
         if best is None:
             break
-        clusters[best[1]] |= clusters.pop(best[2])
+        _, x, y = best
+        clusters[x] |= clusters.pop(y)
+        for z, values in sums.pop(y).items():
+            del sums[z][y]
+            if z != x:
+                add(x, z, values)
     return clusters
 
 
 def attach(edges: list[tuple], groups: dict[int, set], overlaps: dict, sizes: dict, least: float = 3.3, ratio: float = 0.01) -> dict:
     """Ungrouped ends of edges (a, b, contact), in key order, join the group of largest mean contact to its present members.
 
-    A group with more than 5 members that share sequence beyond ``ratio`` is passed over; later ends see earlier ones. Returns member -> group.
+    A group of which more than 5 members overlap the newcomer, and whose overlaps, twice, are more than ``ratio`` of both
+    sides' sizes, is passed over; the best mean contact must be above ``least``; of equal groups the lowest id is taken; later
+    ends see earlier ones. Returns member -> group.
     """
-    weight, near = {}, defaultdict(set)
-    for a, b, w in edges:
-        weight[min(a, b), max(a, b)] = w
-        near[a].add(b)
-        near[b].add(a)
+    near, shared = defaultdict(dict), defaultdict(dict)
+    for table, pairs in ((near, ((a, b, w) for a, b, w in edges)), (shared, ((a, b, o) for (a, b), o in overlaps.items()))):
+        for a, b, v in pairs:
+            table[a][b] = table[b][a] = v
     of = {m: g for g, ms in groups.items() for m in ms}
     for a, b, _ in sorted(edges, key=lambda e: (e[0], e[1])):
         for x in (a, b):
             if x in of:
                 continue
             score, allelic = defaultdict(list), defaultdict(list)
-            for y in near[x]:
+            for y, w in near[x].items():
                 if y in of:
-                    p = (min(x, y), max(x, y))
-                    score[of[y]].append(weight[p])
-            for m, g in of.items():
-                p = (min(x, m), max(x, m))
-                if p in overlaps:
-                    allelic[g].append((overlaps[p], sizes[m] + sizes[x]))
+                    score[of[y]].append(w)
+            for y, o in shared[x].items():
+                if y in of:
+                    allelic[of[y]].append((o, sizes[x] + sizes[y]))
             best = None
             for g in sorted(score):
-                shared = allelic[g]
-                if len(shared) > 5 and 2 * sum(o for o, _ in shared) / sum(s for _, s in shared) > ratio:
+                found = allelic[g]
+                if len(found) > 5 and 2 * sum(o for o, _ in found) > ratio * sum(s for _, s in found):
                     continue
-                mean = float(np.mean(score[g]))
+                mean = sum(score[g]) / len(score[g])
                 if best is None or mean > best[0]:
                     best = (mean, g)
             if best is not None and best[0] > least:
@@ -98,11 +106,30 @@ def attach(edges: list[tuple], groups: dict[int, set], overlaps: dict, sizes: di
     return of
 
 
-def cluster_groups(edges: DataFrame, key: str, a: str, b: str, weight: str, least: float, most: int) -> DataFrame:
-    """key, node, cluster: for each key components of edges above ``least``, merged to ``most`` clusters, then all other nodes attached."""
+def cluster_groups(edges: DataFrame, key: str, a: str, b: str, weight: str, least: float, most: int, overlaps: DataFrame | None = None, sizes: DataFrame | None = None, ratio: float = 0.01, join_least: float = 3.3) -> DataFrame:
+    """key, node, cluster: for each key components of edges above ``least``, merged to ``most`` clusters, then all other nodes attached.
+
+    overlaps: key, a, b, overlap (a < b) of members that share sequence; sizes: node, size. Without them nothing bars a merge.
+    A key's edges are worked on together, as a chromosome's contacts; nodes that stay unattached are not in the result.
+    """
+    e = edges.select(key, F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col(weight).cast("double").alias("w")).groupBy(key, "a", "b").agg(F.max("w").alias("w"))
+    if overlaps is not None:
+        e = e.join(overlaps.select(key, "a", "b", F.col("overlap").cast("double").alias("o")), [key, "a", "b"], "full")
+    else:
+        e = e.withColumn("o", F.lit(None).cast("double"))
+    for end in ("a", "b"):
+        if sizes is not None:
+            e = e.join(sizes.select(F.col("node").alias(end), F.col("size").cast("double").alias(f"size_{end}")), end, "left")
+        else:
+            e = e.withColumn(f"size_{end}", F.lit(1.0))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        w = {(min(x, y), max(x, y)): v for x, y, v in zip(g[a].tolist(), g[b].tolist(), g[weight].tolist())}
+        pairs = list(zip(g["a"].tolist(), g["b"].tolist()))
+        w = {p: v for p, v in zip(pairs, g["w"].tolist()) if v == v}
+        o = {p: v for p, v in zip(pairs, g["o"].tolist()) if v == v}
+        size = defaultdict(float)
+        for (x, y), u, v in zip(pairs, g["size_a"].tolist(), g["size_b"].tolist()):
+            size[x], size[y] = u if u == u else 0.0, v if v == v else 0.0
         root: dict = {}
 
         def find(x):
@@ -119,13 +146,89 @@ def cluster_groups(edges: DataFrame, key: str, a: str, b: str, weight: str, leas
         first: dict = defaultdict(set)
         for x in list(root):
             first[find(x)].add(x)
-        sizes = defaultdict(lambda: 1)
-        merged = merge_clusters(w, {}, sizes, first, most)
-        of = attach([(x, y, v) for (x, y), v in w.items()], merged, {}, sizes, least=0)
+        merged = merge_clusters(w, o, size, first, most, ratio)
+        of = attach([(x, y, v) for (x, y), v in w.items()], merged, o, size, join_least, ratio)
         return pd.DataFrame([(g[key].iloc[0], n, c) for n, c in sorted(of.items())], columns=[key, "node", "cluster"])
 
     f = edges.schema
-    return edges.groupBy(key).applyInPandas(run, f"{key} {f[key].dataType.simpleString()}, node {f[a].dataType.simpleString()}, cluster {f[a].dataType.simpleString()}")
+    return e.groupBy(key).applyInPandas(run, f"{key} {f[key].dataType.simpleString()}, node {f[a].dataType.simpleString()}, cluster {f[a].dataType.simpleString()}")
+
+
+def group_contacts(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """g1, g2 (g1 <= g2), total, mean, n: contacts (a, b, w) between groups (node, g), also within one.
+
+    A node may be in several groups. Between two groups an edge does not count if one of its nodes is in both.
+    """
+    m = members.select("node", "g").distinct()
+    of = m.groupBy("node").agg(F.collect_set("g").alias("all"))  # a node's groups: few
+    m = m.join(of, "node")
+    side = lambda k: m.select(F.col("node").alias(k), F.col("g").alias(f"g{k}"), F.col("all").alias(f"all_{k}"))
+    e = edges.select("a", "b", "w").join(side("a"), "a").join(side("b"), "b")
+    apart = ~F.expr("array_contains(all_a, gb)") & ~F.expr("array_contains(all_b, ga)")
+    e = e.where((F.col("ga") == F.col("gb")) | apart)
+    return e.groupBy(F.least("ga", "gb").alias("g1"), F.greatest("ga", "gb").alias("g2")).agg(F.sum("w").alias("total"), F.avg("w").alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+_PLOIDY = {"hap": 1, "dip": 2, "trip": 3, "tetrap": 4}
+
+
+def _places(cls: str) -> Column:
+    n = F.lit(1)
+    for name, k in _PLOIDY.items():
+        n = F.when(F.col(cls) == name, k).otherwise(n)
+    return n
+
+
+def contig_scores(markers: DataFrame) -> DataFrame:
+    """ctg, lg, score, links, best, best_hic: contact times window size of each group with a contig, through long contigs only.
+
+    markers: ctg, sta, end, type, lctg (the linked contig), lg (its group), hic, long. best is the linked contig of largest
+    contact; of equal ones the smallest.
+    """
+    x = markers.where("long and lg is not null")
+    out = x.groupBy("ctg", "lg").agg(F.sum(F.col("hic") * (F.col("end") - F.col("sta") + 1)).alias("score"), F.count(F.lit(1)).alias("links"), F.min(F.struct((-F.col("hic")).alias("h"), "lctg")).alias("_b"))
+    return out.select("ctg", "lg", "score", "links", F.col("_b.lctg").alias("best"), (-F.col("_b.h")).alias("best_hic"))
+
+
+def class_sizes(markers: DataFrame) -> DataFrame:
+    """ctg, type, size: how much of each contig is of each class; a window counts once."""
+    return markers.select("ctg", "sta", "end", "type").distinct().groupBy("ctg", "type").agg(F.sum(F.col("end") - F.col("sta") + 1).alias("size"))
+
+
+def refine_contigs(markers: DataFrame, groups: list[str]) -> DataFrame:
+    """ctg, sta, end, type, slot, lg, best, best_hic: each window's groups by consensus of its contig.
+
+    Groups are ranked by contig_scores (of equal ones the later first). A window of class hap, dip or trip takes the first 1, 2
+    or 3, or -1 in each place if the contig has fewer; tetrap takes all ``groups`` in their order, rep -1 once.
+    """
+    score = contig_scores(markers).withColumn("slot", F.row_number().over(Window.partitionBy("ctg").orderBy(F.desc("score"), F.desc("lg"))))
+    have = score.groupBy("ctg").agg(F.count(F.lit(1)).alias("have"))
+    wins = markers.select("ctg", "sta", "end", "type").distinct().withColumn("n", _places("type"))
+    wins = wins.join(have, "ctg", "left").select("*", F.explode(F.sequence(F.lit(1), "n")).alias("slot"))
+    ranked = score.select("ctg", "slot", F.col("lg").alias("_lg"), "best", "best_hic")
+    ok = F.col("type").isin("hap", "dip", "trip") & (F.coalesce("have", F.lit(0)) >= F.col("n"))
+    names = F.array(*map(F.lit, groups))
+    lg = F.when(F.col("type") == "tetrap", F.coalesce(F.try_element_at(names, F.col("slot")), names[0])).when(ok, F.col("_lg")).otherwise("-1")
+    return wins.join(ranked, ["ctg", "slot"], "left").select("ctg", "sta", "end", "type", "slot", lg.alias("lg"), F.when(ok, F.col("best")).alias("best"), F.when(ok, F.col("best_hic")).alias("best_hic"))
+
+
+def refine_windows(rows: DataFrame, contacts: DataFrame, groups: list[str]) -> DataFrame:
+    """win, r, lg: the second refinement, window by window.
+
+    rows: win, r (from 0), type, lg; contacts: win, lg, hic, of the window with haplotype windows. A window's groups are ranked
+    by total contact (of equal ones the later first); it keeps the first 1, 2 or 3 for hap, dip and trip, or -1 alone if
+    there are fewer; all ``groups`` for tetrap, -1 for rep. The r-th row takes the r-th kept group in the groups' own
+    order, and stays as it is where there is none, as does a window without contacts.
+    """
+    total = contacts.groupBy("win", "lg").agg(F.sum("hic").alias("hic"))
+    place = F.row_number().over(Window.partitionBy("win").orderBy(F.desc("hic"), F.desc("lg")))
+    # a window's groups are as few as there are linkage groups
+    ranked = total.withColumn("k", place).groupBy("win").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "lg"))), lambda x: x["lg"]).alias("found"))
+    n = _places("type")
+    kept = F.when(F.col("type") == "tetrap", F.array(*map(F.lit, groups))).when(F.col("type").isin("hap", "dip", "trip") & (F.size("found") >= n), F.slice("found", F.lit(1), n)).otherwise(F.array(F.lit("-1")))
+    out = rows.join(ranked, "win", "left")
+    new = F.when(F.col("found").isNotNull(), F.get(F.array_sort(F.array_distinct(kept)), F.col("r")))
+    return out.select("win", "r", F.coalesce(new, "lg").alias("lg"))
 
 
 def complete_linkage(distance: np.ndarray, cut: float) -> np.ndarray:

@@ -18,15 +18,14 @@ def range_join(a: DataFrame, b: DataFrame, key: list[str], a_sta: str, a_end: st
     Both sides are laid out over bins of ``width``; a pair is kept in the first bin that both reach, so it comes once and
     nothing has to be made distinct. Column names other than the key must differ. how: inner or left.
     """
-    left = a.withColumn("_row", F.monotonically_increasing_id()) if how == "left" else a
-    x = left.where(F.col(a_end) >= F.col(a_sta)).withColumn("_bin", _bins(F.col(a_sta), F.col(a_end), width))
+    x = a.where(F.col(a_end) >= F.col(a_sta)).withColumn("_bin", _bins(F.col(a_sta), F.col(a_end), width))
     y = b.where(F.col(b_end) >= F.col(b_sta)).withColumn("_bin", _bins(F.col(b_sta), F.col(b_end), width))
     pairs = x.join(y, [*key, "_bin"]).where((F.col(a_sta) <= F.col(b_end)) & (F.col(b_sta) <= F.col(a_end)))
     pairs = pairs.where(F.col("_bin") == F.greatest(F.floor(F.col(a_sta) / width), F.floor(F.col(b_sta) / width))).drop("_bin")
     if how == "inner":
         return pairs
     extra = [c for c in b.columns if c not in key]
-    return pairs.drop("_row").unionByName(a.join(pairs.select(*key, a_sta, a_end).distinct(), [*key, a_sta, a_end], "left_anti").select("*", *[F.lit(None).cast(b.schema[c].dataType).alias(c) for c in extra]))
+    return pairs.unionByName(a.join(pairs.select(*key, a_sta, a_end).distinct(), [*key, a_sta, a_end], "left_anti").select("*", *[F.lit(None).cast(b.schema[c].dataType).alias(c) for c in extra]))
 
 
 def point_in_interval(points: DataFrame, windows: DataFrame, key: list[str], pos: str, sta: str, end: str, width: int, first: list[str] | None = None) -> DataFrame:
@@ -141,6 +140,13 @@ def trim_ends(df: DataFrame, key: list[str], sta: str, end: str, cov: str, least
     return ends.select(*key, F.explode(pieces).alias("p")).select(*key, "p.piece", "p.sta", "p.end")
 
 
+def drop_low_pieces(pieces: DataFrame, listed: DataFrame, df: DataFrame, key: list[str], sta: str, end: str, cov: str, least: float) -> DataFrame:
+    """pieces (key, piece, sta, end) without those of listed keys whose windows' mean coverage is below ``least``."""
+    inside = pieces.join(listed.select(*key).distinct(), key, "left_semi").join(df.select(*key, F.col(sta).alias("_s"), F.col(end).alias("_e"), F.col(cov).alias("_c")), key)
+    low = inside.where("_s >= sta and _e <= end").groupBy(*key, "piece").agg(F.avg("_c").alias("_m")).where(F.col("_m") < least)
+    return pieces.join(low, [*key, "piece"], "left_anti")
+
+
 def large_gaps(df: DataFrame, key: list[str], sta: str, end: str, least: int) -> DataFrame:
     """Gaps longer than ``least`` between neighbours, with the interval before and after each."""
     w = Window.partitionBy(*key).orderBy(sta, end)

@@ -8,6 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def thin_sites(calls: DataFrame, key: str, pos: str, sample: str, allele: str, gap: int, known: int = 5, least: int = 10) -> DataFrame:
+    """key, pos, sample, state: calls of sites that are well known, not singletons, and more than ``gap`` past the last one kept.
+
+    A site counts with more than ``known`` and more than ``least`` calls that are not null, and if at least two of them are not
+    its commonest allele (of equal ones the smallest). state is 1 for that allele, 0 for others, null where missing.
+    """
+    n = calls.where(F.col(allele).isNotNull()).groupBy(key, pos, allele).agg(F.count(F.lit(1)).alias("_n"))
+    sites = n.groupBy(key, pos).agg(F.sum("_n").alias("_total"), F.min(F.struct((-F.col("_n")).alias("m"), F.col(allele).alias("a"))).alias("_major"))
+    sites = sites.where(f"_total > {known} and _total > {least} and -_major.m < _total - 1")
+    kept = thin(sites, key, pos, gap)
+    state = F.when(F.col(allele).isNotNull(), (F.col(allele) == F.col("_major.a")).cast("int"))
+    return calls.join(kept, [key, pos]).select(key, pos, sample, state.alias("state"))
+
+
 def thin(df: DataFrame, key: str, pos: str, gap: int) -> DataFrame:
     """Rows kept greedily along each key: one is kept if it lies more than ``gap`` past the last kept one."""
 
@@ -46,9 +60,12 @@ def segment_by_class(df: DataFrame, key: str, order: str, one: str, two: str, de
 def nonredundant_targets(df: DataFrame, key: str, order: str, sta: str, end: str, most: float = 0.8) -> DataFrame:
     """df with ``kept``: false where an interval, in order, is redundant to one kept before.
 
-    Kept intervals of a key are trimmed against the next one, or replaced by one that holds them; the shared part, as a
-    share of the kept interval, tells how redundant the next one is, and beyond ``most`` it does not count. Of equal
-    places in the order the smaller interval goes first.
+    The new interval [s, e] meets the kept ones [a, b] that it overlaps from left to right. It loses what it shares with one
+    that reaches it from the left (a <= s <= b <= e) or, where that does not hold and it is not inside the kept one, from
+    the right (s <= a <= e <= b); inside a kept one (a <= s, e <= b) it is not recorded; one that it holds is dropped, every
+    one that it comes to. The part concerned, as a share of the kept interval, tells how redundant the new one is; the first
+    share above ``most`` ends the comparison, and such an interval does not count (kept is false), though what is left
+    of it is recorded. Of equal places in the order the smaller interval goes first.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -62,15 +79,15 @@ def nonredundant_targets(df: DataFrame, key: str, order: str, sta: str, end: str
                 if e < a or s > b:
                     continue
                 size = b - a + 1
-                if s <= a and b <= e:
-                    ratio = (e - s + 1) / size
-                    kept.remove(iv)
+                if a <= s <= b <= e:
+                    ratio, s = (b - s + 1) / size, b + 1
                 elif a <= s and e <= b:
                     ratio, record = (e - s + 1) / size, False
-                elif a <= s:
-                    ratio, s = (b - s + 1) / size, b + 1
-                else:
+                elif s <= a <= e <= b:
                     ratio, e = (e - a + 1) / size, a - 1
+                else:
+                    ratio = (e - s + 1) / size
+                    kept.remove(iv)
                 if ratio > most or s > e:
                     break
             if record and s <= e:

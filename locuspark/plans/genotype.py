@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from locuspark.functions.kernels import window_id
 from locuspark.operators import genotypes as G
+from locuspark.operators.graphs import class_sizes, contig_scores, group_contacts
 from locuspark.operators.intervals import first_by
-from locuspark.plans.base import BI, EDGE, GT, IV, bi, edge, gt, iv, table
+from locuspark.plans.base import BI, EDGE, GT, IV, MARKERS, bi, edge, gt, iv, markers, table
 from locuspark.plans.registry import query
 from locuspark.sources.sinks import allele_count_lines, haplotype_lines
 
@@ -67,11 +68,12 @@ def d5(s, d):
     return best.where(contact > 1000).select("a", "b", "cls", F.round(contact, 6).alias("contact"))
 
 
-@query("D6_group_contacts", f"""WITH {EDGE}, g AS (SELECT s_suppkey AS node, s_nationkey AS g FROM supplier) SELECT least(x.g, y.g) AS g1, greatest(x.g, y.g) AS g2, sum(w)::BIGINT AS total, round(avg(w), 6) AS mean FROM edge JOIN g x ON a = x.node JOIN g y ON b = y.node GROUP BY ALL""")
+@query("D6_group_contacts", f"""WITH {EDGE}, g AS (SELECT s_suppkey AS node, s_nationkey % 6 AS g FROM supplier UNION SELECT s_suppkey, (s_nationkey + 1) % 6 FROM supplier WHERE s_suppkey % 3 = 0), e AS (SELECT a, b, w, x.g AS ga, y.g AS gb FROM edge JOIN g x ON a = x.node JOIN g y ON b = y.node)
+  SELECT least(ga, gb) AS g1, greatest(ga, gb) AS g2, sum(w)::BIGINT AS total, round(avg(w), 6) AS mean, count(*) AS n FROM e WHERE ga = gb OR NOT ((a, gb) IN (SELECT (node, g) FROM g) OR (b, ga) IN (SELECT (node, g) FROM g)) GROUP BY ALL""")
 def d6(s, d):
-    g = table(s, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("g"))
-    e = edge(s, d).join(g.select(F.col("node").alias("a"), F.col("g").alias("x")), "a").join(g.select(F.col("node").alias("b"), F.col("g").alias("y")), "b")
-    return e.groupBy(F.least("x", "y").alias("g1"), F.greatest("x", "y").alias("g2")).agg(F.sum("w").alias("total"), F.round(F.avg("w"), 6).alias("mean"))
+    p = table(s, d, "supplier")
+    g = p.select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") % 6).alias("g")).union(p.where("s_suppkey % 3 = 0").select("s_suppkey", (F.col("s_nationkey") + 1) % 6))
+    return group_contacts(edge(s, d), g).withColumn("mean", F.round("mean", 6))
 
 
 @query("D7_spectrum", f"""WITH {_SITE} SELECT CASE WHEN f < 50 THEN f ELSE 100 - f END AS folded, count(*) AS sites FROM (SELECT round_even(major / n * 100, 0)::INT AS f FROM site) GROUP BY ALL""")
@@ -153,6 +155,17 @@ def d15(s, d):
     return G.pair_mismatches(w, ["win"], site=["pos"])
 
 
+@query("D15_gap_masked", f"""WITH {GT}, f AS (SELECT pos // 8 AS place, sample, avg((gt IS NULL)::INT) AS missing FROM gt GROUP BY ALL), k AS (SELECT gt.pos, gt.sample, CASE WHEN missing > 0.5 THEN NULL ELSE gt END AS gt FROM gt JOIN f ON f.place = gt.pos // 8 AND f.sample = gt.sample),
+  w AS (SELECT *, unnest(generate_series(greatest((pos + 4000) // 500 - 9, 0), pos // 500)) * 500 AS win FROM k WHERE gt IS NOT NULL) SELECT win, x.sample AS s1, y.sample AS s2, count(*) AS sites, count(*) FILTER (x.gt <> y.gt) AS mismatches FROM w x JOIN w y USING (win, pos) WHERE x.sample < y.sample GROUP BY ALL""")
+def d15_masked(s, d):
+    from locuspark.operators.intervals import sliding
+
+    g = gt(s, d).withColumn("place", F.floor(F.col("pos") / 8))
+    missing = g.groupBy("place", "sample").agg(F.avg(F.col("gt").isNull().cast("int")).alias("missing"))
+    w = sliding(G.gap_masked(g, missing, ["place", "sample"]), "pos", 1000, 500).withColumnRenamed("window", "win")
+    return G.pair_mismatches(w, ["win"], site=["pos"])
+
+
 @query("D16_missing_fraction", f"""WITH {GT} SELECT pos // 500 AS win, sample, round(avg((gt IS NULL)::INT), 6) AS missing FROM gt GROUP BY ALL""")
 def d16(s, d):
     return gt(s, d).groupBy(window_id(F.col("pos"), 500).alias("win"), "sample").agg(F.round(F.avg(F.col("gt").isNull().cast("int")), 6).alias("missing"))
@@ -180,26 +193,30 @@ def d18(s, d):
     return allele_count_lines(_states(s, d), ["pos"], "pop", "state", [0, 1, 2])
 
 
-_SUP = f"""{GT}, cul AS (SELECT * FROM gt WHERE sample <= 3 AND gt IS NOT NULL), wild AS (SELECT * FROM gt WHERE sample > 3 AND gt IS NOT NULL), sup AS (SELECT chr, cul.pos // 1000 AS win, cul.sample AS hap, wild.sample AS wild, avg((cul.gt = wild.gt)::INT) AS support FROM cul JOIN wild USING (chr, pos) GROUP BY ALL)"""
+_SUP = f"""{GT}, two AS (SELECT chr, pos, sample, gt AS a, lead(gt) OVER (PARTITION BY chr, pos ORDER BY sample) AS b FROM gt), x AS (SELECT c.chr, c.pos // 1000 AS win, c.sample AS hap, w.sample AS wild, coalesce((c.a = w.a)::INT, 0) + coalesce((c.a = w.b)::INT, 0) AS one, coalesce((c.b = w.a)::INT, 0) + coalesce((c.b = w.b)::INT, 0) AS two
+  FROM two c JOIN two w USING (chr, pos) WHERE c.sample <= 3 AND w.sample > 3 AND (c.a IS NOT NULL OR c.b IS NOT NULL)), sup AS (SELECT chr, win, hap, wild, count(*) AS sites, avg(((one > 0)::INT + (two > 0)::INT) / 2.0) AS support, avg((one + two) / 4.0) AS dosage FROM x GROUP BY ALL)"""
 
 
 def _support(s, d):
-    g = gt(s, d).where("gt is not null")
-    c = g.where("sample <= 3").select("chr", "pos", F.col("sample").alias("hap"), F.col("gt").alias("g1"))
-    w = g.where("sample > 3").select("chr", "pos", F.col("sample").alias("wild"), F.col("gt").alias("g2"))
-    return c.join(w, ["chr", "pos"]).groupBy("chr", window_id(F.col("pos"), 1000).alias("win"), "hap", "wild").agg(F.avg((F.col("g1") == F.col("g2")).cast("int")).alias("support"))
+    """Samples up to 3 are cultivated, the others wild; a sample's second allele is that of the next sample at the site."""
+    from pyspark.sql import Window
 
+    g = gt(s, d).withColumn("other", F.lead("gt").over(Window.partitionBy("chr", "pos").orderBy("sample")))
+    c = g.where("sample <= 3").select("chr", "pos", F.col("sample").alias("hap"), F.col("gt").alias("a1"), F.col("other").alias("a2"))
+    w = g.where("sample > 3").select("chr", "pos", F.col("sample").alias("wild"), F.col("gt").alias("b1"), F.col("other").alias("b2"))
+    return G.wild_support(c, w, ["chr", "pos"], [F.col("chr"), window_id(F.col("pos"), 1000).alias("win")])
 
-@query("D19_wild_support", f"WITH {_SUP} SELECT chr, win, hap, wild, round(support, 6) AS support FROM sup")
+
+@query("D19_wild_support", f"WITH {_SUP} SELECT chr, win, hap, wild, sites, round(support, 6) AS support, round(dosage, 6) AS dosage FROM sup")
 def d19(s, d):
-    return _support(s, d).withColumn("support", F.round("support", 6))
+    return _support(s, d).withColumn("support", F.round("support", 6)).withColumn("dosage", F.round("dosage", 6))
 
 
-@query("D20_quantile_filter", f"""WITH {_SUP}, r AS (SELECT chr, win, hap, wild, round(support, 6) AS support FROM sup), q AS (SELECT hap, quantile_cont(support, 0.9) AS q FROM r GROUP BY hap) SELECT chr, win, hap, wild, support FROM r JOIN q USING (hap) WHERE support >= q - 1e-9""")
+@query("D20_quantile_filter", f"""WITH {_SUP}, r AS (SELECT chr, win, hap, wild, round(dosage, 6) AS dosage FROM sup), q AS (SELECT hap, quantile_cont(dosage, 0.9) AS q FROM r GROUP BY hap) SELECT chr, win, hap, wild, dosage FROM r JOIN q USING (hap) WHERE dosage >= q - 1e-9""")
 def d20(s, d):
     r = d19(s, d)
-    q = r.groupBy("hap").agg(F.percentile("support", 0.9).alias("q"))
-    return r.join(q, "hap").where("support >= q - 1e-9").select("chr", "win", "hap", "wild", "support")
+    q = r.groupBy("hap").agg(F.percentile("dosage", 0.9).alias("q"))
+    return r.join(q, "hap").where("dosage >= q - 1e-9").select("chr", "win", "hap", "wild", "dosage")
 
 
 @query("D21_distinct_variants", """SELECT l_linenumber AS sample, count(*) AS total, count(DISTINCT (l_suppkey, l_returnflag, l_linestatus)) AS different, round(count(DISTINCT (l_suppkey, l_returnflag, l_linestatus)) / count(*), 6) AS ratio FROM lineitem GROUP BY 1""")
@@ -234,6 +251,13 @@ def d23(s, d):
     return f.groupBy("chr", F.least(F.floor(F.col("fq") * 10).cast("int"), F.lit(9)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("D23_density", """WITH f AS (SELECT p_partkey % 5 AS chr, (p_size - 1) / 49.0 AS fq, p_retailprice FROM part), z AS (SELECT chr, sum(p_retailprice) AS size FROM f GROUP BY chr) SELECT f.chr, least(floor(fq * 10)::INT, 9) AS bucket, round(count(*) / any_value(size) * 1e6, 4) AS density FROM f JOIN z USING (chr) GROUP BY ALL""")
+def d23_density(s, d):
+    """Counts of each decile as a share of the chromosome's size."""
+    size = table(s, d, "part").groupBy((F.col("p_partkey") % 5).alias("chr")).agg(F.sum("p_retailprice").alias("size"))
+    return d23(s, d).join(size, "chr").select("chr", "bucket", F.round(F.col("n") / F.col("size") * 1e6, 4).alias("density"))
+
+
 @query("D24_value_counts", """SELECT l_returnflag AS chr, l_quantity::INT AS qual, count(*) AS n FROM lineitem GROUP BY ALL""")
 def d24(s, d):
     return table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("chr"), F.col("l_quantity").cast("int").alias("qual")).agg(F.count(F.lit(1)).alias("n"))
@@ -316,9 +340,14 @@ def d33(s, d):
     return table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("cls")).agg(F.sum(F.col("l_quantity") * mult).cast("long").alias("size"))
 
 
-@query("D34_refined_score", """SELECT l_suppkey AS ctg, l_linenumber AS lg, sum(l_quantity * l_tax)::DECIMAL(18, 2)::DOUBLE AS score, max(l_quantity) AS best FROM lineitem GROUP BY ALL""")
+@query("D34_refined_score", f"WITH {MARKERS} SELECT ctg, lg, score, links, best, best_hic FROM sc JOIN bc USING (ctg, lg)")
 def d34(s, d):
-    return table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("ctg"), F.col("l_linenumber").alias("lg")).agg(F.round(F.sum(F.col("l_quantity") * F.col("l_tax")), 2).alias("score"), F.max("l_quantity").alias("best"))
+    return contig_scores(markers(s, d))
+
+
+@query("D34_class_sizes", f"""WITH {MARKERS} SELECT ctg, type, sum("end" - sta + 1)::BIGINT AS size FROM (SELECT DISTINCT ctg, sta, "end", type FROM mk) GROUP BY ALL""")
+def d34_sizes(s, d):
+    return class_sizes(markers(s, d))
 
 
 @query("D36_shared_blocks", """WITH b AS (SELECT l_suppkey AS chr, l_linenumber AS pair, l_quantity AS len FROM lineitem) SELECT chr, pair, count(*) AS n, sum(len) AS total, round(sum(len) / any_value(s_acctbal + 2000), 6) AS share FROM b JOIN supplier ON s_suppkey = chr GROUP BY chr, pair""")

@@ -41,10 +41,9 @@ def h2(s, d):
     return r.select("id", "ln", "p", K.project_read(F.col("seq"), F.col("cigar")).alias("laid"))
 
 
-@query("H3_reverse_complement", """SELECT doc_id, reverse(translate(upper(substr(text, 1, 60)), 'ACGTU', 'TGCAA')) AS rc FROM documents WHERE regexp_matches(text, '^[A-Za-z ,.]{60}')""")
+@query("H3_reverse_complement", """SELECT doc_id, reverse(translate(upper(regexp_replace(text, '[^ -~]', '', 'g')), 'ACGTU', 'TGCAA')) AS rc FROM documents""")
 def h3(s, d):
-    x = table(s, d, "documents").where(F.col("text").rlike("^[A-Za-z ,.]{60}"))
-    return x.select("doc_id", K.reverse_complement(F.substring("text", 1, 60)).alias("rc"))
+    return table(s, d, "documents").select("doc_id", K.reverse_complement(F.regexp_replace("text", "[^ -~]", "")).alias("rc"))
 
 
 @query("H4_subsequence", """SELECT doc_id, substr(text, 5, 16) AS part FROM documents""")
@@ -89,11 +88,11 @@ def h9(s, d):
     return x.select("read", K.is_alternate(F.col("a"), F.col("r"), 0.5).alias("alt"))
 
 
-_TOUR = """t AS (SELECT l_suppkey AS asm, list((CASE WHEN l_returnflag = 'A' THEN -1 ELSE 1 END * l_partkey)::INT ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag) AS tour FROM lineitem WHERE l_orderkey % 10 = 1 GROUP BY 1)"""
+_TOUR = """t AS (SELECT l_suppkey AS asm, list((CASE WHEN l_returnflag = 'A' THEN -1 ELSE 1 END * l_partkey)::INT ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag) AS tour FROM lineitem GROUP BY 1)"""
 
 
 def _tours(s, d):
-    x = table(s, d, "lineitem").where("l_orderkey % 10 = 1")
+    x = table(s, d, "lineitem")
     cell = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", (F.when(F.col("l_returnflag") == "A", -1).otherwise(1) * F.col("l_partkey")).cast("int").alias("v"))
     return x.groupBy(F.col("l_suppkey").alias("asm")).agg(F.transform(F.sort_array(F.collect_list(cell)), lambda c: c["v"]).alias("tour"))
 
@@ -108,6 +107,33 @@ def h11(s, d):
     return _tours(s, d).select("asm", K.tour_text(K.insert_after(F.col("tour"), F.abs(F.col("tour")[0]), F.lit(999999))).alias("tour"))
 
 
+_FLAGS = """f AS (SELECT l_suppkey AS asm, l_returnflag AS part, list((CASE WHEN l_linestatus = 'F' THEN -1 ELSE 1 END * l_partkey)::INT ORDER BY l_orderkey, l_linenumber, l_partkey, l_linestatus) AS tour FROM lineitem GROUP BY ALL)"""
+
+
+def _part_tours(s, d):
+    cell = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", (F.when(F.col("l_linestatus") == "F", -1).otherwise(1) * F.col("l_partkey")).cast("int").alias("v"))
+    return table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("asm"), F.col("l_returnflag").alias("part")).agg(F.transform(F.sort_array(F.collect_list(cell)), lambda c: c["v"]).alias("tour"))
+
+
+@query("H10_concat_tours", f"""WITH {_FLAGS} SELECT asm, array_to_string(flatten(list(tour ORDER BY part)), ' ') AS tour FROM f GROUP BY asm""")
+def h10_concat(s, d):
+    x = _part_tours(s, d).groupBy("asm").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "tour"))), lambda t: t["tour"]).alias("tours"))
+    return x.select("asm", K.tour_text(K.concat_tours(F.col("tours"))).alias("tour"))
+
+
+_STRANDS = """u AS (SELECT asm, part, abs(x) AS ctg, CASE WHEN x < 0 THEN '-' ELSE '+' END AS strand FROM (SELECT asm, part, unnest(tour) AS x, generate_subscripts(tour, 1) AS i FROM f) QUALIFY row_number() OVER (PARTITION BY asm, part, abs(x) ORDER BY i) = 1)"""
+
+
+@query("H10_strands", f"""WITH {_FLAGS}, {_STRANDS} SELECT x.asm, x.ctg, x.strand || coalesce(y.strand, '') AS strands, x.strand = y.strand AS same FROM u x LEFT JOIN u y ON y.asm = x.asm AND y.ctg = x.ctg AND y.part = 'R' JOIN part ON p_partkey = x.ctg WHERE x.part = 'N' AND p_size > 25""")
+def h10_strands(s, d):
+    """Strands of contigs in one tour and in another, for contigs beyond a size."""
+    u = _part_tours(s, d).select("asm", "part", F.explode(K.strands(F.col("tour"))).alias("x")).select("asm", "part", "x.ctg", "x.strand")
+    large = table(s, d, "part").where("p_size > 25").select(F.col("p_partkey").cast("int").alias("ctg"))
+    x, y = u.where("part = 'N'").drop("part"), u.where("part = 'R'").select("asm", "ctg", F.col("strand").alias("other"))
+    both = x.join(y, ["asm", "ctg"], "left").join(large, "ctg", "left_semi")
+    return both.select("asm", "ctg", F.concat("strand", F.coalesce("other", F.lit(""))).alias("strands"), (F.col("strand") == F.col("other")).alias("same"))
+
+
 @query("H12_rebuilt_tour", """SELECT p_brand AS asm, array_to_string(list(CASE WHEN p_size % 2 = 0 THEN -p_partkey ELSE p_partkey END ORDER BY p_retailprice, p_partkey), ' ') AS tour FROM part GROUP BY 1""")
 def h12(s, d):
     cell = F.struct("p_retailprice", "p_partkey", F.when(F.col("p_size") % 2 == 0, -F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("v"))
@@ -243,13 +269,22 @@ def a3_filtered(s, d):
     return text.long_targets(_paf(s, d), c, 100).select("qname", "tname", "tsta", "tend")
 
 
-@query("A4_sam", """SELECT 'r' || l_orderkey AS qname, ((l_partkey * 37) % 4096)::INT AS flag, 'c' || l_suppkey AS rname, l_partkey AS pos, (l_quantity::INT)::VARCHAR || 'M' AS cigar FROM lineitem""")
-def a4(s, d):
+def _sam_lines(s, d):
     x = table(s, d, "lineitem")
     star = F.lit("*")
     rows = _lines(x, F.concat(F.lit("r"), F.col("l_orderkey").cast("string")), ((F.col("l_partkey") * 37) % 4096).cast("string"), F.concat(F.lit("c"), F.col("l_suppkey").cast("string")), "l_partkey", F.lit("60"), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("M")), star, F.lit("0"), F.lit("0"), F.lit("ACGT"), star)
-    head = _lines(x.limit(3), F.lit("@SQ"), F.lit("SN:c1"))
-    return text.parse_sam(head.unionByName(rows)).select("qname", "flag", "rname", "pos", "cigar")
+    head = _lines(table(s, d, "supplier"), F.lit("@SQ"), F.concat(F.lit("SN:c"), F.col("s_suppkey").cast("string")))
+    return head.unionByName(_lines(table(s, d, "region"), F.lit("short"), "r_name")).unionByName(rows)
+
+
+@query("A4_sam", """SELECT 'r' || l_orderkey AS qname, ((l_partkey * 37) % 4096)::INT AS flag, 'c' || l_suppkey AS rname, l_partkey AS pos, (l_quantity::INT)::VARCHAR || 'M' AS cigar FROM lineitem""")
+def a4(s, d):
+    return text.parse_sam(_sam_lines(s, d)).select("qname", "flag", "rname", "pos", "cigar")
+
+
+@query("A4_counts", """WITH f AS (SELECT (l_partkey * 37) % 4096 AS flag FROM lineitem), n AS (SELECT (SELECT count(*) FROM supplier) AS headers, (SELECT count(*) FROM region) AS short) SELECT count(*) + headers + short AS lines, headers, short, count(*) AS records, count(*) FILTER (flag & 4 <> 0) AS unmapped, count(*) FILTER (flag & 256 <> 0) AS secondary, count(*) FILTER (flag & 2048 <> 0) AS supplementary FROM f, n GROUP BY headers, short""")
+def a4_counts(s, d):
+    return text.sam_counts(_sam_lines(s, d))
 
 
 @query("A5_vcf", """SELECT (l_orderkey % 4)::VARCHAR AS chr, l_orderkey AS pos, 's' || k AS sample, CASE k WHEN 1 THEN '0/' || (l_partkey % 2) ELSE (l_suppkey % 2) || '|1' END AS gt FROM lineitem, generate_series(1, 2) t(k)""")
@@ -266,10 +301,10 @@ def a6(s, d):
     return table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("p"), F.aggregate(text.genotype_tuple(g), F.lit(0), lambda a, x: a + x).alias("dosage"))
 
 
-@query("A7_fasta", """SELECT 'd' || doc_id AS name, regexp_replace(substr(text, 1, 200), '\\s', '', 'g') AS seq FROM documents WHERE regexp_matches(text, '^[A-Za-z .,]{5}') AND NOT regexp_matches(text, '[^\\x00-\\x7f]')""")
+@query("A7_fasta", """SELECT 'd' || doc_id AS name, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS seq FROM documents""")
 def a7(s, d):
-    x = table(s, d, "documents").where(F.col("text").rlike("^[A-Za-z .,]{5}") & ~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return text.parse_fasta(x.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(" note\n"), F.substring("text", 1, 200)).alias("value")))
+    letters = K.wrapped(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""), 60)
+    return text.parse_fasta(table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(" note\n"), letters, F.lit("\n")).alias("value")))
 
 
 @query("A8_gfa_links", """SELECT 'u' || l_suppkey AS a, CASE WHEN l_quantity < 25 THEN 'r' ELSE 'l' END AS a_end, 'u' || l_partkey AS b, CASE WHEN l_tax < 0.04 THEN 'l' ELSE 'r' END AS b_end, l_quantity::BIGINT AS ovl FROM lineitem WHERE l_linenumber <> 2""")
@@ -295,6 +330,48 @@ def a10(s, d):
     return text.parse_dot_edges(sinks.dot_edge_lines(e))
 
 
+def _dot_graph(s, d):
+    """Contacts of suppliers with nations, a cluster for each region, as DOT lines of one file."""
+    n = table(s, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("cluster"))
+    e = table(s, d, "supplier").join(n, "s_nationkey").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("b"), F.round("s_acctbal").alias("weight"), "cluster")
+    z = table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"), (F.col("s_suppkey") * 10).alias("size"))
+    return sinks.dot_clusters(e, z)
+
+
+@query("A10_dot_groups", """SELECT DISTINCT n_regionkey AS cluster, 'G_' || n_regionkey AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def a10_groups(s, d):
+    x = _dot_graph(s, d)
+    one = x.select("value", F.lit("g").alias("file"), (F.col("cluster").cast("long") * (1 << 45) + F.col("line_no")).alias("line_no"))
+    return text.parse_dot_groups(one).select("cluster", "label")
+
+
+@query("A19_dot_clusters", """SELECT n_regionkey AS cluster, '/* ' || (count(DISTINCT s_suppkey) + count(DISTINCT s_nationkey)) || ' contigs with total size of ' || sum(s_suppkey * 10) || ' bp */' AS value, 2 * count(*) + count(DISTINCT s_nationkey) + 4 AS lines FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
+def a19_dot(s, d):
+    x = _dot_graph(s, d)
+    return x.groupBy("cluster").agg(F.max(F.when(F.col("value").contains("contigs with"), F.trim(F.translate("value", "\t", " ")))).alias("value"), F.count(F.lit(1)).alias("lines"))
+
+
+def _folder(s):
+    from locuspark.scratch import Scratch
+
+    return Scratch(s).root
+
+
+@query("A15_headed_scan", """SELECT p_partkey AS id, p_name AS name, p_retailprice AS price FROM part""")
+def a15(s, d):
+    path = _folder(s) + "/headed"
+    sinks.write_tsv(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price")), path, header=True)
+    return text.read_headed(s, path, "id long, name string, price double")
+
+
+@query("A16_files_by_key", """SELECT l_orderkey AS read, l_linenumber AS n, l_returnflag AS homlg, l_linestatus AS lg FROM lineitem""")
+def a16(s, d):
+    path = _folder(s) + "/by_key"
+    x = table(s, d, "lineitem").select(F.col("l_orderkey").alias("read"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("homlg"), F.col("l_linestatus").alias("lg"))
+    sinks.write_by(x, path, "homlg", "lg")
+    return s.read.schema("read long, n int, homlg string, lg string").parquet(path)
+
+
 @query("A11_blast", """SELECT conv_id::VARCHAR AS query, 's' || max(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS subject, turn AS same, (turn + 10) AS length FROM conversations""")
 def a11(s, d):
     c = table(s, d, "conversations").select("conv_id", "turn")
@@ -342,7 +419,30 @@ def a19(s, d):
     return sinks.cluster_lines(x, "cluster", "node", "size").withColumn("total", F.round("total", 2))
 
 
-@query("A20_haplotype_lines", """SELECT l_suppkey AS sample, array_to_string(list(CASE l_returnflag WHEN 'A' THEN '0' WHEN 'N' THEN '1' ELSE '9' END ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag DESC), ' ') AS line FROM lineitem WHERE l_orderkey % 50 = 1 GROUP BY 1""")
+@query("A20_haplotype_lines", """SELECT l_suppkey AS sample, array_to_string(list(CASE l_returnflag WHEN 'A' THEN '0' WHEN 'N' THEN '1' ELSE '9' END ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag DESC), ' ') AS line FROM lineitem GROUP BY 1""")
 def a20(s, d):
-    x = table(s, d, "lineitem").where("l_orderkey % 50 = 1").select(F.col("l_suppkey").alias("sample"), "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).alias("state"))
+    x = table(s, d, "lineitem").select(F.col("l_suppkey").alias("sample"), "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).alias("state"))
     return sinks.haplotype_lines(x, "sample", ["l_orderkey", "l_linenumber", "l_partkey"], "state")
+
+
+_PLINK = """g AS (SELECT l_suppkey % 3 AS chr, l_partkey AS pos, l_linenumber AS sample, min(l_returnflag) AS a1, max(l_returnflag) AS a2 FROM lineitem GROUP BY ALL)"""
+
+
+def _plink(s, d):
+    return table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 3).alias("chr"), F.col("l_partkey").alias("pos"), F.col("l_linenumber").alias("sample")).agg(F.min("l_returnflag").alias("a1"), F.max("l_returnflag").alias("a2"))
+
+
+@query("A20_eigenstrat_map", f"""WITH {_PLINK}, s AS (SELECT DISTINCT chr, pos FROM g), e AS (SELECT chr, max(pos) AS last FROM s GROUP BY chr) SELECT chr, chr || ':' || pos AS id, round(0.0001 * row_number() OVER (ORDER BY chr, pos), 6) AS genetic, pos + coalesce((SELECT sum(last) FROM e WHERE e.chr < s.chr), 0)::BIGINT AS at FROM s""")
+def a20_map(s, d):
+    sites = _plink(s, d).select("chr", "pos").distinct().withColumn("id", F.concat_ws(":", F.col("chr").cast("string"), F.col("pos").cast("string")))
+    return sinks.eigenstrat_map(sites)
+
+
+@query("A20_ped", f"""WITH {_PLINK}, l AS (SELECT sample, string_agg(a1 || chr(9) || a2, chr(9) ORDER BY g.chr, pos) AS line FROM g GROUP BY sample) SELECT sample, concat_ws(chr(9), row_number() OVER (ORDER BY sample), sample, '0', '0', '0', '1', line) AS value FROM l""")
+def a20_ped(s, d):
+    return sinks.ped_lines(_plink(s, d), ["chr", "pos"])
+
+
+@query("A20_geno", f"""WITH {_PLINK}, w AS (SELECT g.chr AS c, pos, max(a1 || '/' || a2) FILTER (sample = 1) AS s1, max(a1 || '/' || a2) FILTER (sample = 2) AS s2, max(a1 || '/' || a2) FILTER (sample = 3) AS s3 FROM g GROUP BY ALL) SELECT c AS chr, pos, concat_ws(chr(9), c, pos, coalesce(s1, 'N/N'), coalesce(s2, 'N/N'), coalesce(s3, 'N/N')) AS value FROM w""")
+def a20_geno(s, d):
+    return sinks.geno_lines(_plink(s, d).withColumn("sample", F.col("sample").cast("string")), ["chr", "pos"], ["1", "2", "3"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from locuspark.operators import genotypes as G
 from locuspark.operators import graphs, ordered, selection
 from locuspark.operators.intervals import first_by
-from locuspark.plans.base import EDGE, GT, edge, gt, table
+from locuspark.plans.base import EDGE, GROUPS, GT, MARKERS, class_sql, edge, gt, markers, ploidy, table
 from locuspark.plans.registry import query
 
 
@@ -16,13 +16,12 @@ def f1(s, d):
     return table(s, d, "lineitem").select(F.col("l_returnflag").alias("chr"), F.col("l_orderkey").alias("pos"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p")).orderBy("chr", "pos", "n", "p")
 
 
-_SC = """sc AS (SELECT l_suppkey AS win, l_linenumber AS grp, sum(l_quantity)::BIGINT AS hic, CASE l_suppkey % 5 WHEN 0 THEN 'hap' WHEN 1 THEN 'dip' WHEN 2 THEN 'trip' WHEN 3 THEN 'tetrap' ELSE 'rep' END AS cls FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY ALL)"""
+_SC = f"""sc AS (SELECT l_orderkey AS win, l_suppkey % 12 AS grp, sum(l_quantity)::BIGINT AS hic, {class_sql("l_orderkey")} AS cls FROM lineitem GROUP BY ALL)"""
 
 
 def _scores(s, d):
-    names = F.array(*map(F.lit, ("hap", "dip", "trip", "tetrap", "rep")))
-    x = table(s, d, "lineitem").where("l_partkey % 3 = 0").groupBy(F.col("l_suppkey").alias("win"), F.col("l_linenumber").alias("grp")).agg(F.sum("l_quantity").cast("long").alias("hic"))
-    return x.withColumn("cls", F.element_at(names, (F.col("win") % 5 + 1).cast("int")))
+    x = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("win"), (F.col("l_suppkey") % 12).alias("grp")).agg(F.sum("l_quantity").cast("long").alias("hic"))
+    return x.withColumn("cls", ploidy("win"))
 
 
 @query("F2_ranked_groups", f"""WITH {_SC} SELECT win, grp, hic, row_number() OVER (PARTITION BY win ORDER BY hic DESC, grp DESC)::INT AS rank FROM sc""")
@@ -41,20 +40,27 @@ def f3(s, d):
     return selection.keep_by_class(_scores(s, d), ["win"], "cls", _SIZES, [F.desc("hic"), F.desc("grp")], "grp")
 
 
-@query("I4_refined_groups", _SLOTS + """ SELECT sl.win, sl.slot::INT AS slot, CASE WHEN have >= n THEN coalesce(grp, -1) ELSE -1 END AS grp FROM sl LEFT JOIN r ON r.win = sl.win AND r.slot = sl.slot""")
-def i4(s, d):
+@query("F3_all_or_nothing", _SLOTS + """ SELECT sl.win, sl.slot::INT AS slot, CASE WHEN have >= n THEN coalesce(grp, -1) ELSE -1 END AS grp FROM sl LEFT JOIN r ON r.win = sl.win AND r.slot = sl.slot""")
+def f3_whole(s, d):
     return selection.keep_by_class(_scores(s, d), ["win"], "cls", _SIZES, [F.desc("hic"), F.desc("grp")], "grp", partial=False)
 
 
+@query("I4_refined_groups", f"""WITH {MARKERS}, r AS (SELECT sc.*, best, best_hic, row_number() OVER (PARTITION BY ctg ORDER BY score DESC, lg DESC) AS slot, count(*) OVER (PARTITION BY ctg) AS have FROM sc JOIN bc USING (ctg, lg)),
+  w AS (SELECT DISTINCT ctg, sta, "end", type, CASE type WHEN 'dip' THEN 2 WHEN 'trip' THEN 3 WHEN 'tetrap' THEN 4 ELSE 1 END AS n FROM mk), sl AS (SELECT *, unnest(generate_series(1, n)) AS slot FROM w), ok AS (SELECT sl.*, type IN ('hap', 'dip', 'trip') AND n <= (SELECT count(*) FROM sc WHERE sc.ctg = sl.ctg) AS ok FROM sl)
+  SELECT ok.ctg, sta, "end", type, ok.slot::INT AS slot, CASE WHEN type = 'tetrap' THEN ok.slot::VARCHAR WHEN ok THEN lg ELSE '-1' END AS lg, CASE WHEN ok THEN best END AS best, CASE WHEN ok THEN best_hic END AS best_hic FROM ok LEFT JOIN r ON r.ctg = ok.ctg AND r.slot = ok.slot""")
+def i4(s, d):
+    return graphs.refine_contigs(markers(s, d), GROUPS)
+
+
 @query("F4_top_three", """SELECT l_suppkey AS q, l_orderkey AS id, l_linenumber AS ln, l_partkey AS p, l_extendedprice AS len FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) <= 3""")
 def f4(s, d):
     x = table(s, d, "lineitem").select(F.col("l_suppkey").alias("q"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("p"), F.col("l_extendedprice").alias("len"))
     return first_by(x, ["q"], [F.desc("len"), F.col("id"), F.col("ln"), F.col("p")], 3)
 
 
-@query("F5_lowest_with_ties", """WITH x AS (SELECT DISTINCT l_suppkey AS q, l_partkey AS s, l_discount AS dist FROM lineitem WHERE l_orderkey % 4 = 0), r AS (SELECT *, rank() OVER (PARTITION BY q ORDER BY dist) AS k FROM x) SELECT q, s, dist FROM r WHERE k <= 3 QUALIFY count(*) OVER (PARTITION BY q) < 10""")
+@query("F5_lowest_with_ties", """WITH x AS (SELECT DISTINCT l_orderkey AS q, l_partkey AS s, l_discount AS dist FROM lineitem), r AS (SELECT *, rank() OVER (PARTITION BY q ORDER BY dist) AS k FROM x) SELECT q, s, dist FROM r WHERE k <= 3 QUALIFY count(*) OVER (PARTITION BY q) < 10""")
 def f5(s, d):
-    x = table(s, d, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_suppkey").alias("q"), F.col("l_partkey").alias("s"), F.col("l_discount").alias("dist")).distinct()
+    x = table(s, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("s"), F.col("l_discount").alias("dist")).distinct()
     return selection.lowest_with_ties(x, ["q"], "dist", 3)
 
 
@@ -71,12 +77,24 @@ def f7(s, d):
     return table(s, d, "lineitem").where("l_quantity between 10 and 40").groupBy(F.col("l_suppkey").alias("q")).agg(F.max("l_extendedprice").alias("len"))
 
 
-@query("F8_with_replacement")
+def _draw(*key: str, seed: int = 0) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(key)}, '{seed}')), 1, 7))::BIGINT"
+
+
+_POISSON = ", ".join(f"{x!r}::DOUBLE" for x in selection.poisson_steps(0.3))
+
+
+@query("F8_with_replacement", f"""WITH u AS (SELECT o_orderkey, len(list_filter([{_POISSON}], lambda x: x <= {_draw("o_orderkey")} / {selection.DRAWS}.0::DOUBLE)) AS n FROM orders) SELECT o_orderkey, unnest(generate_series(1, n))::INT AS copy FROM u WHERE n > 0""")
 def f8(s, d):
     return selection.with_replacement(table(s, d, "orders").select("o_orderkey"), ["o_orderkey"], 0.3)
 
 
-@query("F9_hash_sample")
+@query("F8_draws", f"""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat_ws('|', o_orderkey, '0')), o_orderkey) - 1 AS rank FROM orders) SELECT draw, o_orderkey FROM (SELECT i AS draw, {_draw("i", seed=1)} % (SELECT count(*) FROM orders) AS rank FROM generate_series(0, 499) t(i)) JOIN r USING (rank)""")
+def f8_draws(s, d):
+    return selection.draws_with_replacement(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 500)
+
+
+@query("F9_hash_sample", f"""SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_draw("l_orderkey", "l_linenumber")} % 20 = 0""")
 def f9(s, d):
     return selection.hash_sample(table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 20)
 
@@ -86,19 +104,19 @@ def f9_arithmetic(s, d):
     return table(s, d, "orders").where((F.col("o_orderkey") * 7919) % 1000 < 100).select("o_orderkey")
 
 
-@query("F10_random_group")
+@query("F10_random_group", f"""WITH x AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS lgs FROM lineitem GROUP BY 1) SELECT l_orderkey, lgs[{_draw("l_orderkey")} % len(lgs) + 1] AS lg FROM x""")
 def f10(s, d):
     x = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("lgs"))
     return x.select("l_orderkey", selection.choose(F.col("lgs"), F.col("l_orderkey")).alias("lg"))
 
 
-@query("F11_random_allele")
+@query("F11_random_allele", f"""WITH {GT} SELECT pos, sample, CASE WHEN {_draw("pos", "sample")} % 2 = 0 THEN 0 ELSE gt END AS allele FROM gt WHERE gt IS NOT NULL""")
 def f11(s, d):
     x = gt(s, d).where("gt is not null")
     return x.select("pos", "sample", selection.choose(F.array(F.lit(0), F.col("gt")), F.col("pos"), F.col("sample")).alias("allele"))
 
 
-@query("F11_artificial_pairs")
+@query("F11_artificial_pairs", """WITH r AS (SELECT s_name, row_number() OVER (ORDER BY md5(concat_ws('|', s_name, '0')), s_name) - 1 AS i FROM (SELECT DISTINCT s_name FROM supplier)) SELECT a.i // 2 AS pair, a.s_name AS first, b.s_name AS second FROM r a JOIN r b ON a.i % 2 = 0 AND b.i = a.i + 1""")
 def f11_pairs(s, d):
     return selection.pair_up(table(s, d, "supplier"), "s_name")
 
@@ -147,40 +165,59 @@ def g6(s, d):
     return li.select("l_partkey", "l_suppkey").join(impure, "l_partkey", "left_anti")
 
 
-_CC = """e AS (SELECT DISTINCT o_custkey AS a, o_custkey + 1 + o_orderkey % 3 AS b FROM orders WHERE o_orderkey % 3 = 0)"""
+_CC = """e AS (SELECT DISTINCT o_custkey AS a, o_custkey // 8 * 8 + o_orderkey % 8 AS b FROM orders)"""
 
 
 @query("I1_components", f"""WITH RECURSIVE {_CC}, v AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM v UNION SELECT v.b, r.c FROM r JOIN v ON v.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node""")
 def i1(s, d):
-    e = table(s, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).alias("b"))
+    e = table(s, d, "orders").select(F.col("o_custkey").alias("a"), (F.floor(F.col("o_custkey") / 8) * 8 + F.col("o_orderkey") % 8).alias("b"))
     return graphs.components(e, "a", "b")
 
 
 def _keyed_edges(s, d):
-    return edge(s, d).select((F.col("a") % 3).alias("chr"), "a", "b", F.col("w").cast("double").alias("w"))
+    """Contacts of suppliers by chromosome: orders of a class that both ship lines of."""
+    x = table(s, d, "lineitem").select((F.col("l_orderkey") % 40).alias("chr"), "l_orderkey", F.col("l_suppkey").alias("a"))
+    return x.join(x.withColumnRenamed("a", "b"), ["chr", "l_orderkey"]).where("a < b").groupBy("chr", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+def _allelic(s, d):
+    """Shared sequence of suppliers by chromosome: parts of a class that both have lines of. And the suppliers' sizes."""
+    x = table(s, d, "lineitem").select((F.col("l_partkey") % 40).alias("chr"), "l_partkey", F.col("l_suppkey").alias("a")).distinct()
+    o = x.join(x.withColumnRenamed("a", "b"), ["chr", "l_partkey"]).where("a < b").groupBy("chr", "a", "b").agg(F.count(F.lit(1)).alias("overlap"))
+    return o, table(s, d, "supplier").select(F.col("s_suppkey").alias("node"), F.floor(F.col("s_acctbal") + 2000).alias("size"))
 
 
 @query("I2_merge_clusters")
 def i2(s, d):
-    return graphs.cluster_groups(_keyed_edges(s, d).where("w > 2"), "chr", "a", "b", "w", 3.0, 4)
+    overlaps, sizes = _allelic(s, d)
+    return graphs.cluster_groups(_keyed_edges(s, d), "chr", "a", "b", "w", 1.0, 4, overlaps, sizes, ratio=0.0005, join_least=float("inf"))
 
 
 @query("I3_attach")
 def i3(s, d):
-    return graphs.cluster_groups(_keyed_edges(s, d), "chr", "a", "b", "w", 4.0, 4)
+    overlaps, sizes = _allelic(s, d)
+    return graphs.cluster_groups(_keyed_edges(s, d), "chr", "a", "b", "w", 2.0, 4, overlaps, sizes, ratio=0.0005, join_least=1.0)
 
 
-@query("I5_second_refinement", """WITH t AS (SELECT l_suppkey AS win, l_linenumber AS grp, sum(l_quantity)::BIGINT AS hic FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL) SELECT win, grp, hic FROM t QUALIFY row_number() OVER (PARTITION BY win ORDER BY hic DESC, grp) = 1""")
+@query("I5_second_refinement", f"""WITH r AS (SELECT l_orderkey AS win, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS r, {class_sql("l_orderkey")} AS type, (l_linenumber % 4 + 1)::VARCHAR AS lg FROM lineitem), t AS (SELECT l_orderkey AS win, (l_suppkey % 4 + 1)::VARCHAR AS lg, sum(l_quantity) AS hic FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY hic DESC, lg DESC) AS k, count(*) OVER (PARTITION BY win) AS have FROM t), w AS (SELECT DISTINCT win, type, CASE type WHEN 'dip' THEN 2 WHEN 'trip' THEN 3 ELSE 1 END AS n FROM r),
+  kept AS (SELECT win, list_sort(list(k.lg)) AS kept FROM w JOIN k USING (win) WHERE type IN ('hap', 'dip', 'trip') AND have >= n AND k <= n GROUP BY win UNION ALL SELECT DISTINCT win, CASE WHEN type = 'tetrap' THEN ['1', '2', '3', '4'] ELSE ['-1'] END FROM w JOIN k USING (win) WHERE type IN ('tetrap', 'rep') OR have < n)
+  SELECT r.win, r.r::INT AS r, coalesce(kept[r.r + 1], lg) AS lg FROM r LEFT JOIN kept USING (win)""")
 def i5(s, d):
-    t = table(s, d, "lineitem").where("l_returnflag = 'A'").groupBy(F.col("l_suppkey").alias("win"), F.col("l_linenumber").alias("grp")).agg(F.sum("l_quantity").cast("long").alias("hic"))
-    return first_by(t, ["win"], [F.desc("hic"), F.col("grp")])
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    li = table(s, d, "lineitem")
+    rows = li.select(F.col("l_orderkey").alias("win"), place.alias("r"), ploidy("l_orderkey").alias("type"), (F.col("l_linenumber") % 4 + 1).cast("string").alias("lg"))
+    contacts = li.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("win"), (F.col("l_suppkey") % 4 + 1).cast("string").alias("lg"), F.col("l_quantity").alias("hic"))
+    return graphs.refine_windows(rows, contacts, GROUPS)
 
 
-def _window_clusters(s, d, width=1500, cut=40.0):
+def _window_clusters(s, d, width=1500, cut=40.0, by=()):
     from locuspark.functions.kernels import window_id
 
     g = gt(s, d).withColumn("win", window_id(F.col("pos"), width))
-    return graphs.cluster_windows(G.pair_mismatches(g, ["win"], site=["pos"]), ["win"], "s1", "s2", "mismatches", cut)
+    return graphs.cluster_windows(G.pair_mismatches(g, [*by, "win"], site=["pos"]), [*by, "win"], "s1", "s2", "mismatches", cut)
 
 
 @query("I6_complete_linkage")
@@ -190,7 +227,7 @@ def i6(s, d):
 
 @query("I7_label_propagation")
 def i7(s, d):
-    return ordered.propagate_labels(_window_clusters(s, d).withColumn("chr", F.lit(1)), "chr", "win", "member", "cluster")
+    return ordered.propagate_labels(_window_clusters(s, d, by=["chr"]), "chr", "win", "member", "cluster")
 
 
 @query("I8_purge_overlaps", """WITH sz AS (SELECT s_suppkey AS node, floor(s_acctbal + 2000)::BIGINT AS size FROM supplier), o AS (SELECT DISTINCT l_suppkey AS a, CASE WHEN l_quantity < 25 THEN 'l' ELSE 'r' END AS a_end, l_partkey AS b, CASE WHEN l_tax < 0.04 THEN 'l' ELSE 'r' END AS b_end, l_quantity::BIGINT AS ovl FROM lineitem WHERE l_suppkey <> l_partkey),
@@ -203,11 +240,26 @@ def i8(s, d):
     return graphs.purge_overlaps(o, sz, 1000)
 
 
-@query("I9_parameter_sweep", f"""WITH {EDGE}, p AS (SELECT unnest([1, 2, 3]) AS least) SELECT least, count(*) AS edges, count(DISTINCT a) AS nodes FROM edge JOIN p ON w > least GROUP BY least""")
+@query("I9_parameter_sweep", f"""WITH RECURSIVE {EDGE}, e AS (SELECT least, a, b FROM edge JOIN (SELECT unnest([24, 28, 31]) AS least) ON w > least), v AS (SELECT * FROM e UNION SELECT least, b, a FROM e), r AS (SELECT DISTINCT least, a AS node, a AS c FROM v UNION SELECT v.least, v.b, r.c FROM r JOIN v ON v.least = r.least AND v.a = r.node),
+  k AS (SELECT least, node, min(c) AS c FROM r GROUP BY ALL) SELECT least, c AS component, count(*) AS nodes FROM k GROUP BY ALL""")
 def i9(s, d):
-    """One pass over the edges for a whole grid: an edge is laid out over the parameters that it meets."""
-    e = edge(s, d).withColumn("least", F.explode(F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda p: F.col("w") > p)))
-    return e.groupBy("least").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("a").alias("nodes"))
+    """Components for a whole grid of thresholds in one run: an edge is laid out over the parameters that it meets."""
+    e = edge(s, d).withColumn("least", F.explode(F.filter(F.array(F.lit(24), F.lit(28), F.lit(31)), lambda p: F.col("w") > p)))
+    e = e.select(F.struct("least", F.col("a").alias("n")).alias("a"), F.struct("least", F.col("b").alias("n")).alias("b"))
+    return graphs.components(e, "a", "b").groupBy(F.col("node.least").alias("least"), F.col("component.n").alias("component")).agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("I9_grid")
+def i9_grid(s, d):
+    """The whole clustering for each set of parameters and each key, a group of its own: run, chr, node, cluster."""
+    overlaps, sizes = _allelic(s, d)
+    e = _keyed_edges(s, d)
+    runs = [(least, most, ratio) for least in (1.0, 2.0) for most in (2, 4) for ratio in (0.0005, 0.05)]
+    out = None
+    for k, (least, most, ratio) in enumerate(runs):
+        x = graphs.cluster_groups(e, "chr", "a", "b", "w", least, most, overlaps, sizes, ratio, join_least=1.0).withColumn("run", F.lit(k))
+        out = x if out is None else out.unionByName(x)
+    return out.select("run", "chr", "node", "cluster")
 
 
 @query("I10_two_levels")

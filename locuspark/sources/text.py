@@ -45,6 +45,19 @@ def parse_sam(df: DataFrame) -> DataFrame:
     return parse_fields(df, SAM, least=11, comment="@")
 
 
+def sam_counts(df: DataFrame) -> DataFrame:
+    """lines, headers, short, records, unmapped, secondary, supplementary: what a scan of SAM lines sees and skips.
+
+    short are lines that are neither headers nor blank and have fewer than 11 fields; the others are records.
+    """
+    head, blank = F.col("value").startswith("@"), F.trim("value") == ""
+    n = F.size(fields(F.col("value")))
+    flag = F.get(F.split("value", "\t"), F.lit(1)).try_cast("int")
+    record = ~head & ~blank & (n >= 11)
+    bit = lambda k: F.count_if(record & (flag.bitwiseAND(k) != 0))
+    return df.agg(F.count(F.lit(1)).alias("lines"), F.count_if(head).alias("headers"), F.count_if(~head & ~blank & (n < 11)).alias("short"), F.count_if(record).alias("records"), bit(4).alias("unmapped"), bit(256).alias("secondary"), bit(2048).alias("supplementary"))
+
+
 def parse_sizes(df: DataFrame) -> DataFrame:
     """ctg, size, conflict: true where a name comes with different sizes (the smallest is given)."""
     return parse_fields(df, [("ctg", "string"), ("size", "long")]).groupBy("ctg").agg(F.min("size").alias("size"), (F.count_distinct("size") > 1).alias("conflict"))
@@ -107,6 +120,15 @@ def parse_dot_edges(df: DataFrame) -> DataFrame:
     return e.select(F.regexp_extract("value", p, 1).alias("a"), F.regexp_extract("value", p, 2).alias("b"), F.regexp_extract("value", p, 3).try_cast("double").alias("weight"), F.regexp_extract("value", p, 4).try_cast("int").alias("cluster"))
 
 
+def parse_dot_groups(df: DataFrame) -> DataFrame:
+    """cluster, label of group lines, which follow their cluster's edge lines (lines of one graph: value, file, line_no)."""
+    w = Window.partitionBy("file").orderBy("line_no")
+    edge = F.when(F.col("value").contains(" -- "), F.regexp_extract("value", r"/\*\s*cluster\s+(\d+)", 1).try_cast("int"))
+    rows = df.select("value", "file", F.last(edge, ignorenulls=True).over(w).alias("cluster"))
+    p = r'^\s*label="(G[^"]*)"'
+    return rows.where(F.col("value").rlike(p)).select("file", "cluster", F.regexp_extract("value", p, 1).alias("label"))
+
+
 def parse_blast(df: DataFrame) -> DataFrame:
     """query, subject, same, length of each identity line, with the names last seen above it (lines of one report: value, file, line_no)."""
     w = Window.partitionBy("file").orderBy("line_no")

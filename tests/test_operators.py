@@ -83,6 +83,28 @@ def test_segments(spark):
 def test_nonredundant(spark):
     df = spark.createDataFrame([("c", 1, 1, 100), ("c", 2, 5, 95), ("c", 3, 90, 200), ("c", 4, 300, 310), ("c", 5, 290, 320)], "ctg string, i int, s long, e long")
     assert [r.kept for r in sorted(ordered.nonredundant_targets(df, "ctg", "i", "s", "e").collect(), key=lambda r: r.i)] == [True, False, True, True, False]
+    # equal starts: the second loses the shared part and [101, 120] is kept, so [110, 120] is inside it; held ones all go
+    df = spark.createDataFrame([("c", 1, 1, 100), ("c", 2, 1, 120), ("c", 3, 110, 115), ("c", 4, 200, 210), ("c", 5, 220, 225), ("c", 6, 195, 230), ("c", 7, 221, 222)], "ctg string, i int, s long, e long")
+    assert [r.kept for r in sorted(ordered.nonredundant_targets(df, "ctg", "i", "s", "e").collect(), key=lambda r: r.i)] == [True, False, True, True, True, False, True]
+
+
+def test_thin_sites(spark):
+    rng = random.Random(5)
+    calls = [(k, p, s, rng.choice([0, 0, 0, 1, 2, None])) for k in "xy" for p in rng.sample(range(900), 90) for s in range(rng.choice((4, 13, 16)))]
+    want = []
+    for k in "xy":
+        last = None
+        for p in sorted({c[1] for c in calls if c[0] == k}):
+            at = [c for c in calls if c[:2] == (k, p)]
+            known = [c[3] for c in at if c[3] is not None]
+            if len(known) <= 10 or last is not None and p - last <= 15:
+                continue
+            major = min(set(known), key=lambda a: (-known.count(a), a))
+            if known.count(major) < len(known) - 1:
+                want += [(k, p, c[2], None if c[3] is None else int(c[3] == major)) for c in at]
+                last = p
+    got = ordered.thin_sites(spark.createDataFrame(calls, "chr string, pos int, sample int, gt int"), "chr", "pos", "sample", "gt", 15)
+    assert want and rows(got) == sorted(want, key=repr)
 
 
 def test_label_propagation(spark):
@@ -135,6 +157,51 @@ def test_merge_clusters():
     assert graphs.attach([(1, 9, 5.0), (2, 9, 4.0), (8, 9, 9.0)], {0: {1}, 1: {2}}, {}, {}, least=3.3) == {1: 0, 2: 1, 9: 0, 8: 0}
 
 
+def test_merge_counts_the_sizes_of_overlapping_members_only():
+    """An overlap of 2 between members of 100 and 100 bars a merge at 0.01, however large another member is."""
+    contacts, sizes = {(1, 2): 10.0, (1, 3): 50.0}, {1: 100, 2: 100, 3: 1000}
+    assert graphs.merge_clusters(contacts, {(1, 2): 2}, sizes, {1: {1, 3}, 2: {2}}, most=1) == {1: {1, 3}, 2: {2}}
+    assert graphs.merge_clusters(contacts, {(1, 2): 2}, sizes, {1: {1, 3}, 2: {2}}, most=1, ratio=0.03) == {1: {1, 2, 3}}
+    # means over contributing pairs: 2 and 4 merge, then their mean with 1 is 4 and with 3 is 6; a tie goes to the lowest ids
+    contacts = {(1, 2): 6.0, (1, 4): 2.0, (2, 4): 10.0, (3, 4): 6.0}
+    assert graphs.merge_clusters(contacts, {}, {}, {i: {i} for i in (1, 2, 3, 4)}, most=2) == {1: {1}, 2: {2, 3, 4}}
+    assert graphs.merge_clusters({(3, 4): 5.0, (1, 2): 5.0}, {}, {}, {i: {i} for i in (1, 2, 3, 4)}, most=3) == {1: {1, 2}, 3: {3}, 4: {4}}
+
+
+def test_attach_passes_over_groups_that_share_sequence():
+    groups = {0: {1, 2, 3, 4, 5, 6}, 1: {7}}
+    edges = [(m, 9, 20.0) for m in range(1, 7)] + [(7, 9, 5.0)]
+    sizes = {m: 100.0 for m in range(1, 10)}
+    shared = {(m, 9): 2.0 for m in range(1, 7)}
+    assert graphs.attach(edges, groups, {}, sizes)[9] == 0
+    assert graphs.attach(edges, groups, shared, sizes)[9] == 1
+    assert graphs.attach(edges, groups, {p: v for p, v in shared.items() if p[0] != 6}, sizes)[9] == 0  # five are not enough
+    assert 9 not in graphs.attach(edges, groups, shared, sizes, least=5.0)
+
+
+def test_cluster_groups(spark):
+    edges = [("x", 1, 2, 9.0), ("x", 3, 4, 9.0), ("x", 2, 3, 4.0), ("x", 5, 6, 9.0), ("x", 5, 4, 2.0), ("x", 7, 1, 3.5), ("x", 8, 6, 3.0), ("y", 1, 2, 9.0)]
+    e = spark.createDataFrame(edges, "chr string, a long, b long, w double")
+    sizes = spark.createDataFrame([(i, 100) for i in range(1, 9)], "node long, size long")
+    none = spark.createDataFrame([], "chr string, a long, b long, overlap long")
+    some = spark.createDataFrame([("x", 2, 3, 50)], "chr string, a long, b long, overlap long")
+    got = lambda o, n: rows(graphs.cluster_groups(e, "chr", "a", "b", "w", 5.0, n, o, sizes))
+    assert got(none, 2) == [("x", 1, 1), ("x", 2, 1), ("x", 3, 1), ("x", 4, 1), ("x", 5, 5), ("x", 6, 5), ("x", 7, 1), ("y", 1, 1), ("y", 2, 1)]
+    assert got(some, 2) == [("x", 1, 1), ("x", 2, 1), ("x", 3, 3), ("x", 4, 3), ("x", 5, 3), ("x", 6, 3), ("x", 7, 1), ("y", 1, 1), ("y", 2, 1)]
+
+
+def test_refinement(spark):
+    m = [("c", 1, 10, "dip", "u", "1", 2.0, True), ("c", 1, 10, "dip", "v", "2", 3.0, True), ("c", 11, 30, "hap", "w", "1", 2.0, True), ("c", 11, 30, "hap", "x", "3", 9.0, False), ("c", 31, 40, "trip", "u", "2", 1.0, True), ("c", 41, 50, "rep", "u", "2", 1.0, False), ("c", 51, 60, "tetrap", "u", "2", 1.0, False)]
+    m = spark.createDataFrame(m, "ctg string, sta int, end int, type string, lctg string, lg string, hic double, long boolean")
+    assert rows(graphs.contig_scores(m)) == [("c", "1", 60.0, 2, "u", 2.0), ("c", "2", 40.0, 2, "v", 3.0)]
+    got = rows(graphs.refine_contigs(m, ["1", "2", "3", "4"]).select("sta", "slot", "lg", "best"))
+    assert got == sorted([(1, 1, "1", "u"), (1, 2, "2", "v"), (11, 1, "1", "u"), *[(31, k, "-1", None) for k in (1, 2, 3)], (41, 1, "-1", None), *[(51, k, str(k), None) for k in (1, 2, 3, 4)]], key=repr)
+    r = spark.createDataFrame([("a", 0, "dip", "9"), ("a", 1, "dip", "8"), ("a", 2, "dip", "7"), ("b", 0, "trip", "9"), ("b", 1, "trip", "8"), ("d", 0, "hap", "9")], "win string, r int, type string, lg string")
+    c = spark.createDataFrame([("a", "2", 1.0), ("a", "1", 5.0), ("a", "3", 1.0), ("b", "1", 2.0)], "win string, lg string, hic double")
+    # a keeps 1 and (of equals the later) 3, in their own order; b lacks groups: -1 in its first row only; d has no contacts
+    assert rows(graphs.refine_windows(r, c, ["1", "2", "3", "4"])) == [("a", 0, "1"), ("a", 1, "3"), ("a", 2, "7"), ("b", 0, "-1"), ("b", 1, "8"), ("d", 0, "9")]
+
+
 def test_purge(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 50), ("c", 50), ("d", 10)], "node string, size long")
     overlaps = spark.createDataFrame([("a", "r", "b", "l", 20), ("b", "r", "c", "l", 10), ("d", "l", "a", "l", 8)], "a string, a_end string, b string, b_end string, ovl long")
@@ -168,6 +235,15 @@ def test_selection(spark):
     assert keep(True) == [("v", 1, 1), ("v", 2, -1), ("v", 3, -1), ("w", 1, 2), ("w", 2, 1)]
     assert keep(False) == [("v", 1, -1), ("v", 2, -1), ("v", 3, -1), ("w", 1, 2), ("w", 2, 1)]
     many = spark.range(20000)
+    tens = selection.with_replacement(many, ["id"], 10.0).groupBy("id").count().agg(F.avg("count"), F.max("count"), F.count("id")).first()
+    assert abs(tens[0] - 10) < 0.15 and tens[1] > 20 and tens[2] > 19980  # nothing is cut off at large numbers
+    assert selection.poisson_steps(0.0) == [1.0]
+    names = [(f"n{i}",) for i in range(101)] + [(None,)]
+    pairs = selection.pair_up(spark.createDataFrame(names, "name string"), "name").collect()
+    assert len(pairs) == 50 and len({x for p in pairs for x in (p.first, p.second)}) == 100
+    drawn = selection.draws_with_replacement(many.where("id < 50"), "id", 400)
+    assert drawn.count() == 400 and drawn.select("draw").distinct().count() == 400 and 45 < drawn.select("id").distinct().count() <= 50
+    assert selection.draws_with_replacement(many.limit(0), "id", 5).count() == 0
     assert abs(selection.with_replacement(many, ["id"], 0.5).count() - 10000) < 500
     assert abs(selection.hash_sample(many, ["id"], 10).count() - 2000) < 250
 
