@@ -7,6 +7,7 @@ frequent chunks, broadcast once, and each worker's own cache, which encodes what
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -33,6 +34,21 @@ _LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _PUNCTUATION = string.punctuation.encode()
 
 
+#: The rules that chunks are taken apart by: a file with others is refused.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PIECES = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def check_rules(path: str) -> None:
+    """Raise a ValueError unless the file's normaliser and pre-tokeniser are those that ChunkEncoder relies on."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    one, two = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+    spaced = any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in rules.get("added_tokens", []))
+    if one.get("normalizers") != _NORMALIZERS or _PIECES not in two.get("pretokenizers", [])[:1] or spaced:
+        raise ValueError(f"{path} does not split text by the rules known here")
+
+
 class ChunkEncoder:
     """What a chunk comes to, cached: its ids, packed as little-endian unsigned 32-bit integers, or how many there are.
 
@@ -43,6 +59,7 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        check_rules(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -142,6 +159,8 @@ def encoder(path: str) -> ChunkEncoder:
 def frequent_chunks(docs: DataFrame, size: int = TABLE, sample_docs: int = TABLE_DOCS) -> list[bytes]:
     """The chunks most frequent in up to sample_docs documents of at most SAMPLE_BYTES: what is worth a place in the table.
 
+    Null and empty texts have none, an empty table gives none; of equally frequent chunks those seen first go in.
+
     Spark takes these rows from as few partitions as hold them; no other task runs.
     """
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).where(F.octet_length("text") <= SAMPLE_BYTES)
@@ -161,7 +180,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, table: int = TAB
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text; other columns take no part).
 
     A null or empty text has 0 bytes and 0 tokens; a null doc_id stays null; repeated rows are counted each; an empty
-    table gives none. Counts are exactly the library's for the file at path, without added special tokens.
+    table gives none. Counts are exactly the library's for the file at path, without added special tokens; a file whose rules
+    differ from those known here is refused.
     """
     docs = docs.select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(length_table(path, frequent_chunks(docs, table)))

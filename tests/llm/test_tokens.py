@@ -112,3 +112,13 @@ def test_sum_of_squares_places_nearly_all_tokens(parts):
             ids[doc] = start + n
         assert ids == {d: n for d, n in seen.items() if n}
     assert moved < 0.04 * sizes.sum()
+
+
+def test_a_file_with_other_rules_is_refused(tmp_path):
+    import json
+
+    rules = json.load(open(PATH, encoding="utf-8"))
+    rules["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "t.json").write_text(json.dumps(rules))
+    with pytest.raises(ValueError):
+        ChunkEncoder(str(tmp_path / "t.json"))
