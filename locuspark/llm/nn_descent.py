@@ -59,13 +59,14 @@ def valid_vectors(table: DataFrame, id: str = "vec_id", vector: str = "embedding
     return rows.where(F.size("vec") == (size["d"] if size else -1))
 
 
-def nodes_of(rows: DataFrame, copies: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+def nodes_of(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
     """Nodes (node, vec as bytes, with the component that evens norms), members (node, vec_id) and the bytes' layout.
 
-    members has every row's node, so queries find theirs; of equal vectors the ``copies`` smallest ids can be answers.
+    members has every row's node, so queries find theirs. Equal vectors are one node, named by their smallest id; of rows that
+    repeat an id the one with the smallest vector counts. No rows give no nodes.
     """
     wide = "double" in rows.schema["vec"].dataType.simpleString()
-    rows = rows.dropDuplicates(["vec_id"])
+    rows = rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
     first = scratch.write(rows.groupBy("vec").agg(F.min("vec_id").alias("node")), "distinct")
     members = scratch.write(rows.join(first, "vec").select("node", "vec_id"), "members")
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -223,12 +224,12 @@ def nearest(table: DataFrame, query: str, k: int = 20, id: str = "vec_id", vecto
 
     Nearest is the largest inner product in double precision, ties to the smaller id. Vectors that are null, zero, of
     another length than most, or hold null or non-finite components take no part, nor do null ids; of rows that repeat an
-    id one takes part. With fewer than k other rows all that are found are returned. Other columns take no part. An empty
+    id the one with the smallest vector takes part. With fewer than k other rows all that are found are returned. Other columns take no part. An empty
     table gives none.
     """
     scratch = Scratch(table.sparkSession)
     rows = valid_vectors(table, id, vector)
-    nodes, members, dim = nodes_of(rows, k + 1, scratch)
+    nodes, members, dim = nodes_of(rows, scratch)
     graph = build_graph(nodes, dim, scratch, neighbours)
     asked = scratch.write(members.where(query.replace(id, "vec_id")).select(F.col("vec_id").alias("query_id"), "node"), "asked")
     zero = np.zeros(1, np.float64 if dim < 0 else np.float32).tobytes()
