@@ -98,7 +98,7 @@ def test_words_are_fitted_as_by_plain_descent():
         return np.logaddexp(0, z).sum() - (y * z).sum() + 0.15 * (w**2).sum()
 
     assert loss(v, c) <= loss(w, b) < 1.01 * loss(v, c) < 0.9 * loss(0 * v, 0)
-    assert np.corrcoef(x @ w, x @ v)[0, 1] > 0.999
+    assert np.corrcoef(x @ w, x @ v)[0, 1] > 0.995
 
 
 def test_scorer_remembers_words():
