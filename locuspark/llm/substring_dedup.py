@@ -1,11 +1,11 @@
 """Repeated passages by seed and extend, over words.
 
-Seeds are winnowed anchors: of every 9 consecutive runs of 5 words, the one with the smallest code. Any 13-word window
-holds 9 such runs, so two documents that share a window share its anchor: joining documents on anchors loses no match.
-Where an anchor is shared, each document extends it both ways to every window whose anchor it is, and these windows are matched
-by a 128-bit code of their whole word sequence (two 64-bit polynomials over different word codes), not pair by pair; a window
-is repeated if its sequence also starts in a document with a smaller doc_id. Among 10^13 windows the chance of one false
-match is about 10^-13. Overlapping repeated windows chain into maximal repeats, which are kept.
+Seeds are winnowed anchors: of every 7 consecutive runs of 7 words, the one with the smallest code. Any 13-word window
+holds 7 such runs, so two documents that share a window share its anchor: joining documents on anchors loses no match.
+Where an anchor is shared, each document extends it both ways to every window whose anchor it is. These windows are matched by
+codes of their whole word sequence, not pair by pair: first by 64 bits, then those that match by 128 (two polynomials over
+different word codes); a window is repeated if its sequence also starts in a document with a smaller doc_id. Among 10^13
+windows the chance of one false match is about 10^-13. Overlapping repeated windows chain into maximal repeats, which are kept.
 
 Each join is an aggregation by code (with map-side combine, so a passage that a third of all documents share arrives as
 one row from each task) followed by an equi-join back, whose large side Spark may split; no pairs of documents are made.
@@ -14,7 +14,7 @@ one row from each task) followed by an equi-join back, whose large side Spark ma
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from locuspark.llm.common import Scratch, as_bytes, run_codes, word_codes
 
-WINDOW, SEED = 13, 5
+WINDOW, SEED = 13, 7
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -76,27 +76,50 @@ def window_codes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _windows(texts: DataFrame, window: int, seed: int) -> DataFrame:
-    """Every window whose anchor is shared: its 128-bit code, doc_id, twin and first word."""
+    """Every window whose anchor is shared: its 64-bit code, doc_id, twin and first word; texts: doc_id, twin, text, at."""
+
+    def starts(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        s = np.flatnonzero(np.isin(_lowest(run_codes(words, seed), window - seed + 1), at))
+        return s, [run_codes(words, window).view(np.int64)[s]]
+
+    return _coded(texts.select("doc_id", "twin", "text", "at"), starts, ["code"])
+
+
+def _confirm(texts: DataFrame, window: int) -> DataFrame:
+    """The 128-bit codes of the windows at given first words; texts: doc_id, twin, text, starts."""
+
+    def codes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        return starts, [x[starts] for x in window_codes(words, window)]
+
+    return _coded(texts.select("doc_id", "twin", "text", "starts"), codes, ["code", "code2"])
+
+
+def _coded(texts: DataFrame, work: Callable, names: list[str]) -> DataFrame:
+    """names, doc_id, twin, start for the windows that work(word codes, numbers) picks, in batches of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two, ids, starts, held = [], [], [], [], 0
+            codes, ids, starts, held = [[] for _ in names], [], [], 0
             for k, (text, at) in enumerate(zip(as_bytes(batch.column(2)), batch.column(3))):
-                words, at = word_codes(text), np.asarray(at.values)
-                s = np.flatnonzero(np.isin(_lowest(run_codes(words, seed), window - seed + 1), at))
-                for out, codes in zip((one, two), window_codes(words, window)):
-                    out.append(codes[s])
+                s, found = work(word_codes(text), np.asarray(at.values))
+                for out, x in zip(codes, found):
+                    out.append(x)
                 ids.append(np.full(len(s), k))
                 starts.append(s)
                 held += len(s)
                 if held > 200_000 or k == batch.num_rows - 1:
                     rows = pa.array(np.concatenate(ids))
-                    columns = [pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), *(batch.column(j).take(rows) for j in (0, 1)), pa.array(np.concatenate(starts).astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["code", "code2", "doc_id", "twin", "start"])
-                    one, two, ids, starts, held = [], [], [], [], 0
+                    columns = [*(pa.array(np.concatenate(x)) for x in codes), *(batch.column(j).take(rows) for j in (0, 1)), pa.array(np.concatenate(starts).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, [*names, "doc_id", "twin", "start"])
+                    codes, ids, starts, held = [[] for _ in names], [], [], 0
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "twin", "text", "at").mapInArrow(run, f"code long, code2 long, doc_id {kind}, twin int, start int")
+    return texts.mapInArrow(run, "".join(f"{x} long, " for x in names) + f"doc_id {kind}, twin int, start int")
+
+
+def _shared(found: DataFrame, key: list[str]) -> DataFrame:
+    """key, low: the codes that start in several documents, and the smallest of these."""
+    return found.groupBy(*key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(*key, "low")
 
 
 def spans(starts: np.ndarray, window: int) -> np.ndarray:
@@ -162,15 +185,23 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     texts = scratch.write(docs.join(hits.hint("shuffle_hash"), row).dropDuplicates(row), "texts")
     scratch.release()
 
+    text = ["doc_id", "twin"]
     found = scratch.write(_windows(texts, window, seed), "windows")
-    lowest = found.groupBy("code", "code2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("code", "code2", "low")
-    lowest = scratch.write(lowest, "lowest")
+    lowest = scratch.write(_shared(found, ["code"]), "lowest")
+    scratch.release()
+    some = found.join(lowest.select("code").hint("shuffle_hash"), "code")
+    some = scratch.write(some.groupBy(*text).agg(F.collect_list("start").alias("starts")), "some")
+    scratch.drop(found, lowest)
+    scratch.release()
+    found = scratch.write(_confirm(texts.join(some, text), window), "confirmed")
+    lowest = scratch.write(_shared(found, ["code", "code2"]), "lowest")
+    scratch.drop(some)
     scratch.release()
     repeated = found.join(lowest.hint("shuffle_hash"), ["code", "code2"]).where("doc_id > low")
-    starts = scratch.write(repeated.groupBy("doc_id", "twin").agg(F.collect_list("start").alias("starts")), "starts")
-    scratch.drop(found)
+    starts = scratch.write(repeated.groupBy(*text).agg(F.collect_list("start").alias("starts")), "starts")
+    scratch.drop(found, lowest)
     scratch.release()
-    cut = scratch.write(_remove(texts.select(*row, "twin", "text").join(starts, ["doc_id", "twin"]), window), "cut")
+    cut = scratch.write(_remove(texts.select(*row, "twin", "text").join(starts, text), window), "cut")
     scratch.drop(texts, starts)
 
     out = summary.select(*row, "n_words", F.lower(F.hex("sha")).alias("sha")).join(cut, row, "left").join(copies.withColumn("copy", F.lit(True)), row, "left")

@@ -60,15 +60,14 @@ def test_half_a_code_does_not_match(spark, monkeypatch):
     """Where all windows agree in the first half of their codes, the second keeps them apart."""
     from locuspark.llm import substring_dedup as m
 
-    plain = m.window_codes
-    monkeypatch.setattr(m, "window_codes", lambda words, window: (plain(words, window)[0] * 0, plain(words, window)[1]))
+    runs = m.run_codes
+    monkeypatch.setattr(m, "run_codes", lambda words, k, salt=0: runs(words, k, salt) * np.uint64(k != 13 or salt != 0))
     rng = random.Random(9)
     same = [rng.choice("abcdefgh") for _ in range(40)]
     rows = [(i, " ".join([rng.choice("abcdefgh") for _ in range(60)] + same[i:])) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    texts = docs.selectExpr("doc_id", "1 twin", "text", "sequence(0, 80) at")
-    codes = m._windows(texts, 13, 5).toPandas()
-    assert len(codes) > 100
+    codes = m._windows(docs.selectExpr("doc_id", "1 twin", "text", "sequence(0, 80) at"), 13, 5).toPandas()
+    assert len(codes) > 100 and set(codes["code"]) == {0}
     assert sorted([tuple(r)[:4] for r in substring_dedup(docs).collect()], key=str) == brute(rows)
 
 
