@@ -4,8 +4,9 @@ Equal vectors are one node. So that the inner product orders like a distance, a
 the same norm (queries have 0 there). The graph starts from neighbours within short runs of a random-projection order.
 A round joins each node with samples of its new and old neighbours, in both directions, brings their vectors together and
 compares them with one another: a neighbour's neighbour is likely a neighbour. Pairs better than a node's worst neighbour are
-merged into its list. Rounds end when few neighbours are new. A query starts at a node and keeps its best nodes so far; each
-hop joins those not yet expanded with the graph.
+merged into its list. Rounds end when few neighbours are new, however many that takes: lists only get better, and a neighbour
+that was compared is new no longer. A query starts at a node and keeps its best nodes so far; each hop joins those not yet
+expanded with the graph, until no query has any.
 
 Every list has a fixed bound (samples, neighbours, beam), kept by ranked windows that Spark also applies before the shuffle;
 all tables between rounds are written to the shared folder.
@@ -14,6 +15,7 @@ all tables between rounds are written to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from locuspark.llm.common import Scratch
 
-NEIGHBOURS, SAMPLE, ROUNDS, STARTS, RUN = 56, 24, 8, 3, 256
-BEAM, EXPAND, HOPS = 160, 32, 8
+NEIGHBOURS, SAMPLE, STARTS, RUN = 56, 24, 3, 256
+BEAM, EXPAND = 160, 32
 
 
 def _top(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
@@ -146,13 +148,13 @@ def _round(graph: DataFrame, nodes: DataFrame, dim: int, k: int, sample: int, tu
     return _top(after.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old")), ["u"], [F.desc("sim"), "v"], k)
 
 
-def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = NEIGHBOURS, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
-    """node, near: each node's neighbours, best first."""
+def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = NEIGHBOURS, sample: int = SAMPLE) -> DataFrame:
+    """node, near: each node's neighbours, best first; a node without any is not in it, and no nodes give none."""
     starts = _start(nodes, dim, k, 0)
     for turn in range(1, STARTS):
         starts = starts.unionByName(_start(nodes, dim, k, turn))
     graph = scratch.write(_top(starts.groupBy("u", "v").agg(F.max("sim").alias("sim")), ["u"], [F.desc("sim"), "v"], k).withColumn("old", F.lit(False)), "graph")
-    for turn in range(rounds):
+    for turn in count():
         after = scratch.write(_round(graph, nodes, dim, k, sample, turn), "graph")
         scratch.drop(graph)
         scratch.release()
@@ -164,10 +166,11 @@ def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = NEIGHBOUR
     return scratch.write(near.select("node", F.col("near.v").alias("near")), "near")
 
 
-def search(graph: DataFrame, nodes: DataFrame, dim: int, queries: DataFrame, scratch: Scratch, beam: int = BEAM, expand: int = EXPAND, hops: int = HOPS) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, dim: int, queries: DataFrame, scratch: Scratch, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """q, node, sim: up to ``beam`` nodes found for each query (q, vec in the nodes' layout with 0 last, start).
 
-    Greedy: a hop expands the best ``expand`` nodes of a beam that have not been; a query ends when none is left.
+    Greedy: a hop expands the best ``expand`` nodes of a beam that have not been; a query ends when none is left. No queries
+    give none.
     """
     kind = nodes.schema["node"].dataType.simpleString()
     q_kind = queries.schema["q"].dataType.simpleString()
@@ -201,21 +204,22 @@ def search(graph: DataFrame, nodes: DataFrame, dim: int, queries: DataFrame, scr
     own = own.withColumn("node", F.lit(0).cast(kind))
     fresh = queries.select("q", F.col("start").alias("node"))
     held, seen = None, fresh
-    for hop in range(hops + 1):
+    while True:
         new = fresh.join(nodes, "node").select("q", "node", F.lit(2).alias("kind"), F.lit(0.0).alias("sim"), F.lit(False).alias("done"), "vec")
         rows = own.unionByName(new)
         if held is not None:
             rows = rows.unionByName(held.select("q", "node", F.lit(1).alias("kind"), "sim", (F.col("done") | F.col("todo")).alias("done"), none.cast("binary").alias("vec")))
         rows = rows.repartition("q").sortWithinPartitions("q", "kind")
-        held = scratch.write(rows.mapInArrow(merge, f"q {q_kind}, node {kind}, sim double, done boolean, todo boolean"), "beam")
+        beams = scratch.write(rows.mapInArrow(merge, f"q {q_kind}, node {kind}, sim double, done boolean, todo boolean"), "beam")
+        if held is not None:
+            scratch.drop(held)
+        held = beams
         scratch.release()
-        if hop == hops:
-            break
         near = held.where("todo").select("q", "node").join(graph, "node").select("q", F.explode("near").alias("node")).distinct()
         fresh = scratch.write(near.join(seen, ["q", "node"], "left_anti"), "fresh")
         if fresh.isEmpty():
             break
-        seen = scratch.write(seen.unionByName(fresh), "seen")
+        seen = seen.unionByName(fresh)  # a written table for each hop
     return held.select("q", "node", "sim")
 
 
