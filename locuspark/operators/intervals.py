@@ -159,3 +159,29 @@ def pair_overlaps(df: DataFrame, key: list[str], name: str, sta: str, end: str,
     other = df.select(*key, F.col(name).alias("name2"), F.col(sta).alias("_s2"), F.col(end).alias("_e2"))
     pairs = range_join(df.select(*key, F.col(name).alias("name1"), F.col(sta).alias("_s1"), F.col(end).alias("_e1")), other, key, "_s1", "_e1", "_s2", "_e2", width)
     return pairs.where("name1 < name2").groupBy("name1", "name2").agg(F.sum(overlap_len(F.col("_s1"), F.col("_e1"), F.col("_s2"), F.col("_e2"))).alias("overlap"))
+
+
+def flank_hits(spans: DataFrame, marks: DataFrame, key: list[str], sta: str, end: str, m_sta: str, m_end: str, flank: int) -> DataFrame:
+    """key, sta, end, inside, before, after for each different span: whether marks of its key meet it, but do not hold it whole,
+    or lie wholly before or after it within ``flank``.
+
+    A mark that meets a span and does not hold it starts past its start or ends before its end. So the nearest start or end on
+    each side tells all, and one union sorted by position carries those along both ways: no pairs are made.
+    """
+    held = [*key, "_s", "_e"]
+    place = lambda p, t, left: F.struct(F.col(p).cast("long").alias("p"), F.lit(t).alias("t"), F.lit(left).alias("left"))
+    m = marks.where(F.col(m_end) >= F.col(m_sta)).select(*key, F.explode(F.array(place(m_end, 0, False), place(m_sta, 2, False))).alias("x")).distinct()
+    q = spans.select(*key, F.col(sta).alias("_s"), F.col(end).alias("_e")).distinct()
+    q = q.select(*held, F.explode(F.array(place("_s", 1, True), place("_e", 1, False))).alias("x"))
+    rows = q.unionByName(m, allowMissingColumns=True).select(*held, "x.*")
+    # at a position going down: ends, spans, starts; going up it is the other way round
+    down = Window.partitionBy(*key).orderBy(F.desc("p"), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up = Window.partitionBy(*key).orderBy("p", F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends, starts = F.when(F.col("t") == 0, F.col("p")), F.when(F.col("t") == 2, F.col("p"))
+    rows = rows.select("*", F.min(starts).over(down).alias("next_start"), F.min(ends).over(down).alias("next_end"), F.max(ends).over(up).alias("last_end")).where("t = 1")
+    left = F.col("left")
+    inside = left & (F.coalesce(F.col("next_start") <= F.col("_e"), F.lit(False)) | F.coalesce(F.col("next_end") < F.col("_e"), F.lit(False)))
+    before = left & F.coalesce(F.col("last_end") >= F.col("_s") - flank, F.lit(False))
+    after = ~left & F.coalesce(F.col("next_start") <= F.col("_e") + flank, F.lit(False))
+    out = rows.groupBy(*held).agg(F.max(inside).alias("inside"), F.max(before).alias("before"), F.max(after).alias("after"))
+    return out.withColumnsRenamed({"_s": sta, "_e": end})

@@ -278,12 +278,12 @@ def c8(s, d):
     day = F.datediff("o_orderdate", F.lit("1970-01-01")).cast("long")
     gene = table(s, d, "orders").select(F.col("o_orderkey").alias("gid"), (F.col("o_custkey") % 40).alias("seq"), day.alias("g_sta"), (day + 15).alias("g_end"), F.when(F.col("o_orderkey") % 2 == 0, "+").otherwise("-").alias("strand"))
     v = iv(s, d).select((F.col("seq") % 40).alias("seq"), "id", "sta", F.least("end", F.col("sta") + 6).alias("end"))
-    near = I.range_join(gene.withColumn("f_sta", F.col("g_sta") - 10).withColumn("f_end", F.col("g_end") + 10), v, ["seq"], "f_sta", "f_end", "sta", "end", W)
-    near = near.where(~((F.col("sta") <= F.col("g_sta")) & (F.col("g_end") <= F.col("end"))))
-    k = F.when((F.col("sta") <= F.col("g_end")) & (F.col("g_sta") <= F.col("end")), 1).when((F.col("end") < F.col("g_sta")) == (F.col("strand") == "+"), 2).otherwise(3)
-    best = near.groupBy("gid").agg(F.min(k).alias("k"))
+    hits = I.flank_hits(gene, v, ["seq"], "g_sta", "g_end", "sta", "end", 10)
+    up = F.when(F.col("strand") == "+", F.col("before")).otherwise(F.col("after"))
+    k = F.when(F.col("inside"), 1).when(up, 2).when(F.col("before") | F.col("after"), 3)
+    best = gene.join(hits, ["seq", "g_sta", "g_end"], "left").groupBy("gid").agg(F.min(k).alias("k"))
     name = F.when(F.col("k") == 1, "body").when(F.col("k") == 2, "upstream").when(F.col("k") == 3, "downstream").otherwise("intergenic")
-    return gene.join(best, "gid", "left").select("gid", name.alias("hit"))
+    return best.select("gid", name.alias("hit"))
 
 
 @query("C9_intersect_not_self", f"""WITH {IVP} SELECT a.id AS id1, b.id AS id2 FROM ivp a JOIN ivp b ON a.seq = b.seq AND a.sta <= b."end" AND b.sta <= a."end" WHERE a."end" - a.sta <> b."end" - b.sta""")

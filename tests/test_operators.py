@@ -61,6 +61,19 @@ def test_nearest(spark):
         assert got[i] == ((want[2], want[1]) if want else (None, None))
 
 
+def test_flank_hits_against_brute_force(spark):
+    rng = random.Random(3)
+    spans = sorted({(rng.choice("xyz"), s := rng.randrange(400), s + rng.randrange(25)) for _ in range(150)})
+    marks = [(rng.choice("xy"), s := rng.randrange(400), s + rng.choice([0, 1, 3, 30])) for _ in range(25)]
+    want = []
+    for k, s, e in spans:
+        near = [(a, b) for c, a, b in marks if c == k and not (a <= s and e <= b)]
+        want.append((k, s, e, any(a <= e and s <= b for a, b in near), any(s - 4 <= b < s for a, b in near), any(e < a <= e + 4 for a, b in near)))
+    got = I.flank_hits(spark.createDataFrame(spans, "k string, s long, e long"), spark.createDataFrame([*marks, ("x", 9, 5)], "k string, a long, b long"), ["k"], "s", "e", "a", "b", 4)
+    assert rows(got) == sorted(want, key=repr)
+    assert "BroadcastNestedLoop" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Join" not in plan
+
+
 def test_thin(spark):
     rng = random.Random(1)
     data = [(k, rng.randrange(2000)) for k in (1, 2) for _ in range(200)]
