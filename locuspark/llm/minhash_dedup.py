@@ -10,7 +10,8 @@ that differ from the head's set in the same shingles: if W = 100 * (shingles of
 that the head lacks), two sets are alike exactly when (100 + percent) * (differences that both have) is at least the sum of
 their W less (100 - percent) * (size of the head's set), and of two nodes in different components one at least is unlike the
 head, which makes that bound positive. So differences are indexed, rarest first, only as far as a partner could still reach
-the bound (a prefix filter with positions), and only pairs that meet there are compared. Every two nodes that share a bucket
+the bound (a prefix filter with positions), and only pairs that meet there are compared: first each node with two of those
+that it meets, then, where that has left different components, all pairs across them, each at the first difference they share. Every two nodes that share a bucket
 thus end in one component, have been compared, or cannot be alike; a large group of near copies costs one comparison for each
 member. Links are confirmed on whole shingle sets.
 """
@@ -22,7 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locuspark.llm.common import Scratch, as_bytes, mix, run_codes, word_codes
@@ -179,14 +180,38 @@ def across(pools: DataFrame, roots: DataFrame, texts: DataFrame, words: int, per
     rows = scratch.write(rows, "ranked")
     scratch.drop(table, frequent)
 
-    def index(df: DataFrame, upto: str, prefix: str) -> DataFrame:
-        df = df.where(F.col(upto) > 0).select("head", "node", "root", "size", "w", F.size("codes").alias("m"), F.posexplode(F.slice("codes", F.lit(1), F.greatest(F.col(upto), F.lit(0)))).alias("at", "code"))
-        return df.select("head", "code", F.col("size").alias(f"{prefix}size"), *[F.col(c).alias(prefix + c) for c in ("node", "root", "w")], (F.col("m") - F.col("at")).alias(f"{prefix}left"))
-
-    one, two = index(rows.where("other"), "upto_other", "x_"), index(rows, "upto", "y_")
-    may = f"x_root <> y_root and {both} * least(x_left, y_left) >= x_w + y_w - {spare} * x_size"
-    pairs = one.join(two, ["head", "code"]).where(may)
-    return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    def index(df: DataFrame, upto: Column) -> DataFrame:
+        df = df.select("head", "node", "root", "size", "w", F.size("codes").alias("m"), F.slice("codes", F.lit(1), F.greatest(upto, F.lit(0))).alias("prefix"))
+        return df.select("*", F.posexplode("prefix").alias("at", "code")).withColumn("left", F.col("m") - F.col("at")).drop("m", "at")
+
+    def may(x: str, y: str) -> str:
+        return f"{x}root <> {y}root and {both} * least({x}left, {y}left) >= {x}w + {y}w - {spare} * {x}size"
+
+    def ordered(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    # first every node with two others at each difference: the one nearest to the head, and the one before it in the order
+    # of what they have besides. Links found so join components, within which no pairs are compared.
+    met = index(rows, F.when(F.col("other"), F.col("upto_other")).otherwise(F.col("upto")))
+    one = F.struct("node", "root", "size", "w", "left")
+    group = Window.partitionBy("head", "code")
+    met = met.select(one.alias("x"), F.min_by(one, F.struct("w", "node")).over(group).alias("y"), F.lag(one).over(group.orderBy("prefix", "node")).alias("z"))
+    few = met.select("x", F.explode(F.array("y", "z")).alias("y")).where("y is not null").where(may("x.", "y."))
+    links = scratch.write(verify(few.select(*ordered("x.node", "y.node")).distinct(), texts, words, percent), "few")
+    of = rows.select("node", "root").distinct()
+    side = lambda k: of.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    joined = links.join(side("a"), "a").join(side("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    joined = connected_components(joined, scratch).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    rows = rows.join(largest.withColumnRenamed("first", "head"), "head")
+    rows = rows.join(joined, "root", "left").join(joined.select(F.col("root").alias("main"), F.col("whole").alias("main_whole")), "main", "left")
+    rows = rows.withColumn("root", F.coalesce("whole", "root")).withColumn("other", F.col("root") != F.coalesce("main_whole", "main"))
+    rows = scratch.write(rows.drop("main", "whole", "main_whole"), "joined")
+
+    # then all pairs that are left, each at the first difference that both have
+    prefixed = lambda df, p: df.select("head", "code", *[F.col(c).alias(p + c) for c in df.columns if c not in ("head", "code")])
+    xs, ys = prefixed(index(rows.where("other"), F.col("upto_other")), "x_"), prefixed(index(rows, F.col("upto")), "y_")
+    pairs = xs.join(ys, ["head", "code"]).where(may("x_", "y_") + " and code = get(array_intersect(x_prefix, y_prefix), 0)")
+    return links.unionByName(pairs.select(*ordered("x_node", "y_node")).distinct())
 
 
 def _alike(a: str, b: str, percent: int) -> str:
