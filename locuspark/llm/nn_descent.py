@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by inner product: a neighbour graph built by NN-descent, searched greedily.
 
 Equal vectors are one node. So that the inner product orders like a distance, a component is appended that gives all nodes
-the same norm (queries have 0 there). The graph starts from neighbours within short runs of a random-projection order.
+the same norm (queries have 0 there). The graph starts from neighbours within runs of a random-projection order.
 A round joins each node with samples of its new and old neighbours, in both directions, brings their vectors together and
 compares them with one another: a neighbour's neighbour is likely a neighbour. Pairs better than a node's worst neighbour are
 merged into its list. Rounds end when few neighbours are new, however many that takes: lists only get better, and a neighbour
 that was compared is new no longer. A query starts at a node and keeps its best nodes so far; each hop joins those not yet
-expanded with the graph, until no query has any.
+expanded with the graph, until no query has any. Queries near each other form a cell: a node that any of them reaches comes
+to the cell once, for all of its queries.
 
-Every list has a fixed bound (samples, neighbours, beam), kept by ranked windows that Spark also applies before the shuffle;
-all tables between rounds are written to the shared folder.
+Every list has a fixed bound (samples, neighbours, beam), kept on rows sorted by their node; all tables between rounds are
+written to the shared folder.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locuspark.llm.common import Scratch
+from locuspark.llm.common import Scratch, mix
 
-NEIGHBOURS, SAMPLE, STARTS, RUN = 56, 24, 3, 256
+NEIGHBOURS, SAMPLE, STARTS, RUN = 56, 24, 3, 4096
 BEAM, EXPAND = 160, 32
+#: Queries that share the vectors that any of them reaches.
+CELL = 256
 
 
 def _top(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
@@ -48,8 +52,71 @@ def _segments(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64 if dim < 0 else np.float32).reshape(-1, abs(dim)).astype(np.float64)
+def _vectors(column: pa.ChunkedArray, dim: int, exact: bool = True) -> np.ndarray:
+    """The vectors of a binary column without nulls, read from its buffers; in double precision, or unless exact as they are stored."""
+    kind, parts = np.float64 if dim < 0 else np.float32, []
+    for chunk in column.chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
+    out = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, kind)
+    return out.reshape(-1, abs(dim)).astype(np.float64 if exact else kind, copy=False)
+
+
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """The place of each row among consecutive rows of equal keys, from 0."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(new)
+    return np.arange(len(new)) - np.repeat(at, np.diff(np.append(at, len(new))))
+
+
+def _luck(u: np.ndarray, v: np.ndarray, turn: int) -> np.ndarray:
+    return mix(mix(u.astype(np.uint64) + np.uint64(turn << 48)) ^ v.astype(np.uint64))
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's sizes and its values one after the other."""
+    lists = lists.combine_chunks()
+    ends = lists.offsets.to_numpy()
+    return np.diff(ends), lists.values.to_numpy()[ends[0] : ends[-1]]
+
+
+def _lists(u: np.ndarray, sizes: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+    """Rows u, v, sim, where u[i] has the next sizes[i] of v and sim."""
+    ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(u), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (v, sim))], ["u", "v", "sim"])
+
+
+#: A graph's row: u, the nodes v that it links with, as 4 * v + 2 * old + pick, and their products sim, the best first.
+GRAPH = "u long, v array<long>, sim array<double>"
+
+
+def _best(df: DataFrame, k: int, sample: int, turn: int) -> DataFrame:
+    """The graph of the k best of each u in rows of its kind, which may repeat; pick marks the next round's sample of new and of old ones.
+
+    What was old or picked in a row is old; a pair that is old in any row is.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _segments(batches, "u"):
+            (sizes, v), (_, sim) = _flat(t["v"]), _flat(t["sim"])
+            u, old, v = np.repeat(t["u"].to_numpy(), sizes), (v & 3) > 0, v >> 2
+            by = np.lexsort((sim, v, u))
+            u, v, sim, old = u[by], v[by], sim[by], old[by]
+            last = np.flatnonzero(np.append((u[1:] != u[:-1]) | (v[1:] != v[:-1]), True))
+            old = np.logical_or.reduceat(old, np.append(0, last[:-1] + 1))
+            u, v, sim = u[last], v[last], sim[last]
+            by = np.lexsort((v, -sim, u))
+            by = by[_ranks(u[by]) < k]
+            u, v, sim, old = u[by], v[by], sim[by], old[by]
+            by = np.lexsort((_luck(u, v, turn), old, u))
+            pick = np.zeros(len(u), bool)
+            pick[by[_ranks(u[by], old[by]) < sample]] = True
+            ids, sizes = np.unique(u, return_counts=True)
+            yield _lists(ids, sizes, v << 2 | old << 1 | pick, sim)
+
+    return df.repartition("u").sortWithinPartitions("u").mapInArrow(keep, GRAPH)
 
 
 def valid_vectors(table: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -64,12 +131,13 @@ def valid_vectors(table: DataFrame, id: str = "vec_id", vector: str = "embedding
 def nodes_of(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
     """Nodes (node, vec as bytes, with the component that evens norms), members (node, vec_id) and the bytes' layout.
 
-    members has every row's node, so queries find theirs. Equal vectors are one node, named by their smallest id; of rows that
-    repeat an id the one with the smallest vector counts. No rows give no nodes.
+    members has every row's node, so queries find theirs. Equal vectors are one node; nodes are numbered in the order of their
+    smallest ids, whatever the ids' type. Of rows that repeat an id the one with the smallest vector counts. No rows give no nodes.
     """
     wide = "double" in rows.schema["vec"].dataType.simpleString()
     rows = rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    first = scratch.write(rows.groupBy("vec").agg(F.min("vec_id").alias("node")), "distinct")
+    first = rows.groupBy("vec").agg(F.min("vec_id").alias("id")).orderBy("id")
+    first = scratch.write(first.select(F.monotonically_increasing_id().alias("node"), "vec"), "distinct")
     members = scratch.write(rows.join(first, "vec").select("node", "vec_id"), "members")
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     most = first.agg(F.max(square)).first()[0] or 0.0
@@ -83,13 +151,11 @@ def nodes_of(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, i
             x = np.column_stack([x, even]).astype(np.float64 if wide else np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "vec"])
 
-    kind = first.schema["node"].dataType.simpleString()
-    return scratch.write(first.select("node", "vec").mapInArrow(packed, f"node {kind}, vec binary"), "nodes"), members, -dim if wide else dim
+    return scratch.write(first.select("node", "vec").mapInArrow(packed, "node long, vec binary"), "nodes"), members, -dim if wide else dim
 
 
-def _start(nodes: DataFrame, dim: int, k: int, turn: int) -> DataFrame:
-    """u, v, sim: the best within runs of a random-projection order."""
-    kind = nodes.schema["node"].dataType.simpleString()
+def _placed(rows: DataFrame, dim: int, turn: int) -> DataFrame:
+    """Rows (node, vec) sorted by a random-projection order."""
     planes = np.random.default_rng(turn).normal(size=(abs(dim), 15))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,6 +164,13 @@ def _start(nodes: DataFrame, dim: int, k: int, turn: int) -> DataFrame:
             code = ((h[:, :14] > 0) << np.arange(14)).sum(1)
             yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(h[:, 14]), *batch.columns], ["code", "at", "node", "vec"])
 
+    placed = rows.select("node", "vec").mapInArrow(place, "code long, at double, node long, vec binary")
+    return placed.repartitionByRange("code", "at", "node").sortWithinPartitions("code", "at", "node")
+
+
+def _start(nodes: DataFrame, dim: int, k: int, turn: int) -> DataFrame:
+    """The graph of the best within runs of a random-projection order."""
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, RUN):
@@ -106,46 +179,59 @@ def _start(nodes: DataFrame, dim: int, k: int, turn: int) -> DataFrame:
                 m = min(k, len(ids) - 1)
                 if m < 1:
                     continue
-                sim = x @ x.T
-                np.fill_diagonal(sim, -np.inf)
-                at = np.argpartition(-sim, m - 1, axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(ids[at].ravel()), pa.array(np.take_along_axis(sim, at, 1).ravel())], ["u", "v", "sim"])
+                for j in range(0, len(ids), 512):
+                    sim = x[j : j + 512] @ x.T
+                    sim[np.arange(len(sim)), np.arange(j, j + len(sim))] = -np.inf
+                    at = np.argpartition(sim, len(ids) - m, axis=1)[:, len(ids) - m :]
+                    yield _lists(ids[j : j + 512], np.full(len(sim), m), ids[at].ravel() << 2, np.take_along_axis(sim, at, 1).ravel())
 
-    placed = nodes.mapInArrow(place, f"code long, at double, node {kind}, vec binary")
-    return placed.repartitionByRange("code", "at", "node").sortWithinPartitions("code", "at", "node").mapInArrow(best, f"u {kind}, v {kind}, sim double")
+    return _placed(nodes, dim, turn).mapInArrow(best, GRAPH)
 
 
 def _round(graph: DataFrame, nodes: DataFrame, dim: int, k: int, sample: int, turn: int) -> DataFrame:
-    """One round: the graph (u, v, sim, old) after comparing neighbours of each node with one another."""
-    kind = nodes.schema["node"].dataType.simpleString()
-    luck = F.xxhash64("u", "v", F.lit(turn))
-    ranked = graph.withColumn("_rn", F.row_number().over(Window.partitionBy("u", "old").orderBy(luck, "v")))
-    chosen = ranked.where(F.col("_rn") <= sample).select("u", "v", "old")
-    back = _top(chosen.select(F.col("v").alias("u"), F.col("u").alias("v"), "old"), ["u", "old"], [luck, "v"], sample)
-    lists = chosen.unionByName(back).groupBy(F.col("u").alias("x"), F.col("v").alias("y")).agg(F.min("old").alias("old"))
-    worst = graph.groupBy(F.col("u").alias("y")).agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).alias("worst"))
+    """One round: the graph after comparing neighbours of each node with one another."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, v = _flat(pa.chunked_array([batch.column(1)]))
+            pick = (v & 1) > 0
+            u, v = np.repeat(batch.column(0).to_numpy(), sizes)[pick], v[pick]
+            old, v = (v & 2) > 0, v >> 2
+            columns = np.concatenate([u, v]), np.concatenate([v, u]), np.tile(old, 2), np.arange(2 * len(u)) >= len(u)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["x", "y", "old", "back"])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _segments(batches, "x"):
+            x, y, old, back = (t[c].to_numpy() for c in ("x", "y", "old", "back"))
+            by = np.lexsort((_luck(y, x, turn), old, back, x))
+            by = by[~back[by] | (_ranks(x[by], old[by], back[by]) < sample)]
+            by = by[np.lexsort((old[by], y[by], x[by]))]
+            by = by[_ranks(x[by], y[by]) == 0]  # met both ways: once, and as new if it is new either way
+            yield pa.RecordBatch.from_arrays([pa.array(z[by]) for z in (x, y, old)], ["x", "y", "old"])
+
+    both = graph.select("u", "v").mapInArrow(links, "x long, y long, old boolean, back boolean")
+    lists = both.repartition("x").sortWithinPartitions("x").mapInArrow(bound, "x long, y long, old boolean")
+    worst = graph.select(F.col("u").alias("y"), F.when(F.size("sim") >= k, F.element_at("sim", -1)).alias("worst"))
     known = nodes.withColumnRenamed("node", "y").join(worst, "y", "left").select("y", "vec", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _segments(batches, "x"):
             x, y, old, worst, vec = t["x"].to_numpy(), t["y"].to_numpy(), t["old"].to_numpy(), t["worst"].to_numpy(), _vectors(t["vec"], dim)
             cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
-            a, b, s = [], [], []
+            n, b, s = [], [], []
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 sim = vec[i:j] @ vec[i:j].T
                 np.fill_diagonal(sim, -np.inf)
                 better = sim > worst[i:j, None]
                 better &= ~(old[i:j, None] & old[None, i:j])  # two old ones have met
-                p, q = np.nonzero(better)
-                a.append(y[i + p])
-                b.append(y[i + q])
-                s.append(sim[p, q])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (a, b, s)], ["u", "v", "sim"])
+                n.append(better.sum(1))
+                b.append(y[i + np.nonzero(better)[1]])
+                s.append(sim[better])
+            n = np.concatenate(n)
+            yield _lists(y[n > 0], n[n > 0], np.concatenate(b) << 2, np.concatenate(s))
 
     met = lists.join(known, "y").repartition("x").sortWithinPartitions("x").select("x", "y", "old", "worst", "vec")
-    found = met.mapInArrow(compare, f"u {kind}, v {kind}, sim double")
-    after = ranked.select("u", "v", "sim", (F.col("old") | (F.col("_rn") <= sample)).alias("old")).unionByName(found.withColumn("old", F.lit(False)))
-    return _top(after.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old")), ["u"], [F.desc("sim"), "v"], k)
+    return _best(graph.unionByName(met.mapInArrow(compare, GRAPH)), k, sample, turn + 1)
 
 
 def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = NEIGHBOURS, sample: int = SAMPLE) -> DataFrame:
@@ -153,74 +239,116 @@ def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = NEIGHBOUR
     starts = _start(nodes, dim, k, 0)
     for turn in range(1, STARTS):
         starts = starts.unionByName(_start(nodes, dim, k, turn))
-    graph = scratch.write(_top(starts.groupBy("u", "v").agg(F.max("sim").alias("sim")), ["u"], [F.desc("sim"), "v"], k).withColumn("old", F.lit(False)), "graph")
+    graph = scratch.write(_best(starts, k, sample, 0), "graph")
     for turn in count():
         after = scratch.write(_round(graph, nodes, dim, k, sample, turn), "graph")
         scratch.drop(graph)
         scratch.release()
         graph = after
-        edges, fresh = graph.agg(F.count(F.lit(1)), F.count(F.when(~F.col("old"), 1))).first()
-        if fresh <= 0.01 * edges:
+        edges, fresh = graph.agg(F.sum(F.size("v")), F.sum(F.size(F.filter("v", lambda v: v.bitwiseAND(2) == 0)))).first()
+        if not fresh or fresh <= 0.01 * edges:
             break
-    near = graph.groupBy(F.col("u").alias("node")).agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "v"))).alias("near"))
-    return scratch.write(near.select("node", F.col("near.v").alias("near")), "near")
+    return scratch.write(graph.select(F.col("u").alias("node"), F.transform("v", lambda v: F.shiftright(v, 2)).alias("near")), "near")
+
 
+def _cells(queries: DataFrame, dim: int, size: int, scratch: Scratch) -> DataFrame:
+    """cell, q, vec: queries (q, vec) dealt into cells of ``size`` neighbours of a random-projection order, across partitions."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(done + np.arange(n)), batch.column(2), batch.column(3)], ["part", "at", "q", "vec"])
+            done += n
+
+    placed = scratch.write(_placed(queries.select(F.col("q").alias("node"), "vec"), dim, 0).mapInArrow(number, "part long, at long, q long, vec binary"), "placed")
+    sizes = sorted(tuple(r) for r in placed.groupBy("part").count().collect())  # a row for each partition
+    before = np.append(0, np.cumsum([n for _, n in sizes])).tolist()
+    first = dict(zip([p for p, _ in sizes], before))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray([first[p] for p in batch.column(0).to_pylist()], np.int64) + batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(at // size), batch.column(2), batch.column(3)], ["cell", "q", "vec"])
 
-def search(graph: DataFrame, nodes: DataFrame, dim: int, queries: DataFrame, scratch: Scratch, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
-    """q, node, sim: up to ``beam`` nodes found for each query (q, vec in the nodes' layout with 0 last, start).
+    return scratch.write(placed.mapInArrow(deal, "cell long, q long, vec binary"), "cells")
 
-    Greedy: a hop expands the best ``expand`` nodes of a beam that have not been; a query ends when none is left. No queries
-    give none.
+
+def search(graph: DataFrame, nodes: DataFrame, dim: int, queries: DataFrame, scratch: Scratch, beam: int = BEAM, expand: int = EXPAND, cell: int = CELL) -> DataFrame:
+    """q, node, sim: up to ``beam`` nodes found for each query (q: its node, where it starts; vec in the nodes' layout with 0 last).
+
+    Greedy: a hop expands the best ``expand`` nodes of a beam that have not been; a query ends when none is left. What the
+    queries of a cell reach comes to the cell once and is compared with all of them. No queries give none.
     """
-    kind = nodes.schema["node"].dataType.simpleString()
-    q_kind = queries.schema["q"].dataType.simpleString()
+    own = _cells(queries, dim, cell, scratch)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _segments(batches, "q"):
-            q, node, order = t["q"].to_numpy(), t["node"].to_numpy(), t["kind"].to_numpy()
-            sim, done = t["sim"].to_numpy().copy(), t["done"].to_numpy().copy()
-            vec = np.zeros((len(q), abs(dim)))
-            has = order != 1
-            if has.any():
-                vec[has] = _vectors(t["vec"].filter(pa.array(has)), dim)
-            cuts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1], [True]]))
-            keep = []
+        for t in _segments(batches, "cell"):
+            cells, kind, q, node, sim, done = (t[c].to_numpy() for c in ("cell", "kind", "q", "node", "sim", "done"))
+            vec, out = t["vec"].combine_chunks(), []
+            cuts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                a, b = (i + np.searchsorted(kind[i:j], [1, 2])).tolist()  # queries, their beams, then what is new
+                asked, fresh = (_vectors(pa.chunked_array([vec[lo:hi]]), dim, False) for lo, hi in ((i, a), (b, j)))
+                by = a + np.argsort(q[a:b], kind="stable")
+                at = np.searchsorted(q[by], q[i:a], "left"), np.searchsorted(q[by], q[i:a], "right")
+                rows = []
+                for n, (lo, hi) in enumerate(zip(*at)):
+                    if n % 16 == 0:  # the best by rough products, for some queries at a time
+                        near, top = asked[n : n + 16] @ fresh.T, np.broadcast_to(np.arange(len(fresh)), (16, len(fresh)))
+                        if len(fresh) > beam:
+                            top = np.argpartition(near, len(fresh) - beam, axis=1)[:, len(fresh) - beam :]
+                    new = top[n % 16]
+                    held = by[lo:hi]
+                    # summed by row, so that equal products stay equal wherever a row lies
+                    s = np.concatenate([sim[held], (fresh[new].astype(np.float64) * asked[n]).sum(1)])
+                    who, seen = np.concatenate([node[held], node[b + new]]), np.concatenate([done[held], np.zeros(len(new), bool)])
+                    best = np.lexsort((who, -s))[:beam]
+                    s, who, seen = s[best], who[best], seen[best]
+                    todo = ~seen & (np.cumsum(~seen) <= expand)
+                    rows.append((np.full(len(s), cells[i]), np.full(len(s), q[i + n]), who, s, seen, todo))
+                rows = [np.concatenate(x) for x in zip(*rows)]
+                ask = np.zeros(len(rows[0]), bool)  # what no query of the cell has expanded: once
+                todo = np.flatnonzero(rows[5] & ~np.isin(rows[2], rows[2][rows[4]]))
+                ask[todo[np.unique(rows[2][todo], return_index=True)[1]]] = True
+                out.append([*rows, ask])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["cell", "q", "node", "sim", "done", "todo", "ask"])
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _segments(batches, "cell"):
+            cells, kind, near = t["cell"].to_numpy(), t["kind"].to_numpy(), t["near"].combine_chunks()
+            ends = near.offsets.to_numpy()
+            near = near.values.to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                new = i + np.flatnonzero(order[i:j] == 2)
-                sim[new] = vec[new] @ vec[i]  # a query's own vector comes first
-                best = i + 1 + np.lexsort((node[i + 1 : j], -sim[i + 1 : j]))[:beam]
-                keep.append(best)
-            keep = np.concatenate(keep)
-            todo = np.zeros(len(keep), bool)
-            qs = q[keep]
-            fresh = np.flatnonzero(~done[keep])
-            runs = np.flatnonzero(np.concatenate([[True], qs[fresh][1:] != qs[fresh][:-1]])) if len(fresh) else np.empty(0, int)
-            rank = np.arange(len(fresh)) - np.repeat(runs, np.diff(np.append(runs, len(fresh))))
-            todo[fresh[rank < expand]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(qs), pa.array(node[keep]), pa.array(sim[keep]), pa.array(done[keep]), pa.array(todo)], ["q", "node", "sim", "done", "todo"])
-
-    none = F.lit(None)
-    own = queries.select("q", none.cast(kind).alias("node"), F.lit(0).alias("kind"), F.lit(0.0).alias("sim"), F.lit(True).alias("done"), "vec")
-    own = own.withColumn("node", F.lit(0).cast(kind))
-    fresh = queries.select("q", F.col("start").alias("node"))
-    held, seen = None, fresh
+                b = i + int(np.searchsorted(kind[i:j], 1))  # what the cell has had, then neighbours of what it expands
+                new = np.setdiff1d(near[ends[b] : ends[j]], near[ends[i] : ends[b]])
+                if len(new):
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + 1]), pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), pa.array(new))], ["cell", "near"])
+
+    def rows(df: DataFrame, kind: int, **columns) -> DataFrame:
+        return df.select("cell", F.lit(kind).alias("kind"), *[columns.get(c, F.lit(0).cast(t)).alias(c) for c, t in (("q", "long"), ("node", "long"), ("sim", "double"), ("done", "boolean"))], columns.get("vec", F.lit(None).cast("binary")).alias("vec"))
+
+    mine = rows(own, 0, q=F.col("q"), vec=F.col("vec"))
+    held, seen, ask, new = None, None, own.select("cell", F.col("q").alias("node")), own.select("cell", F.lit(1).alias("kind"), F.array("q").alias("near"))
     while True:
-        new = fresh.join(nodes, "node").select("q", "node", F.lit(2).alias("kind"), F.lit(0.0).alias("sim"), F.lit(False).alias("done"), "vec")
-        rows = own.unionByName(new)
+        near = ask.join(graph, "node").select("cell", F.lit(1).alias("kind"), "near")
+        near = near.unionByName(new if seen is None else seen.select("cell", F.lit(0).alias("kind"), "near"))
+        fresh = scratch.write(near.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(reach, "cell long, near array<long>"), "fresh")  # a row for each cell
+        if fresh.isEmpty():
+            break
+        seen = fresh if seen is None else seen.unionByName(fresh)  # a written table for each hop
+        reached = fresh.select("cell", F.explode("near").alias("node")).join(nodes, "node")
+        parts = mine.unionByName(rows(reached, 2, node=F.col("node"), vec=F.col("vec")))
         if held is not None:
-            rows = rows.unionByName(held.select("q", "node", F.lit(1).alias("kind"), "sim", (F.col("done") | F.col("todo")).alias("done"), none.cast("binary").alias("vec")))
-        rows = rows.repartition("q").sortWithinPartitions("q", "kind")
-        beams = scratch.write(rows.mapInArrow(merge, f"q {q_kind}, node {kind}, sim double, done boolean, todo boolean"), "beam")
+            parts = parts.unionByName(rows(held, 1, q=F.col("q"), node=F.col("node"), sim=F.col("sim"), done=F.col("done") | F.col("todo")))
+        parts = parts.repartition("cell").sortWithinPartitions("cell", "kind")
+        beams = scratch.write(parts.mapInArrow(merge, "cell long, q long, node long, sim double, done boolean, todo boolean, ask boolean"), "beam")
         if held is not None:
             scratch.drop(held)
-        held = beams
+        held, ask = beams, beams.where("ask").select("cell", "node")
         scratch.release()
-        near = held.where("todo").select("q", "node").join(graph, "node").select("q", F.explode("near").alias("node")).distinct()
-        fresh = scratch.write(near.join(seen, ["q", "node"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            break
-        seen = seen.unionByName(fresh)  # a written table for each hop
-    return held.select("q", "node", "sim")
+    return own.select("q", F.col("q").alias("node"), F.lit(0.0).alias("sim")) if held is None else held.select("q", "node", "sim")
 
 
 def nearest(table: DataFrame, query: str, k: int = 20, id: str = "vec_id", vector: str = "embedding", neighbours: int = NEIGHBOURS, beam: int = BEAM) -> DataFrame:
@@ -238,7 +366,7 @@ def nearest(table: DataFrame, query: str, k: int = 20, id: str = "vec_id", vecto
     asked = scratch.write(members.where(query.replace(id, "vec_id")).select(F.col("vec_id").alias("query_id"), "node"), "asked")
     zero = np.zeros(1, np.float64 if dim < 0 else np.float32).tobytes()
     starts = asked.select("node").distinct().join(nodes, "node")
-    queries = starts.select(F.col("node").alias("q"), F.concat(F.expr(f"substring(vec, 1, octet_length(vec) - {len(zero)})"), F.lit(zero)).alias("vec"), F.col("node").alias("start"))
+    queries = starts.select(F.col("node").alias("q"), F.concat(F.expr(f"substring(vec, 1, octet_length(vec) - {len(zero)})"), F.lit(zero)).alias("vec"))
     found = search(graph, nodes, dim, scratch.write(queries, "queries"), scratch, beam)
     best = _top(found, ["q"], [F.desc("sim"), "node"], k + 1)
     answers = _top(members, ["node"], ["vec_id"], k + 1)

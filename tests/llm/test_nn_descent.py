@@ -61,3 +61,32 @@ def test_small_and_empty(spark):
     assert {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in want} == {q: [i for i, _ in a] for q, a in want.items()}
     assert nearest(df.limit(0), "vec_id % 2 = 0").collect() == []
     assert nearest(df.limit(1), "vec_id % 2 = 0").collect() == []
+
+
+def test_queries_share_what_they_reach(spark, monkeypatch):
+    from locuspark.llm import nn_descent
+
+    rows = rows_of(2000, seed=3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    written, write = [], nn_descent.Scratch.write
+
+    def watch(self, table, name):
+        out = write(self, table, name)
+        if name == "fresh":
+            written.append(out.selectExpr("sum(size(near)) as n").first().n or 0 if "near" in out.columns else out.count())
+        return out
+
+    monkeypatch.setattr(nn_descent.Scratch, "write", watch)
+    got = nearest(df, "vec_id % 5 = 0").collect()
+    assert recall(got, brute(rows, 20, 5)) > 0.95
+    # 400 queries in cells of up to 64, dealt over up to 8 partitions: no cell is sent a node's vector twice
+    assert sum(written) < (400 // 64 + 8) * 2000
+
+
+def test_ids_of_any_type(spark):
+    rows = rows_of(300, seed=4)
+    df = spark.createDataFrame([(f"{i:05d}", v) for i, v in rows], "vec_id string, embedding array<float>")
+    got = nearest(df, "cast(vec_id as int) % 20 = 0").collect()
+    want = brute(rows, 20, 20)
+    assert {int(r.query_id) for r in got} == set(want)
+    assert all([int(r.vec_id) for r in sorted(got, key=lambda r: r.rank) if int(r.query_id) == q] == [i for i, _ in a] for q, a in want.items())
