@@ -13,6 +13,7 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -57,12 +58,17 @@ class ChunkEncoder:
 
     def __init__(self, path: str, lengths: bool = False, first: dict | None = None, limit: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         check_rules(path)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.plain):
+            t.no_truncation()
+            t.no_padding()
+        self.plain.normalizer = normalizers.Sequence([])  # for parts, which are in their normal form
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # the ids of tokens that end words, if the model has such
+        self.ends[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
         self.lengths, self.first, self.limit = lengths, first or {}, limit
         self.chunks, self.parts, self.old, self.old_parts = dict(self.first), {}, {}, {}
         self.none = 0 if lengths else b""
@@ -72,45 +78,55 @@ class ChunkEncoder:
         return len(ids) if self.lengths else np.asarray(ids, "<u4").tobytes()
 
     def _encode_parts(self, parts: list[bytes]) -> None:
-        """Each part is one pre-token, so joined by spaces they are encoded in one call."""
+        """Each part is one pre-token, so joined by spaces they are encoded in one call.
+
+        A part's last token, and no other, is one that ends words. Where a part lacks it, its tokens are found by their words.
+        """
         for i in range(0, len(parts), 2048):
             block = parts[i : i + 2048]
-            found = self.tokenizer.encode(b" ".join(block).decode(), add_special_tokens=False)
-            cut = np.searchsorted(np.asarray(found.word_ids, np.int64), np.arange(len(block) + 1)).tolist()
+            text = b" ".join(block).decode()
+            ids = np.asarray(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(block) or cut[-1] != len(ids):
+                found = self.tokenizer.encode(text, add_special_tokens=False)
+                ids, cut = np.asarray(found.ids, "<u4"), np.searchsorted(np.asarray(found.word_ids, np.int64), np.arange(1, len(block) + 1))
             if self.lengths:
-                self.parts.update(zip(block, [b - a for a, b in zip(cut, cut[1:])]))
+                self.parts.update(zip(block, np.diff(cut, prepend=0).tolist()))
             else:
-                raw = np.asarray(found.ids, "<u4").tobytes()
-                self.parts.update(zip(block, [raw[4 * a : 4 * b] for a, b in zip(cut, cut[1:])]))
+                raw, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
+                self.parts.update(zip(block, [raw[a:b] for a, b in zip(cut, cut[1:])]))
 
     def _learn(self, new: set[bytes]) -> None:
         """Chunks that are letters, then punctuation, are one or two pre-tokens; the rest is encoded as it stands."""
-        chunks, old, split = self.chunks, self.old_parts, []
+        chunks, old = self.chunks, self.old_parts
         if len(self.parts) > self.limit:
             self.old_parts, self.parts = self.parts, {}
             old = self.old_parts
-        parts, wanted = self.parts, set()
-        for c in new:
+        parts = self.parts
+        letters = [c for c in new if c.isalpha()]  # of ASCII: one pre-token
+        keys, split, heads, tails = [c.lower() for c in letters], [], [], []
+        for c in new.difference(letters):
             core = c.rstrip(_PUNCTUATION)
             if core.isalpha() or not core:
-                key = core.lower()
+                heads.append(core.lower())
             elif _LATIN.fullmatch(core):
-                key = core.decode().lower().encode()
+                heads.append(core.decode().lower().encode())
             else:
                 chunks[c] = self.encode(c.decode())
                 continue
-            tail = c[len(core) :]
-            split.append((c, key, tail))
-            for part in (key, tail):
-                if part and part not in parts:
-                    if part in old:
-                        parts[part] = old[part]
-                    else:
-                        wanted.add(part)
-        self._encode_parts(list(wanted))
+            split.append(c)
+            tails.append(c[len(core) :])
         parts[b""] = self.none
-        for c, key, tail in split:
-            chunks[c] = parts[key] + parts[tail]
+        wanted = set(keys).union(heads, tails).difference(parts)
+        if old:
+            unknown = wanted.difference(old)
+            wanted -= unknown
+            parts.update(zip(wanted, map(old.__getitem__, wanted)))
+            wanted = unknown
+        self._encode_parts(list(wanted))
+        value = parts.__getitem__
+        chunks.update(zip(letters, map(value, keys)))
+        chunks.update(zip(split, map(add, map(value, heads), map(value, tails))))
 
     def values(self, texts: list[bytes]) -> Iterator[bytes | int]:
         """The value of each text: its chunks' values together."""
@@ -120,10 +136,12 @@ class ChunkEncoder:
             if len(self.chunks) > self.limit + len(self.first):  # chunks that are still in use come over from the old ones
                 self.old, self.chunks = self.chunks, dict(self.first)
             known, old = self.chunks, self.old
-            new = {w for ws in words for w in ws if w not in known}
+            new = set().union(*words).difference(known)
             if old:
-                known.update({w: old[w] for w in new if w in old})
-                new = {w for w in new if w not in known}
+                unknown = new.difference(old)
+                new -= unknown
+                known.update(zip(new, map(old.__getitem__, new)))
+                new = unknown
             large = {w: self.encode(w.decode()) for w in new if len(w) > LONGEST_KEPT}
             new.difference_update(large)
             if new:

@@ -122,3 +122,28 @@ def test_a_file_with_other_rules_is_refused(tmp_path):
     (tmp_path / "t.json").write_text(json.dumps(rules))
     with pytest.raises(ValueError):
         ChunkEncoder(str(tmp_path / "t.json"))
+
+
+@pytest.mark.parametrize("lengths", [False, True])
+def test_parts_are_cut_by_tokens_that_end_words(lengths):
+    texts = ["Plain words, and MORE words!", "é, naïve café... don't", "words of any_kind 12 x"]
+    library = Tokenizer.from_file(PATH)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = ChunkEncoder(PATH, lengths=lengths)
+    calls = []
+
+    class Watched:
+        def encode(self, text, **rest):
+            calls.append(text)
+            return library.encode(text, **rest)
+
+    encoder.tokenizer = Watched()
+
+    def value(ids):
+        return len(ids) if lengths else np.asarray(ids, "<u4").tobytes()
+
+    assert list(encoder.values([t.encode() for t in texts])) == [value(w) for w in want]
+    assert sorted(calls) == ["12", "any_kind", "don't"]  # the rest needs no normal form
+    encoder = ChunkEncoder(PATH, lengths=lengths)
+    encoder.ends[:] = False  # a model whose tokens do not show where words end
+    assert list(encoder.values([t.encode() for t in texts])) == [value(w) for w in want]
