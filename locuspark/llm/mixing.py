@@ -15,6 +15,7 @@ import math
 import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,31 +59,58 @@ def _parts(word: bytes) -> list[bytes]:
 SEEN = 300_000
 
 
+class Parts(dict):
+    """The features of words, each word taken apart once while at most ``limit`` are remembered."""
+
+    limit = SEEN
+
+    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[word] = tuple([x for x in _parts(word) if x])
+        return found
+
+    def of(self, text: bytes) -> set[bytes]:
+        """The features that a text has."""
+        return set().union(*map(self.__getitem__, set(text.lower().split())))
+
+
+class Weighted(Parts):
+    """Of the features of words, those with weights."""
+
+    def __init__(self, weights: dict[bytes, float], limit: int):
+        self.weights, self.limit = weights, limit
+        self.starts = {x[1:] for x in weights if x[:1] == b"^"}  # beginnings of 5 and of 8 bytes; no word begins with ^
+
+    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
+        if len(self) >= self.limit:
+            self.clear()
+        w, weights, starts = word.strip(_PUNCTUATION), self.weights, self.starts
+        found = ()
+        if w in weights or w[:5] in starts or w[:8] in starts:
+            found = tuple([x for x in _parts(word) if x in weights and x])
+        self[word] = found
+        return found
+
+
 class WordScorer:
     """Log-odds of texts from the weights of their features; words that have been seen are not taken apart again."""
 
     def __init__(self, weights: dict[bytes, float], limit: int = SEEN):
-        self.weights, self.limit = weights, limit
-        self.seen: set[bytes] = set()
-        self.known: dict[bytes, list[bytes]] = {}  # of the words seen, those with weighted features, and which
+        self.weights, self.known = weights, Weighted(weights, limit)
 
-    def score(self, text: bytes) -> float:
-        weights, known = self.weights, self.known
-        counts = Counter(text.lower().split())
-        new = counts.keys() - self.seen
-        if len(self.seen) > self.limit:
-            self.seen, new = set(), set(counts)
-            known.clear()
-        for word in new:
-            if found := [x for x in _parts(word) if x in weights and x]:
-                known[word] = found
-        self.seen |= new
-        total: dict[bytes, int] = {}
-        for word in counts.keys() & known.keys():
-            for x in known[word]:
-                total[x] = total.get(x, 0) + counts[word]
+    def find(self, words: list[bytes]) -> dict[bytes, int]:
+        """The weighted features of a text's lower-case words, and how often each is there, at most MOST."""
+        total = Counter(chain.from_iterable(map(self.known.__getitem__, words)))
+        return {x: n if n < MOST else MOST for x, n in total.items()}
+
+    def score_words(self, words: list[bytes]) -> float:
+        weights = self.weights
         # exactly rounded, so that the order of a set's members does not matter
-        return math.fsum([weights[b""], *[weights[x] * min(n, MOST) for x, n in total.items()]])
+        return math.fsum([weights[b""], *[weights[x] * n for x, n in self.find(words).items()]])
+
+    def score(self, text: bytes) -> float:
+        return self.score_words(text.lower().split())
 
 
 def fit_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = WORDS) -> dict[bytes, float]:
@@ -95,12 +123,13 @@ def fit_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: in
     taught = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "_y")  # at most ``sample`` small rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
+        seen, parts = (Counter(), Counter()), Parts()
         for batch in batches:
             for text, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                seen[y > 0].update(_features(text).keys() | {b""})
+                seen[y > 0].update(parts.of(text))
+                seen[y > 0][b""] += 1
         words = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([seen[0][w] for w in words], pa.int64()), pa.array([seen[1][w] for w in words], pa.int64())], ["word", "no", "yes"])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([c.get(w, 0) for w in words], pa.int64()) for c in seen)], ["word", "no", "yes"])
 
     counts = taught.mapInArrow(count, "word binary, no long, yes long").groupBy("word").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
     counts = counts.persist()  # of the sample only
@@ -112,9 +141,10 @@ def fit_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: in
     vocabulary = {w: i for i, w in enumerate(sorted(bytes(r["word"]) for r in top.collect() if r["word"]))}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordScorer(vocabulary)
         for batch in batches:
-            found = [_features(text) for text in as_bytes(batch.column(0))]
-            at = [sorted(4 * vocabulary[w] + f[w] for w in vocabulary.keys() & f.keys()) for f in found]  # place and count
+            found = [words.find(text.lower().split()) for text in as_bytes(batch.column(0))]
+            at = [sorted([4 * vocabulary[w] + n for w, n in f.items()]) for f in found]  # place and count
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), batch.column(1)], ["at", "y"])
 
     got = taught.mapInArrow(find, "at array<int>, y double").toPandas()
@@ -153,9 +183,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
         for batch in batches:
             texts = as_bytes(batch.column(2))
             low = 1 - trees.predict(matrix(texts))
-            raw = np.asarray([words.score(t) for t in texts], np.float64)
+            split = [t.lower().split() for t in texts]
+            raw = np.asarray([words.score_words(w) for w in split], np.float64)
             toxic = (1 - low) / (1 + np.exp(-np.clip(raw, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(1 - low - toxic), pa.array(toxic), pa.array(low)], ["doc_id", "tag", "tokens", "p_clean", "p_toxic", "p_low"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(w) for w in split], pa.int64()), pa.array(1 - low - toxic), pa.array(toxic), pa.array(low)], ["doc_id", "tag", "tokens", "p_clean", "p_toxic", "p_low"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, tag long, tokens long, p_clean double, p_toxic double, p_low double")

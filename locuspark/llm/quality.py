@@ -7,6 +7,7 @@ for all documents of a batch at once, level by level.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,7 +47,10 @@ def statistics(text: bytes) -> list[float]:
     if w:
         sizes = np.fromiter(map(len, words), np.int64, w)
         seen = Counter(words)
-        out += [np.log1p(w), sizes.mean(), sizes.std(), np.log1p(sizes.max()), len(seen) / w, max(seen.values()) / w, (sizes <= 2).mean(), (sizes > 12).mean(), sum(map(bytes.isupper, words)) / w]
+        mean = int(sizes.sum()) / w
+        apart = sizes - mean
+        sd = math.sqrt(float((apart * apart).sum()) / w)
+        out += [np.log1p(w), mean, sd, np.log1p(sizes.max()), len(seen) / w, max(seen.values()) / w, np.count_nonzero(sizes <= 2) / w, np.count_nonzero(sizes > 12) / w, sum(map(bytes.isupper, words)) / w]
     else:
         out += [0.0] * 9
     lines = [x for x in text.split(b"\n") if x]

@@ -114,3 +114,20 @@ def test_ids_of_any_type(spark):
     docs = spark.createDataFrame([(str(i), f"word{i} and more words {i % 3}") for i in range(30)], "doc_id string, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
     assert mix(docs, labels).count() == 30
+
+
+def test_words_are_taken_apart_once(monkeypatch):
+    calls, parts = [], mixing._parts
+    monkeypatch.setattr(mixing, "_parts", lambda word: calls.append(word) or parts(word))
+    texts = [b"Alpha, beta! alphabetical (gamma)", b"alpha, BETA! ... ^caret alphabetical", b"", b"...", b"alpha, alpha, alpha, alpha, beta!"]
+    known = mixing.Parts()
+    found = [known.of(t) for t in texts]
+    assert len(calls) == len(set(calls)) == len({w for t in texts for w in t.lower().split()})
+    assert found == [set(mixing._features(t)) for t in texts]
+    small = mixing.Parts()
+    small.limit = 1
+    assert [small.of(t) for t in texts] == found
+    weights = {w: 1.0 for w in (b"", b"alpha", b"^alpha", b"^alphabet", b"gamma", b"caret")}
+    for limit in (1, 100):
+        scorer = mixing.WordScorer(weights, limit)
+        assert [scorer.find(t.lower().split()) for t in texts] == [{w: n for w, n in mixing._features(t).items() if w in weights} for t in texts]
