@@ -6,6 +6,8 @@ exactly these.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +45,7 @@ _LOWER_BYTES = _BYTES.copy()
 _LOWER_BYTES[65:91] = _BYTES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_SPACES = _SPACE.tobytes()
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -90,6 +93,44 @@ def word_codes(text: bytes, lower: bool = False) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _Q)
 
 
+#: Bytes whose words are coded at once; a longer word is coded by a digest.
+PIECE = (1 << 16) - 1
+
+
+class Words:
+    """The words of several texts, found at once: word k is raw[starts[k]:ends[k]], and text i has words first[i] to first[i + 1]."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = b"\n".join(texts)
+        self.bytes = np.frombuffer(self.raw, np.uint8)
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.at = np.cumsum(self.sizes + 1) - self.sizes - 1  # where texts begin
+        space = np.frombuffer((b" " + self.raw + b" ").translate(_SPACES), np.uint8)
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.first = np.searchsorted(self.starts, np.append(self.at, len(self.raw) + 1))
+
+    def codes(self) -> np.ndarray:
+        """One mixed 64-bit code for each word; equal words have equal codes."""
+        starts, ends = self.starts, self.ends
+        out, i = np.empty(len(starts), np.uint64), 0
+        up, down = _powers(_P, PIECE)
+        sums = np.zeros(PIECE + 1, np.uint64)
+        while i < len(starts):
+            a = starts[i]
+            j = int(np.searchsorted(ends, a + PIECE, side="right"))
+            if j <= i:
+                out[i] = int.from_bytes(blake2b(self.raw[a : ends[i]], digest_size=8).digest(), "little")
+                j = i + 1
+            else:
+                n = ends[j - 1] - a
+                np.cumsum(_BYTES[self.bytes[a : a + n]] * up[:n], out=sums[1 : n + 1])
+                s, e = starts[i:j] - a, ends[i:j] - a
+                out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _Q)
+            i = j
+        return out
+
+
 def run_codes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """One mixed code for each run of k consecutive words, by its first word."""
     n = len(words) - k + 1

@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locuspark.llm.common import Scratch, as_bytes
-from locuspark.llm.quality import SAMPLE, fit, labelled_statistics, matrix, usable_labels
+from locuspark.llm.common import Scratch, Words, as_bytes
+from locuspark.llm.quality import FEATURES, SAMPLE, fit, labelled_statistics, measure, usable_labels
+from locuspark.llm.token_counts import slices
 
 DOMAINS = ["clean", "toxic", "low"]
 #: All weight on clean documents; the budget is what they hold: a filter, for the pipeline.
@@ -93,12 +94,83 @@ class Weighted(Parts):
         return found
 
 
+#: Rounds of stripping all words together; longer runs of punctuation are stripped word by word.
+ROUNDS = 4
+_IS_PUNCTUATION = np.isin(np.arange(256), list(_PUNCTUATION))
+#: By size, which of a word's first 8 bytes are its own.
+_MASK = np.asarray([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _stripped(low: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end without the punctuation around them. A word of punctuation alone ends where it begins."""
+    b, a, z = np.frombuffer(low, np.uint8), starts.copy(), ends.copy()
+    some = np.flatnonzero(_IS_PUNCTUATION[b[a]])
+    for _ in range(ROUNDS):
+        a[some] += 1
+        some = some[a[some] < z[some]]
+        some = some[_IS_PUNCTUATION[b[a[some]]]]
+    for k in some.tolist():
+        a[k] = z[k] - len(low[a[k] : z[k]].lstrip(_PUNCTUATION))
+    some = np.flatnonzero((a < z) & _IS_PUNCTUATION[b[z - 1]])  # these hold something else too
+    for _ in range(ROUNDS):
+        z[some] -= 1
+        some = some[_IS_PUNCTUATION[b[z[some] - 1]]]
+    for k in some.tolist():
+        z[k] = a[k] + len(low[a[k] : z[k]].rstrip(_PUNCTUATION))
+    return a, z
+
+
+def _heads(low: bytes, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; low has 8 bytes more behind its words."""
+    return np.ndarray(len(low) - 7, "<u8", low, strides=(1,))[at]
+
+
+class Among:
+    """Which numbers may be among some, by a table of bits of their hashes: never false for one that is."""
+
+    def __init__(self, members: list[int]):
+        self.table = np.zeros(1 << 16, bool)
+        self.table[self._places(np.asarray(members, np.uint64))] = True
+
+    @staticmethod
+    def _places(x: np.ndarray) -> np.ndarray:
+        return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self.table[self._places(x)]
+
+
 class WordScorer:
     """Log-odds of texts from the weights of their features; words that have been seen are not taken apart again."""
 
     def __init__(self, weights: dict[bytes, float], limit: int = SEEN):
         self.weights, self.known = weights, Weighted(weights, limit)
 
+        def among(words: Iterable[bytes], k: int) -> Among:
+            return Among([int.from_bytes(w[:k], "little") for w in words])
+
+        starts, whole = self.known.starts, [w for w in weights if w and w[:1] != b"^"]
+        self.five, self.eight = among([*whole, *starts], 5), among(whole, 8)
+        self.start_five, self.start_eight = among([x for x in starts if len(x) == 5], 5), among([x for x in starts if len(x) == 8], 8)
+
+    def telling(self, words: Words) -> list[list[bytes]]:
+        """Of each text's words, in lower case, those that may have weighted features; all that have some are among them.
+
+        A word's first bytes tell most others from them, for all words at once.
+        """
+        low = words.raw.lower() + bytes(8)
+        a, z = _stripped(low, words.starts, words.ends)
+        size, x = z - a, _heads(low, a)
+        at = np.flatnonzero(self.five(x & _MASK[np.minimum(size, 5)]))
+        size, x = size[at], x[at]
+        may = self.eight(x & _MASK[np.minimum(size, 8)])
+        may |= (size > 5) & self.start_five(x & _MASK[5])
+        may |= (size > 8) & self.start_eight(x)
+        at = at[may]
+        found = [low[i:j] for i, j in zip(words.starts[at].tolist(), words.ends[at].tolist())]
+        cut = np.searchsorted(at, words.first).tolist()
+        return [found[i:j] for i, j in zip(cut, cut[1:])]
+
     def find(self, words: list[bytes]) -> dict[bytes, int]:
         """The weighted features of a text's lower-case words, and how often each is there, at most MOST."""
         total = Counter(chain.from_iterable(map(self.known.__getitem__, words)))
@@ -143,7 +215,7 @@ def fit_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: in
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordScorer(vocabulary)
         for batch in batches:
-            found = [words.find(text.lower().split()) for text in as_bytes(batch.column(0))]
+            found = [words.find(some) for block in slices(as_bytes(batch.column(0))) for some in words.telling(Words(block))]
             at = [sorted([4 * vocabulary[w] + n for w, n in f.items()]) for f in found]  # place and count
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), batch.column(1)], ["at", "y"])
 
@@ -181,12 +253,16 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
         trees, weights = shared.value
         words = WordScorer(weights)
         for batch in batches:
-            texts = as_bytes(batch.column(2))
-            low = 1 - trees.predict(matrix(texts))
-            split = [t.lower().split() for t in texts]
-            raw = np.asarray([words.score_words(w) for w in split], np.float64)
+            x, raw, tokens = [np.empty((0, len(FEATURES)))], [], []
+            for block in slices(as_bytes(batch.column(2))):
+                found = Words(block)
+                x.append(measure(found))
+                raw += [words.score_words(some) for some in words.telling(found)]
+                tokens += np.diff(found.first).tolist()
+            low = 1 - trees.predict(np.concatenate(x))
+            raw = np.asarray(raw, np.float64)
             toxic = (1 - low) / (1 + np.exp(-np.clip(raw, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(w) for w in split], pa.int64()), pa.array(1 - low - toxic), pa.array(toxic), pa.array(low)], ["doc_id", "tag", "tokens", "p_clean", "p_toxic", "p_low"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(tokens, pa.int64()), pa.array(1 - low - toxic), pa.array(toxic), pa.array(low)], ["doc_id", "tag", "tokens", "p_clean", "p_toxic", "p_low"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, tag long, tokens long, p_clean double, p_toxic double, p_low double")

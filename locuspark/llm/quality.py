@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locuspark.llm.common import as_bytes, held_out
+from locuspark.llm.common import Words, as_bytes, held_out, run_codes
+from locuspark.llm.token_counts import slices
 
 #: Labelled rows that a fit looks at, at most; those with the smallest hash of their id.
 SAMPLE = 30_000
@@ -25,6 +26,10 @@ SAMPLE = 30_000
 _KIND = np.zeros(256, np.int64)
 for _set, _k in ((range(97, 123), 1), (range(65, 91), 2), (range(48, 58), 3), ((32, 9, 11, 12), 4), ((10, 13), 5), (b".,;:?'\"-()", 6), (b"!", 7), (range(128, 256), 8), (b"#$%&*+/<=>@[\\]^_`{|}~", 9)):
     _KIND[list(_set)] = _k
+_KINDS = np.eye(10, dtype=np.int64)[_KIND]
+
+#: Or-ed over a word's bytes: 1 with upper-case letters, 2 with lower-case ones.
+_CASE = bytes(1 if 65 <= x < 91 else 2 if 97 <= x < 123 else 0 for x in range(256))
 
 FEATURES = [
     "log_bytes", "lower", "upper", "digit", "space", "newline", "plain_punct", "exclaim", "high", "symbol", "control",
@@ -35,34 +40,67 @@ FEATURES = [
 
 def statistics(text: bytes) -> list[float]:
     """The statistics named in FEATURES; all 0 for an empty text."""
-    n = len(text)
-    if not n:
-        return [0.0] * len(FEATURES)
-    counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    kinds = np.bincount(_KIND, weights=counts, minlength=10) / n
-    used = counts[counts > 0] / n
-    words = text.split()
-    w = len(words)
-    out = [np.log1p(n), *kinds[1:10].tolist(), float(kinds[0])]
-    if w:
-        sizes = np.fromiter(map(len, words), np.int64, w)
-        seen = Counter(words)
-        mean = int(sizes.sum()) / w
-        apart = sizes - mean
-        sd = math.sqrt(float((apart * apart).sum()) / w)
-        out += [np.log1p(w), mean, sd, np.log1p(sizes.max()), len(seen) / w, max(seen.values()) / w, np.count_nonzero(sizes <= 2) / w, np.count_nonzero(sizes > 12) / w, sum(map(bytes.isupper, words)) / w]
-    else:
-        out += [0.0] * 9
-    lines = [x for x in text.split(b"\n") if x]
-    different = set(lines)
-    most = max(Counter(lines).values(), default=0)
-    out += [np.log1p(len(lines)), len(different) / max(1, len(lines)), w / max(1, len(lines)), sum(x.endswith((b".", b"!", b"?")) for x in lines) / max(1, len(lines)), most / max(1, len(lines))]
-    out += [len(set(zip(words, words[1:]))) / max(1, w - 1), counts.max() / n, float(-(used * np.log2(used)).sum())]
-    return out
+    return matrix([text])[0].tolist()
 
 
 def matrix(texts: list[bytes]) -> np.ndarray:
-    return np.asarray([statistics(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
+    return np.concatenate([np.empty((0, len(FEATURES))), *[measure(Words(block)) for block in slices(texts)]])
+
+
+def _runs(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many different codes each of the spans first[i]:last[i] has, and how often its most frequent one is there."""
+    new = np.ones(len(codes) + 1, np.int64)
+    for f, g in zip(first.tolist(), last.tolist()):
+        codes[f:g].sort()
+    new[1:-1] = codes[1:] != codes[:-1]
+    new[first] = new[last] = 1
+    before = np.cumsum(new) - new  # of the runs, how many begin earlier
+    runs = np.append(np.diff(np.flatnonzero(new)), 0)
+    most = np.zeros(len(first), np.int64)
+    some = np.flatnonzero(last > first)
+    if len(some):  # what lies between two spans would be counted with the first of them, so each span's end is given too
+        most[some] = np.maximum.reduceat(runs, np.column_stack([before[first[some]], before[last[some]]]).ravel())[::2]
+    return before[last] - before[first], most
+
+
+def measure(words: Words) -> np.ndarray:
+    """The statistics of each text. Words and pairs of words are told apart by 64-bit codes."""
+    starts, ends, first = words.starts, words.ends, words.first
+    w, sizes, codes = np.diff(first), ends - starts, words.codes()
+    pairs = run_codes(codes, 2)
+    last = np.maximum(first[1:] - 1, first[:-1])  # a text's last word begins no pair
+    distinct_pairs, _ = _runs(pairs, np.minimum(first[:-1], len(pairs)), np.minimum(last, len(pairs)))
+    distinct, top = _runs(codes, first[:-1], first[1:])
+    case = np.bitwise_or.reduceat(np.frombuffer(words.raw.translate(_CASE), np.uint8), starts) if len(starts) else starts
+
+    def among(which: np.ndarray) -> np.ndarray:
+        n = np.concatenate([[0], np.cumsum(which)])[first]
+        return np.diff(n)
+
+    short, long, upper = among(sizes <= 2), among(sizes > 12), among(case == 1)
+    longest = np.zeros(len(w), np.int64)
+    if len(sizes):
+        longest[w > 0] = np.maximum.reduceat(sizes, first[:-1][w > 0])
+    mean = np.diff(np.concatenate([[0], np.cumsum(sizes)])[first]) / np.maximum(w, 1)
+    counts, entropy, sd = np.zeros((len(w), 256), np.int64), [], []
+    lines, different, most, stops = np.zeros((4, len(w)), np.int64)
+    for i, (at, n, f, g, m) in enumerate(zip(words.at.tolist(), words.sizes.tolist(), first.tolist(), first[1:].tolist(), mean.tolist())):
+        counts[i] = c = np.bincount(words.bytes[at : at + n], minlength=256)
+        used = c[c > 0] / max(n, 1)
+        entropy.append(float(-(used * np.log2(used)).sum()))
+        apart = sizes[f:g] - m
+        sd.append(math.sqrt(float((apart * apart).sum()) / max(g - f, 1)))
+        has = [x for x in words.raw[at : at + n].split(b"\n") if x]
+        seen = Counter(has)
+        lines[i], different[i], most[i] = len(has), len(seen), max(seen.values(), default=0)
+        stops[i] = sum([x.endswith((b".", b"!", b"?")) for x in has])
+    n, k, rows = np.maximum(words.sizes, 1), np.maximum(w, 1), np.maximum(lines, 1)
+    kinds = (counts @ _KINDS) / n[:, None]
+    columns = [np.log1p(words.sizes), *kinds.T[1:10], kinds[:, 0]]
+    columns += [np.log1p(w), mean, sd, np.log1p(longest), distinct / k, top / k, short / k, long / k, upper / k]
+    columns += [np.log1p(lines), different / rows, w / rows, stops / rows, most / rows]
+    columns += [distinct_pairs / np.maximum(1, w - 1), counts.max(1) / n, entropy]
+    return np.column_stack(columns)
 
 
 @dataclass

@@ -131,3 +131,23 @@ def test_words_are_taken_apart_once(monkeypatch):
     for limit in (1, 100):
         scorer = mixing.WordScorer(weights, limit)
         assert [scorer.find(t.lower().split()) for t in texts] == [{w: n for w, n in mixing._features(t).items() if w in weights} for t in texts]
+
+
+def test_only_words_that_may_tell_are_looked_at():
+    """Texts scored by blocks score as their features say, and a word without features does not reach the scorer's memory."""
+    from locuspark.llm.common import Words
+
+    weights = {b"": -1.0, b"bad": 0.5, b"^badly": 0.25, b"good": -0.75, b"^goodn": 0.1, b"^unspeaka": 2.0, b"unspeakable-things": 1.5, b"\xc3\xa9": 0.3}
+    odd = [b"Bad, bad badly-made badly things! (good) good", b"", b"  ", b"bad " * 50, "é É bad.".encode(), b"goodn goodness ^goodn", b"...", b"-" * 99 + b"bad" + b"!" * 99]
+    odd += [b"unspeaka unspeakable UNSPEAKABLE-THINGS? unspeak", b"\x0bbad\x1cgood\x0c good\r\n", b"ba", b"'bad'", b"bad"]
+    plain = [b" ".join(b"word%d, Other%d." % (i, k) for i in range(200)) for k in range(20)]
+    texts = odd + plain + odd
+    scorer = mixing.WordScorer(weights)
+    got = [scorer.score_words(some) for some in scorer.telling(Words(texts))]
+    want = [weights[b""] + sum(weights[k] * n for k, n in mixing._features(t).items() if k in weights) for t in texts]
+    assert np.allclose(got, want, rtol=0, atol=1e-12) and got == [scorer.score(t) for t in texts]
+    few = mixing.WordScorer(weights)
+    found = {w for some in few.telling(Words(plain)) for w in some}
+    assert len(found) < 0.02 * len(set(b" ".join(plain).split()))
+    assert few.telling(Words([])) == [] and few.telling(Words([b""])) == [[]]
+    assert [scorer.score_words(s) for s in mixing.WordScorer({b"": -35.0}).telling(Words(texts))][1] == -1.0

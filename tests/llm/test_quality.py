@@ -52,3 +52,26 @@ def test_edge_cases(spark):
     got = quality_scores(docs, labels).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert quality_scores(docs.limit(0), labels.limit(0)).collect() == []
+
+
+def test_statistics_of_many_texts_at_once():
+    """Texts measured together have the statistics that each has by plain counting, whatever stands beside it."""
+    from collections import Counter
+
+    from locuspark.llm.common import Words
+    from locuspark.llm.quality import measure
+
+    texts = [b"", b" ", b"one", b"", b"One TWO one two TWO", b"a b a b a b.", b"\n\n", b"x\n" * 50, b"A1 B-2 c3", b"\x0b\x0c\r one\x1c two", b"q " + b"Z" * 70_000 + b" q " + b"Z" * 70_000, b"last"]
+    texts += [" ".join(f"W{i % k} é{i % 3}" for i in range(400)).encode() for k in range(1, 9)]
+    for some in (texts, texts[::-1], texts[:1], texts[2:3]):
+        got = measure(Words(some))
+        assert (got == np.concatenate([matrix([t]) for t in some])).all()
+        for t, row in zip(some, got):
+            s, words = dict(zip(FEATURES, row.tolist())), t.split()
+            n, lines = max(1, len(words)), [x for x in t.split(b"\n") if x]
+            assert np.isclose(s["log_words"], np.log1p(len(words))) and np.isclose(s["longest"], np.log1p(max(map(len, words), default=0)))
+            assert s["distinct_words"] == len(set(words)) / n and s["top_word"] == max(Counter(words).values(), default=0) / n
+            assert s["distinct_pairs"] == len(set(zip(words, words[1:]))) / max(1, len(words) - 1)
+            assert s["upper_words"] == sum(map(bytes.isupper, words)) / n and s["short_words"] == sum(len(w) <= 2 for w in words) / n
+            assert s["top_byte"] == max(Counter(t).values(), default=0) / max(1, len(t)) and s["distinct_lines"] == len(set(lines)) / max(1, len(lines))
+            assert np.isclose(s["word_len_sd"], np.std([len(w) for w in words]) if words else 0)
