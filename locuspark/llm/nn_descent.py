@@ -7,7 +7,7 @@ compares them with one another: a neighbour's neighbour is likely a neighbour. P
 merged into its list. Rounds end when few neighbours are new, however many that takes: lists only get better, and a neighbour
 that was compared is new no longer. A query starts at a node and keeps its best nodes so far; each hop joins those not yet
 expanded with the graph, until no query has any. Queries near each other form a cell: a node that any of them reaches comes
-to the cell once, for all of its queries.
+to the cell once, for all of its queries, and a node expanded for one is expanded for all.
 
 Every list has a fixed bound (samples, neighbours, beam), kept on rows sorted by their node; all tables between rounds are
 written to the shared folder.
@@ -20,7 +20,6 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,27 +153,32 @@ def nodes_of(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, i
     return scratch.write(first.select("node", "vec").mapInArrow(packed, "node long, vec binary"), "nodes"), members, -dim if wide else dim
 
 
-def _placed(rows: DataFrame, dim: int, turn: int) -> DataFrame:
-    """Rows (node, vec) sorted by a random-projection order."""
-    planes = np.random.default_rng(turn).normal(size=(abs(dim), 15))
+def _placed(rows: DataFrame, dim: int, turns: int = 1) -> DataFrame:
+    """Rows (node, vec) sorted by random-projection orders, one after the other."""
+    planes = [np.random.default_rng(turn).normal(size=(abs(dim), 15)) for turn in range(turns)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = _vectors(pa.chunked_array([batch.column(1)]), dim) @ planes
-            code = ((h[:, :14] > 0) << np.arange(14)).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(h[:, 14]), *batch.columns], ["code", "at", "node", "vec"])
+            x = _vectors(pa.chunked_array([batch.column(1)]), dim)
+            for turn, plane in enumerate(planes):
+                h = x @ plane
+                code = ((h[:, :14] > 0) << np.arange(14)).sum(1)
+                columns = [pa.array(np.full(len(x), turn, np.int32)), pa.array(code, pa.int64()), pa.array(h[:, 14]), *batch.columns]
+                yield pa.RecordBatch.from_arrays(columns, ["turn", "code", "at", "node", "vec"])
 
-    placed = rows.select("node", "vec").mapInArrow(place, "code long, at double, node long, vec binary")
-    return placed.repartitionByRange("code", "at", "node").sortWithinPartitions("code", "at", "node")
+    placed = rows.select("node", "vec").mapInArrow(place, "turn int, code long, at double, node long, vec binary")
+    return placed.repartitionByRange("turn", "code", "at", "node").sortWithinPartitions("turn", "code", "at", "node")
 
 
-def _start(nodes: DataFrame, dim: int, k: int, turn: int) -> DataFrame:
-    """The graph of the best within runs of a random-projection order."""
+def _start(nodes: DataFrame, dim: int, k: int, turns: int) -> DataFrame:
+    """The graphs of the best within runs of random-projection orders."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, RUN):
-                run = pa.Table.from_batches([batch.slice(i, RUN)])
+            turn = batch.column("turn").to_numpy()
+            ends = np.searchsorted(turn, np.arange(turns + 1)).tolist()
+            for i, stop in ((i, stop) for start, stop in zip(ends, ends[1:]) for i in range(start, stop, RUN)):
+                run = pa.Table.from_batches([batch.slice(i, min(RUN, stop - i))])
                 ids, x = run["node"].to_numpy(), _vectors(run["vec"], dim)
                 m = min(k, len(ids) - 1)
                 if m < 1:
@@ -185,7 +189,7 @@ def _start(nodes: DataFrame, dim: int, k: int, turn: int) -> DataFrame:
                     at = np.argpartition(sim, len(ids) - m, axis=1)[:, len(ids) - m :]
                     yield _lists(ids[j : j + 512], np.full(len(sim), m), ids[at].ravel() << 2, np.take_along_axis(sim, at, 1).ravel())
 
-    return _placed(nodes, dim, turn).mapInArrow(best, GRAPH)
+    return _placed(nodes, dim, turns).mapInArrow(best, GRAPH)
 
 
 def _round(graph: DataFrame, nodes: DataFrame, dim: int, k: int, sample: int, turn: int) -> DataFrame:
@@ -200,17 +204,9 @@ def _round(graph: DataFrame, nodes: DataFrame, dim: int, k: int, sample: int, tu
             columns = np.concatenate([u, v]), np.concatenate([v, u]), np.tile(old, 2), np.arange(2 * len(u)) >= len(u)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["x", "y", "old", "back"])
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _segments(batches, "x"):
-            x, y, old, back = (t[c].to_numpy() for c in ("x", "y", "old", "back"))
-            by = np.lexsort((_luck(y, x, turn), old, back, x))
-            by = by[~back[by] | (_ranks(x[by], old[by], back[by]) < sample)]
-            by = by[np.lexsort((old[by], y[by], x[by]))]
-            by = by[_ranks(x[by], y[by]) == 0]  # met both ways: once, and as new if it is new either way
-            yield pa.RecordBatch.from_arrays([pa.array(z[by]) for z in (x, y, old)], ["x", "y", "old"])
-
     both = graph.select("u", "v").mapInArrow(links, "x long, y long, old boolean, back boolean")
-    lists = both.repartition("x").sortWithinPartitions("x").mapInArrow(bound, "x long, y long, old boolean")
+    bound = _top(both.repartition("x"), ["x", "old", "back"], [F.xxhash64("x", "y", F.lit(turn)), "y"], sample)  # u's own are no more than that
+    lists = bound.groupBy("x", "y").agg(F.min("old").alias("old"))  # met both ways: once, and as new if it is new either way
     worst = graph.select(F.col("u").alias("y"), F.when(F.size("sim") >= k, F.element_at("sim", -1)).alias("worst"))
     known = nodes.withColumnRenamed("node", "y").join(worst, "y", "left").select("y", "vec", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
 
@@ -236,10 +232,7 @@ def _round(graph: DataFrame, nodes: DataFrame, dim: int, k: int, sample: int, tu
 
 def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = NEIGHBOURS, sample: int = SAMPLE) -> DataFrame:
     """node, near: each node's neighbours, best first; a node without any is not in it, and no nodes give none."""
-    starts = _start(nodes, dim, k, 0)
-    for turn in range(1, STARTS):
-        starts = starts.unionByName(_start(nodes, dim, k, turn))
-    graph = scratch.write(_best(starts, k, sample, 0), "graph")
+    graph = scratch.write(_best(_start(nodes, dim, k, STARTS), k, sample, 0), "graph")
     for turn in count():
         after = scratch.write(_round(graph, nodes, dim, k, sample, turn), "graph")
         scratch.drop(graph)
@@ -254,14 +247,9 @@ def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = NEIGHBOUR
 def _cells(queries: DataFrame, dim: int, size: int, scratch: Scratch) -> DataFrame:
     """cell, q, vec: queries (q, vec) dealt into cells of ``size`` neighbours of a random-projection order, across partitions."""
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, part = 0, TaskContext.get().partitionId()
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(done + np.arange(n)), batch.column(2), batch.column(3)], ["part", "at", "q", "vec"])
-            done += n
-
-    placed = scratch.write(_placed(queries.select(F.col("q").alias("node"), "vec"), dim, 0).mapInArrow(number, "part long, at long, q long, vec binary"), "placed")
+    row = F.monotonically_increasing_id()  # the partition, then the row's place in it
+    placed = _placed(queries.select(F.col("q").alias("node"), "vec"), dim).select(F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("at"), F.col("node").alias("q"), "vec")
+    placed = scratch.write(placed, "placed")
     sizes = sorted(tuple(r) for r in placed.groupBy("part").count().collect())  # a row for each partition
     before = np.append(0, np.cumsum([n for _, n in sizes])).tolist()
     first = dict(zip([p for p, _ in sizes], before))
@@ -277,8 +265,9 @@ def _cells(queries: DataFrame, dim: int, size: int, scratch: Scratch) -> DataFra
 def search(graph: DataFrame, nodes: DataFrame, dim: int, queries: DataFrame, scratch: Scratch, beam: int = BEAM, expand: int = EXPAND, cell: int = CELL) -> DataFrame:
     """q, node, sim: up to ``beam`` nodes found for each query (q: its node, where it starts; vec in the nodes' layout with 0 last).
 
-    Greedy: a hop expands the best ``expand`` nodes of a beam that have not been; a query ends when none is left. What the
-    queries of a cell reach comes to the cell once and is compared with all of them. No queries give none.
+    Greedy: a hop expands the best ``expand`` nodes of a beam that have not been, and all of them once nothing new came to the
+    cell; a query ends when none is left. What the queries of a cell reach comes to the cell once and is compared with all of
+    them. No queries give none.
     """
     own = _cells(queries, dim, cell, scratch)
 
@@ -292,6 +281,7 @@ def search(graph: DataFrame, nodes: DataFrame, dim: int, queries: DataFrame, scr
                 asked, fresh = (_vectors(pa.chunked_array([vec[lo:hi]]), dim, False) for lo, hi in ((i, a), (b, j)))
                 by = a + np.argsort(q[a:b], kind="stable")
                 at = np.searchsorted(q[by], q[i:a], "left"), np.searchsorted(q[by], q[i:a], "right")
+                gone = np.unique(np.concatenate([q[i:a], node[a:b][done[a:b]]]))  # expanded for a query, so for all of the cell
                 rows = []
                 for n, (lo, hi) in enumerate(zip(*at)):
                     if n % 16 == 0:  # the best by rough products, for some queries at a time
@@ -302,48 +292,38 @@ def search(graph: DataFrame, nodes: DataFrame, dim: int, queries: DataFrame, scr
                     held = by[lo:hi]
                     # summed by row, so that equal products stay equal wherever a row lies
                     s = np.concatenate([sim[held], (fresh[new].astype(np.float64) * asked[n]).sum(1)])
-                    who, seen = np.concatenate([node[held], node[b + new]]), np.concatenate([done[held], np.zeros(len(new), bool)])
+                    who = np.concatenate([node[held], node[b + new]])
                     best = np.lexsort((who, -s))[:beam]
-                    s, who, seen = s[best], who[best], seen[best]
-                    todo = ~seen & (np.cumsum(~seen) <= expand)
+                    s, who = s[best], who[best]
+                    seen = gone[np.minimum(np.searchsorted(gone, who), len(gone) - 1)] == who
+                    todo = ~seen & (np.cumsum(~seen) <= (expand if b < j else beam))
                     rows.append((np.full(len(s), cells[i]), np.full(len(s), q[i + n]), who, s, seen, todo))
-                rows = [np.concatenate(x) for x in zip(*rows)]
-                ask = np.zeros(len(rows[0]), bool)  # what no query of the cell has expanded: once
-                todo = np.flatnonzero(rows[5] & ~np.isin(rows[2], rows[2][rows[4]]))
-                ask[todo[np.unique(rows[2][todo], return_index=True)[1]]] = True
+                *rows, todo = [np.concatenate(x) for x in zip(*rows)]
+                ask, todo = np.zeros(len(todo), bool), np.flatnonzero(todo)
+                ask[todo[np.unique(rows[2][todo], return_index=True)[1]]] = True  # once for the cell
                 out.append([*rows, ask])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["cell", "q", "node", "sim", "done", "todo", "ask"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["cell", "q", "node", "sim", "done", "ask"])
 
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _segments(batches, "cell"):
-            cells, kind, near = t["cell"].to_numpy(), t["kind"].to_numpy(), t["near"].combine_chunks()
-            ends = near.offsets.to_numpy()
-            near = near.values.to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                b = i + int(np.searchsorted(kind[i:j], 1))  # what the cell has had, then neighbours of what it expands
-                new = np.setdiff1d(near[ends[b] : ends[j]], near[ends[i] : ends[b]])
-                if len(new):
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + 1]), pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), pa.array(new))], ["cell", "near"])
+    def near_of(kind: int):
+        return F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.col("near"))))
 
     def rows(df: DataFrame, kind: int, **columns) -> DataFrame:
         return df.select("cell", F.lit(kind).alias("kind"), *[columns.get(c, F.lit(0).cast(t)).alias(c) for c, t in (("q", "long"), ("node", "long"), ("sim", "double"), ("done", "boolean"))], columns.get("vec", F.lit(None).cast("binary")).alias("vec"))
 
     mine = rows(own, 0, q=F.col("q"), vec=F.col("vec"))
     held, seen, ask, new = None, None, own.select("cell", F.col("q").alias("node")), own.select("cell", F.lit(1).alias("kind"), F.array("q").alias("near"))
-    while True:
+    while not ask.isEmpty():
         near = ask.join(graph, "node").select("cell", F.lit(1).alias("kind"), "near")
         near = near.unionByName(new if seen is None else seen.select("cell", F.lit(0).alias("kind"), "near"))
-        fresh = scratch.write(near.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(reach, "cell long, near array<long>"), "fresh")  # a row for each cell
-        if fresh.isEmpty():
-            break
+        near = near.groupBy("cell").agg(near_of(0).alias("had"), near_of(1).alias("near"))  # what the cell has had, neighbours of what it expands
+        fresh = scratch.write(near.select("cell", F.array_except("near", "had").alias("near")).where("size(near) > 0"), "fresh")  # a row for each cell
         seen = fresh if seen is None else seen.unionByName(fresh)  # a written table for each hop
         reached = fresh.select("cell", F.explode("near").alias("node")).join(nodes, "node")
         parts = mine.unionByName(rows(reached, 2, node=F.col("node"), vec=F.col("vec")))
         if held is not None:
-            parts = parts.unionByName(rows(held, 1, q=F.col("q"), node=F.col("node"), sim=F.col("sim"), done=F.col("done") | F.col("todo")))
+            parts = parts.unionByName(rows(held, 1, q=F.col("q"), node=F.col("node"), sim=F.col("sim"), done=F.col("done") | F.col("ask")))
         parts = parts.repartition("cell").sortWithinPartitions("cell", "kind")
-        beams = scratch.write(parts.mapInArrow(merge, "cell long, q long, node long, sim double, done boolean, todo boolean, ask boolean"), "beam")
+        beams = scratch.write(parts.mapInArrow(merge, "cell long, q long, node long, sim double, done boolean, ask boolean"), "beam")
         if held is not None:
             scratch.drop(held)
         held, ask = beams, beams.where("ask").select("cell", "node")

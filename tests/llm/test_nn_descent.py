@@ -90,3 +90,33 @@ def test_ids_of_any_type(spark):
     want = brute(rows, 20, 20)
     assert {int(r.query_id) for r in got} == set(want)
     assert all([int(r.vec_id) for r in sorted(got, key=lambda r: r.rank) if int(r.query_id) == q] == [i for i, _ in a] for q, a in want.items())
+
+
+def test_search_goes_on_where_the_best_lead_nowhere(spark):
+    from locuspark.llm.common import Scratch
+    from locuspark.llm.nn_descent import search
+
+    vec = {i: np.asarray(v, np.float32).tobytes() for i, v in {0: [1, 0], 1: [0.9, 0], 2: [0.8, 0], 3: [2, 0]}.items()}
+    nodes = spark.createDataFrame([(i, bytearray(v)) for i, v in vec.items()], "node long, vec binary")
+    graph = spark.createDataFrame([(0, [1, 2]), (1, [0, 2]), (2, [3]), (3, [2])], "node long, near array<long>")
+    queries = nodes.where("node = 0").withColumnRenamed("node", "q")
+    # 0 and 1, expanded first, lead to nothing new; 2 leads to the best
+    found = search(graph, nodes, 2, queries, Scratch(spark), beam=8, expand=1).collect()
+    assert [r.node for r in sorted(found, key=lambda r: -r.sim)] == [3, 0, 1, 2]
+
+
+def test_few_passes_through_python(spark, monkeypatch):
+    from locuspark.llm import nn_descent
+
+    passes, write = {}, nn_descent.Scratch.write
+
+    def watch(self, table, name):
+        n = table._jdf.queryExecution().analyzed().toString().count("MapInArrow")
+        passes[name] = max(n, passes.get(name, 0))
+        return write(self, table, name)
+
+    monkeypatch.setattr(nn_descent.Scratch, "write", watch)
+    df = spark.createDataFrame(rows_of(500, seed=5), "vec_id long, embedding array<float>")
+    nearest(df, "vec_id % 20 = 0").collect()
+    # each costs every partition a worker's start, however few rows it has
+    assert passes["graph"] == 3 and passes["fresh"] == 0 and passes["beam"] == 1
