@@ -245,19 +245,20 @@ def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = NEIGHBOUR
 
 
 def _cells(queries: DataFrame, dim: int, size: int, scratch: Scratch) -> DataFrame:
-    """cell, q, vec: queries (q, vec) dealt into cells of ``size`` neighbours of a random-projection order, across partitions."""
+    """cell, q, vec: queries (q, vec) dealt evenly into cells of up to ``size`` neighbours of a random-projection order, across partitions."""
 
     row = F.monotonically_increasing_id()  # the partition, then the row's place in it
     placed = _placed(queries.select(F.col("q").alias("node"), "vec"), dim).select(F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("at"), F.col("node").alias("q"), "vec")
     placed = scratch.write(placed, "placed")
     sizes = sorted(tuple(r) for r in placed.groupBy("part").count().collect())  # a row for each partition
     before = np.append(0, np.cumsum([n for _, n in sizes])).tolist()
-    first = dict(zip([p for p, _ in sizes], before))
+    first, total = dict(zip([p for p, _ in sizes], before)), before[-1]
+    cells = -(-total // size)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.asarray([first[p] for p in batch.column(0).to_pylist()], np.int64) + batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(at // size), batch.column(2), batch.column(3)], ["cell", "q", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(at * cells // total), batch.column(2), batch.column(3)], ["cell", "q", "vec"])
 
     return scratch.write(placed.mapInArrow(deal, "cell long, q long, vec binary"), "cells")
 
@@ -265,8 +266,8 @@ def _cells(queries: DataFrame, dim: int, size: int, scratch: Scratch) -> DataFra
 def search(graph: DataFrame, nodes: DataFrame, dim: int, queries: DataFrame, scratch: Scratch, beam: int = BEAM, expand: int = EXPAND, cell: int = CELL) -> DataFrame:
     """q, node, sim: up to ``beam`` nodes found for each query (q: its node, where it starts; vec in the nodes' layout with 0 last).
 
-    Greedy: a hop expands the best ``expand`` nodes of a beam that have not been, and all of them once nothing new came to the
-    cell; a query ends when none is left. What the queries of a cell reach comes to the cell once and is compared with all of
+    Greedy: a hop expands the best ``expand`` nodes of a beam that have not been, all of them when nothing new came into the
+    beam; a query ends when none is left. What the queries of a cell reach comes to the cell once and is compared with all of
     them. No queries give none.
     """
     own = _cells(queries, dim, cell, scratch)
@@ -296,7 +297,7 @@ def search(graph: DataFrame, nodes: DataFrame, dim: int, queries: DataFrame, scr
                     best = np.lexsort((who, -s))[:beam]
                     s, who = s[best], who[best]
                     seen = gone[np.minimum(np.searchsorted(gone, who), len(gone) - 1)] == who
-                    todo = ~seen & (np.cumsum(~seen) <= (expand if b < j else beam))
+                    todo = ~seen & (np.cumsum(~seen) <= (expand if (best >= hi - lo).any() else beam))
                     rows.append((np.full(len(s), cells[i]), np.full(len(s), q[i + n]), who, s, seen, todo))
                 *rows, todo = [np.concatenate(x) for x in zip(*rows)]
                 ask, todo = np.zeros(len(todo), bool), np.flatnonzero(todo)

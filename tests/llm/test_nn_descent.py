@@ -120,3 +120,16 @@ def test_few_passes_through_python(spark, monkeypatch):
     nearest(df, "vec_id % 20 = 0").collect()
     # each costs every partition a worker's start, however few rows it has
     assert passes["graph"] == 3 and passes["fresh"] == 0 and passes["beam"] == 1
+
+
+def test_cells_are_even(spark):
+    from locuspark.llm.common import Scratch
+    from locuspark.llm.nn_descent import _cells
+
+    x = np.random.default_rng(6).normal(size=(65, 4)).astype(np.float32)
+    queries = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "q long, vec binary").repartition(5)
+    cells = {}
+    for r in _cells(queries, 4, 16, Scratch(spark)).collect():
+        cells.setdefault(r.cell, set()).add(r.q)
+    assert sorted(len(c) for c in cells.values()) == [13] * 5 and len(set().union(*cells.values())) == 65
+    assert _cells(queries.limit(0), 4, 16, Scratch(spark)).collect() == []
